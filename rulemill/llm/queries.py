@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, secrets_ledger, sharding
+from . import line_dedup, merge_rounds, packing, secrets_ledger, sharding, simhash, token_files
 from .common import table
 
+#: File names of the public vocabularies; the id that ends a document.
+TOKENIZER, PIECES, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
+
+
+def vocabulary(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=3)
+
+
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets_ledger.findings_by_path(docs, secrets_ledger.scan_versions(docs), ["doc_id"])
@@ -27,9 +41,25 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut_documents(docs, vocabulary(TOKENIZER), END_ID, capacity=2048)
+    digests = pieces.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack_pieces(digests, capacity=2048).drop("piece_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=10), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_sharding, op5_secret_ledger, op7_line_dedup)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), END_ID)
+    return token_files.read_token_files(spark, folder, manifest)
+
+
+def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_rounds.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digest=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op9_token_files, op10_merge_rounds)}
