@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, merge_rounds, packing, secrets_ledger, sharding, simhash, token_files
+from . import byte_gru, line_dedup, merge_rounds, packing, secrets_ledger, sharding, simhash, token_files
 from .common import table
 
 #: File names of the public vocabularies; the id that ends a document.
@@ -53,6 +53,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=10), digest=True)
 
 
+def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = byte_gru.identify(docs, byte_gru.train(docs))
+    return named.select("doc_id", byte_gru.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary(TOKENIZER), END_ID)
     return token_files.read_token_files(spark, folder, manifest)
@@ -62,4 +68,4 @@ def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op9_token_files, op10_merge_rounds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op8_byte_gru, op9_token_files, op10_merge_rounds)}
