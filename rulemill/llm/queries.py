@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_gru, line_dedup, merge_rounds, packing, secrets_ledger, sharding, simhash, token_files
+from . import byte_gru, hilbert_search, line_dedup, merge_rounds, metric_join, packing, secrets_ledger, sharding, simhash, token_files
 from .common import table
 
 #: File names of the public vocabularies; the id that ends a document.
@@ -21,6 +21,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+def op2_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -68,4 +76,4 @@ def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op8_byte_gru, op9_token_files, op10_merge_rounds)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_metric_join, op2_hilbert_search, op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op8_byte_gru, op9_token_files, op10_merge_rounds)}
