@@ -1,12 +1,57 @@
-"""Cleans the documents table in five stages, each written as Parquet and read again by the next."""
+"""Cleans and packs the documents table in five stages, each written as Parquet and read again by the next.
+
+1. language: documents without any recognisable language go.
+2. lines: lines that stand in ten documents or more go from every document.
+3. near_duplicates: of each group of near-equal documents the one with the smallest doc_id stays.
+4. secrets: every stretch of text that a secret rule finds is masked.
+5. pack: what is left becomes token sequences of 2048 with little padding.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, simhash
 from rulemill.llm.common import materialize, prepare, table
+from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose predicted language is `und`: those without text or without a letter."""
+    named = byte_gru.identify(docs, byte_gru.train(docs), keep=tuple(docs.columns))
+    return named.where("lang_pred <> 'und'").drop("lang_pred", "score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that ten documents or more share; a document may end up empty and stays."""
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=10))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group, the one that names it; of rows that share a doc_id one, those without any all."""
+    groups = simhash.near_duplicates(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # hashes are compared, so that no text is sorted; ranks are cut before the shuffle, so a repeated doc_id is no hot key
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    one = docs.where("doc_id is not null").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; no document goes."""
+    return secrets_ledger.redact_documents(docs, secrets_ledger.scan_versions(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where they lie: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    pieces = packing.cut_documents(docs, vocabulary(TOKENIZER), END_ID, capacity=2048)
+    digests = pieces.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack_pieces(digests, capacity=2048).drop("piece_id")
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("secrets", secrets), ("pack", pack)]
+#: A trained network decides the first stage and a tokenizer the last: no SQL.
 ORACLE_SQL = None
 
 
@@ -14,4 +59,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)
