@@ -25,7 +25,7 @@ from .common import prepare
 
 #: The fit's bounds: sampled documents a language, languages, windows a document, bytes a window.
 SAMPLE_DOCS, MAX_LANGUAGES, WINDOWS, WINDOW = 500, 256, 8, 64
-HIDDEN, STEPS, BATCH, RATE = 8, 300, 256, 0.02
+HIDDEN, STEPS, BATCH, RATE = 8, 200, 256, 0.02
 #: Bytes of a segment, and segments read side by side.
 SEGMENT, ABREAST = 128, 4096
 _GATES = ("z", "r", "n")
@@ -85,18 +85,22 @@ class ByteGRU:
         for d in "fb":
             grad[d + "o"] = np.einsum("tbh,tbc->hc", states[d], delta)
             back = np.zeros_like(states[d][0])
+            into = {g: np.empty_like(states[d]) for g in _GATES}
             for t, h, z, r, u, n, _ in reversed(runs[d]):
                 dh = (back + delta[t] @ p[d + "o"].T) * mask[t][:, None]
                 dn = dh * (1 - z) * (1 - n * n)
                 dz = dh * (h - n) * z * (1 - z)
                 dr = dn * u * r * (1 - r)
                 du = dn * r
-                for g, x in (("z", dz), ("r", dr), ("n", dn)):
-                    np.add.at(grad[f"{d}x{g}"], data[t], x)
+                into["z"][t], into["r"][t], into["n"][t] = dz, dr, dn
                 grad[d + "hz"] += h.T @ dz
                 grad[d + "hr"] += h.T @ dr
                 grad[d + "hn"] += h.T @ du
                 back = dh * z + dz @ p[d + "hz"].T + dr @ p[d + "hr"].T + du @ p[d + "hn"].T
+            hidden = back.shape[1]
+            cell = (data[:, :, None].astype(np.int64) * hidden + np.arange(hidden)).ravel()
+            for g in _GATES:
+                grad[f"{d}x{g}"] += np.bincount(cell, into[g].ravel(), 256 * hidden).reshape(256, hidden).astype(back.dtype)
         return float(loss), grad
 
     def fit(self, data: np.ndarray, mask: np.ndarray, label: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 0) -> ByteGRU:

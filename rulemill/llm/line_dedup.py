@@ -193,12 +193,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
 
         return joined.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
-    joined = _with_bitmaps(docs, bitmaps, key, text).drop("_doc", "_th")
+    joined, names = _with_bitmaps(docs, bitmaps, key, text).drop("_doc", "_th"), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t if k is None else _kept(t, k)[0] for t, k in zip(b[text].to_pylist(), b["_keep"].to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if n == text else b[n] for n in docs.columns]
-            yield pa.record_batch(columns, names=docs.columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if n == text else b[n] for n in names], names=names)
 
     return joined.mapInArrow(cut, docs.schema)
