@@ -40,7 +40,8 @@ def line_key(line: Column) -> Column:
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(body, "\n", -1)
-    hashed = F.transform(lines, lambda x: F.when(F.length(line_key(x)) > 0, F.struct(F.xxhash64(line_key(x)).alias("h1"), F.xxhash64(F.lit(7), line_key(x)).alias("h2"))))
+    keys = F.transform(lines, line_key)
+    hashed = F.transform(keys, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"))))
     return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("th"), F.posexplode(hashed).alias("pos", "h"), F.size(lines).alias("n")).where("h is not null").select("h.h1", "h.h2", "doc", "th", "pos", "n")
 
 
@@ -134,7 +135,8 @@ def find_repeats(docs: DataFrame, least: int = 10, keep_first: bool = False, key
     """
     spark = prepare(docs.sparkSession)
     order = ["h1", "h2", "doc", "th", "pos"]
-    lines = _rows(docs, key, text)
+    # range partitioning reads its input twice, once for the ranges: let that be the hashes, not the texts
+    lines = materialize(_rows(docs, key, text), "line-hashes")
     dealt = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     decided = materialize(dealt.mapInArrow(_streamer(least, keep_first), _OUT), "line-runs")
     # two rows a partition at most: small enough to broadcast whatever the corpus
