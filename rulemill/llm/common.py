@@ -47,3 +47,15 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that a column of df has already."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

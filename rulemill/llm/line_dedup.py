@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import free_names, materialize, prepare
 
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -177,29 +177,32 @@ def _kept(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
     return "\n".join(stay), len(lines), len(lines) - len(stay)
 
 
-def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str, text: str) -> DataFrame:
-    maps = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("keep").alias("_keep"))
-    return docs.join(maps, F.col(key).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_th")), "left")
+def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with their bitmaps, null for documents that lose nothing, and the name of that column."""
+    doc, th, keep = free_names(docs, "_doc", "_th", "_keep")
+    maps = bitmaps.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("keep").alias(keep))
+    joined = docs.join(maps, F.col(key).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(th)), "left")
+    return joined.drop(doc, th), keep
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """docs with the lines that stay; digest returns key, n_lines, n_dropped and kept_sha256 instead."""
     prepare(docs.sparkSession)
     if digest:
-        joined = _with_bitmaps(docs.select(key, text), bitmaps, key, text).select(key, text, "_keep")
+        joined, keep = _with_bitmaps(docs.select(key, text), bitmaps, key, text)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = [_kept(t, k) for t, k in zip(b[text].to_pylist(), b["_keep"].to_pylist(), strict=True)]
+                got = [_kept(t, k) for t, k in zip(b[text].to_pylist(), b[keep].to_pylist(), strict=True)]
                 yield pa.record_batch([b[key], pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0].encode()).hexdigest() for g in got], pa.string())], names=[key, "n_lines", "n_dropped", "kept_sha256"])
 
         return joined.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
-    joined, names = _with_bitmaps(docs, bitmaps, key, text).drop("_doc", "_th"), docs.columns
+    (joined, keep), names = _with_bitmaps(docs, bitmaps, key, text), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t if k is None else _kept(t, k)[0] for t, k in zip(b[text].to_pylist(), b["_keep"].to_pylist(), strict=True)]
+            texts = [t if k is None else _kept(t, k)[0] for t, k in zip(b[text].to_pylist(), b[keep].to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(texts, pa.string()) if n == text else b[n] for n in names], names=names)
 
     return joined.mapInArrow(cut, docs.schema)

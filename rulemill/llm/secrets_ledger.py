@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 
 @dataclass(frozen=True)
@@ -154,5 +154,6 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def redact_documents(docs: DataFrame, spans: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with the secrets of their texts masked; all rows and columns stay."""
-    keyed = docs.withColumn("_blob", blob_id(F.col(text))).join(spans.select(F.col("blob_id").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    return keyed.withColumn(text, redact(F.col(text), F.col("_spans"), mask)).select(*docs.columns)
+    own, found = free_names(docs, "_blob", "_spans")
+    keyed = docs.withColumn(own, blob_id(F.col(text))).join(spans.select(F.col("blob_id").alias(own), F.col("spans").alias(found)), own, "left")
+    return keyed.withColumn(text, redact(F.col(text), F.col(found), mask)).select(*docs.columns)

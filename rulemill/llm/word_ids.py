@@ -8,7 +8,6 @@ What the library has encoded is kept by word; texts for which the shortcut isn't
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,6 +19,15 @@ _PARTS = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile(r"[\x1c-\x1fΣ]")
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are in Latin-1, which composition leaves alone and all libraries lower alike."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordIds:
     """Encodes texts as little-endian unsigned 32-bit ids, without special tokens."""
 
@@ -38,32 +46,31 @@ class WordIds:
         self.specials = [s for s in (t.content for t in self.library.get_added_tokens_decoder().values())]
 
     def _plain(self, text: str) -> str | None:
-        """The text in lower case if lowering and composing it commute and no special token stands in it, else None."""
-        low = text.lower()
+        """The text as its words may be looked up, in lower case if that is sure to be the library's; None if it isn't."""
         if any(s in text for s in self.specials) or _ODD.search(text):
             return None
-        if not text.isascii() and not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
-            return None
-        return low
+        return text.lower() if _latin(text) else text
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
         words, parts = self.words, {}
-        fresh: set[str] = set()
+        plain: set[str] = set()
+        lone: list[str] = []
         for w in missing:
-            if w.isalpha() or "'" in w:
-                fresh.add(w)
+            if w.isalpha():
+                plain.add(w)
+            elif "'" in w or not _latin(w):  # beyond Latin-1, libraries disagree on what a letter is
+                lone.append(w)
             else:
                 parts[w] = p = _PARTS.findall(w)
-                fresh.update(x for x in p if x not in words)
-        lone = [w for w in fresh if "'" in w]
+                plain.update(x for x in p if x not in words)
         for w, ids in zip(lone, self._whole(lone), strict=True):
             words[w] = ids
-        plain = [w for w in fresh if "'" not in w]
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
+        order = list(plain)
+        for at in range(0, len(order), 2000):
+            some = order[at : at + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some) and (not len(stops) or stops[-1] == len(ids)):
