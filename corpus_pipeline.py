@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, simhash
-from rulemill.llm.common import materialize, prepare, table
+from rulemill.llm.common import free_names, materialize, prepare, table
 from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose predicted language is `und`: those without text or without a letter."""
-    named = byte_gru.identify(docs, byte_gru.train(docs), keep=tuple(docs.columns))
-    return named.where("lang_pred <> 'und'").drop("lang_pred", "score")
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # so that no column is named like a result
+    model, text = byte_gru.train(docs), plain[docs.columns.index("text")]
+    named = byte_gru.identify(docs.toDF(*plain), model, text=text, keep=tuple(plain))
+    return named.where("lang_pred <> 'und'").select(*plain).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash.near_duplicates(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     # hashes are compared, so that no text is sorted; ranks are cut before the shuffle, so a repeated doc_id is no hot key
+    (rank,) = free_names(docs, "_r")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    one = docs.where("doc_id is not null").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    one = docs.where("doc_id is not null").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
     return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
