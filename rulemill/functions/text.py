@@ -77,6 +77,21 @@ def similarity(a: Column, b: Column) -> Column:
     return F.pandas_udf(_similar, "double")(a, b)
 
 
+def _fixed(digits: int):
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else f"{v:.{digits}f}" for v in x], dtype=object)
+
+    return run
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded from its exact binary value: 0.175 is 0.17, where the JVM says 0.18.
+
+    For tables of rules and edges, which are short.
+    """
+    return F.pandas_udf(_fixed(digits), "string")(number.cast("double"))
+
+
 def clip(text: Column, length: int, mark: str = "...") -> Column:
     """The text, cut to length with a mark at the end if it is longer."""
     return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length), F.lit(mark))).otherwise(text)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f1, precision, recall
-from ..functions.text import clip, table_cell
+from ..functions.text import clip, fixed, table_cell
 from ..spec import Rule
 from .combining import score
 from .rules import predicate
@@ -49,7 +49,7 @@ def report(metrics: DataFrame, rules: Sequence[Rule], examples_: DataFrame) -> D
         F.posexplode(
             F.array(
                 F.lit("# Rule evaluation"),
-                F.format_string("- precision: %.3f", "precision"), F.format_string("- recall: %.3f", "recall"), F.format_string("- F1: %.3f", "f1"),
+                *[F.concat(F.lit(f"- {name}: "), fixed(F.col(c), 3)) for name, c in (("precision", "precision"), ("recall", "recall"), ("F1", "f1"))],
                 F.format_string("- true positives: %d, false positives: %d, predictions: %d", F.col("tp"), F.col("fp"), F.col("tp") + F.col("fp")),
                 F.lit("| # | Feature | Type | Threshold | Precision | Support | Examples |"), F.lit("|---|---|---|---|---|---|---|"),
             )

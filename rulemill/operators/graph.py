@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import clip
+from ..functions.text import clip, fixed
 
 #: Mechanisms kept of an edge (the last ones) and of a rule (the first ones).
 EDGE_MECHANISMS, RULE_MECHANISMS = 10_000, 5
@@ -30,7 +30,7 @@ def edges(triples: DataFrame, order: Sequence[str], min_weight: int = 1) -> Data
 
 def _two_decimals(c: Column) -> Column:
     """As text with two decimals; blank for null and for 0."""
-    return F.when(F.coalesce(c, F.lit(0.0)) != 0, F.format_string("%.2f", c)).otherwise("")
+    return F.when(F.coalesce(c, F.lit(0.0)) != 0, fixed(c, 2)).otherwise("")
 
 
 def edge_table(edges_: DataFrame, length: int = 1000) -> DataFrame:

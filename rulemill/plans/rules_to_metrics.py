@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.text import fixed
 from ..operators import combining, evaluation, rules, splitting
 from ..spec import Rule
 from .registry import query
@@ -168,7 +169,7 @@ def calibrated_rules(spark: SparkSession, d: str) -> DataFrame:
     ("items",),
 )
 def threshold_metrics_table(spark: SparkSession, d: str) -> DataFrame:
-    three = lambda c: F.format_string("%.3f", F.col(c))
+    three = lambda c: fixed(F.col(c), 3)
     found = combining.calibrated_rules(_swept(spark, d), ITEM_RULES)
     threshold = F.when(F.col("threshold_num").isNotNull(), three("threshold_num")).otherwise(F.col("threshold_str"))
     return found.select("feature", "outcome", "feature_type", threshold.alias("threshold"), three("rule_precision").alias("rule_precision"), "rule_support", three("combined_precision").alias("combined_precision"), "combined_support", three("combined_recall").alias("combined_recall"))

@@ -22,7 +22,8 @@ SQL = {
                CASE WHEN o.o_totalprice > 400000 THEN 1 ELSE 0 END AS label
         FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
     "items": """
-        SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS row_id, l_extendedprice AS price, l_quantity AS quantity, l_discount AS discount,
+        SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
+                         CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING), CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING)) AS row_id, l_extendedprice AS price, l_quantity AS quantity, l_discount AS discount,
                CAST(round(l_discount * 50) AS INT) AS level, l_linestatus = 'F' AS closed, l_linestatus AS state,
                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label
         FROM {lineitem}""",
