@@ -1,3 +1,61 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .secrets_ledger import RULES
+
+_METRIC_JOIN = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good,
+           list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.good AND b.good
+      WHERE CASE WHEN a.good AND b.good THEN list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.95 ELSE false END),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
+def _shard(shards: int) -> str:
+    u = "(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '@' || CAST(s AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+    return f"CAST(list_sort(list_transform(range(0, {shards}), lambda s: {{'score': 1.0::DOUBLE / -ln({u}), 'minus': -s}}), 'DESC')[1].minus * -1 AS INT)"
+
+
+# crc32 runs over the bytes with the usual table, which is made from the polynomial
+_SHARDING = f"""
+WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, list_transform(range(0, length(h) // 2), lambda i: CAST(('0x' || substr(h, i * 2 + 1, 2)) AS BIGINT)) AS bytes FROM d),
+s AS (SELECT doc_id, CAST(len(bytes) + 8 AS BIGINT) AS size,
+             xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32, {_shard(24)} AS shard, {_shard(25)} AS grown_shard FROM b, t)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard FROM s
+"""
+
+
+def _found(no: int) -> str:
+    r = RULES[no]
+    pattern = r.pattern.replace("'", "''")
+    return f"""SELECT doc_id, {no} AS kind_no, i, length(gaps[i]) AS gap, length(found[i]) AS len, length(held[i]) >= {r.least} AS ok FROM (
+        SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {r.group}) AS held FROM d WHERE regexp_matches(text, '{pattern}')), range(1, 1000000) n(i) WHERE i <= len(found)"""
+
+
+_KINDS = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+_BASE = ", ".join(str(no) for no, r in enumerate(RULES) if r.base)
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({' UNION ALL '.join(_found(no) for no in range(len(RULES)))}),
+p AS (SELECT doc_id, kind_no, len, ok, sum(gap + len) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS stop FROM m),
+s AS (SELECT doc_id, kind_no, CAST(stop - len AS BIGINT) AS start, concat_ws(':', {_KINDS}[kind_no + 1], CAST(CAST(stop - len AS BIGINT) AS VARCHAR), CAST(CAST(stop AS BIGINT) AS VARCHAR)) AS span FROM p WHERE ok),
+a AS (SELECT doc_id, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access, count(*) FILTER (WHERE kind_no = 2) AS n_hex,
+      string_agg(span, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no IN ({_BASE})) AS base, string_agg(span, ',' ORDER BY start, kind_no) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LINES = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_metric_join": _METRIC_JOIN, "op5_secret_ledger": _SECRETS, "op7_line_dedup": _LINES, "op3_rendezvous_sharding": _SHARDING}

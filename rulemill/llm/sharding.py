@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Slots are numbered in this many parts of each shard, so that no task holds a whole shard.
-SLOT_PARTS = 256
-
-
 def _unit(key: Column, shard: int) -> Column:
     """A uniform number in (0, 1) from the key and the shard number: 52 bits of an MD5 digest."""
     digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"@{shard}")))
@@ -47,20 +43,23 @@ def assign_shards(docs: DataFrame, shards: int = 24, weights: Sequence[float] |
     )
 
 
-def number_slots(assigned: DataFrame, key: str = "doc_id", parts: int = SLOT_PARTS) -> DataFrame:
-    """Adds slot, gapless from 0 in each shard.
+def number_slots(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds slot, gapless from 0 in each shard, by key, then checksum.
 
-    Rows are dealt into parts of each shard by row number, so a key with many rows spreads too; the rows of a part are
-    numbered, and the parts before it (a table of shards x parts counts) give the offset. The narrow table is written
-    first, since both passes must see the same parts.
+    Rows are dealt out by ranges of (shard, key, checksum, row number), so that neither a shard nor a key with very many
+    rows is one task's. Sorted, they are written with their place in their partition; a row for each shard and partition
+    tells where the shard's rows start there.
     """
-    dealt = materialize(assigned.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(parts)).cast("int")), "shards")
+    order = ["shard", key, "text_crc32", "_row"]
+    rows = materialize(assigned.withColumn("_row", F.monotonically_increasing_id()), "shards")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "shard-order")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    runs = placed.groupBy("shard", part.alias("_part")).agg(F.min(at).alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    offsets = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_part").orderBy(key, "text_crc32", "_row")
-    # offsets has one row for each shard and part: a bound that doesn't depend on the data
-    return dealt.withColumn("_at", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "_part"]).withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long"))
+    shift = runs.select("shard", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    # shift has a row for each shard and range partition that meet: fewer than shards plus partitions
+    return placed.withColumn("_part", part).join(F.broadcast(shift), ["shard", "_part"]).withColumn("slot", at + F.col("_shift"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
