@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numeric import number
 from ..spec import FeatureSpec
+from .cumulative import quantiles
 
 NUMERIC = ("continuous", "ordinal")
 
@@ -83,14 +84,15 @@ def typed(column: Column, kind: str) -> Column:
 
 
 def fit(df: DataFrame, specs: list[FeatureSpec]) -> CleaningModel:
-    """Exact median of numeric columns, mode of binary ones (smallest on ties, else 0), empty text for the rest."""
-    aggs = [F.percentile(F.col(s.name), 0.5).alias(s.name) if s.kind in NUMERIC else F.mode(F.col(s.name), True).alias(s.name) for s in specs if s.kind != "categorical" and not s.identifier]
-    row = df.agg(*aggs).first().asDict() if aggs else {}
+    """Exact median of numeric columns, mode of binary ones (smallest on ties, else 0), empty text for the rest.
+
+    Binary columns have few values, so their counts meet in one row; numeric ones may have any number.
+    """
+    numeric, binary = [s.name for s in specs if s.kind in NUMERIC and not s.identifier], [s.name for s in specs if s.kind == "binary" and not s.identifier]
     values: dict[str, float | str] = {s.name: "" for s in specs if s.kind == "categorical" and not s.identifier}
-    for s in specs:
-        if s.name in row:
-            values[s.name] = row[s.name] if row[s.name] is not None else ("0" if s.kind == "binary" else 0.0)
-    return CleaningModel(tuple(specs), values)
+    values |= {c: (q[0] if q else 0.0) for c, q in quantiles(df, numeric, [0.5]).items()}
+    modes = df.agg(*[F.mode(F.col(c), True).alias(c) for c in binary]).first().asDict() if binary else {}
+    return CleaningModel(tuple(specs), values | {c: "0" if m is None else m for c, m in modes.items()})
 
 
 def clean(df: DataFrame, specs: list[FeatureSpec]) -> tuple[DataFrame, CleaningModel]:

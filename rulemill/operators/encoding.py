@@ -11,6 +11,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from ..functions import vocabulary as V
 from ..functions.numeric import bin_number
+from .cumulative import quantiles
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,8 +42,7 @@ def column_kinds(df: DataFrame, distinct: Mapping[str, int], overrides: Mapping[
 
 def quantile_edges(df: DataFrame, column: str, shares: Sequence[float] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> list[float]:
     """Distinct exact quantiles of a column, the last one replaced by infinity."""
-    found = df.agg(F.percentile(F.col(column), F.array(*[F.lit(s) for s in shares]))).first()[0] or []
-    edges = sorted(set(found))
+    edges = sorted(set(quantiles(df, [column], shares)[column]))
     return [*edges[:-1], float("inf")]
 
 

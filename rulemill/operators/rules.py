@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import precision, ratio
 from ..spec import Rule
+from .cumulative import quantiles, running_sums
 
 
 def predicate(rule: Rule) -> Column:
@@ -49,31 +50,16 @@ def value_counts(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     return long.groupBy("p.feature", "p.value").agg(F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") == 0).alias("neg"))
 
 
-#: Values of a feature are summed in this many ranges first, so that no task needs all of a feature's values at once.
-RANGES = 64
-
-
 def threshold_scan(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """feature, threshold, tp, fp, precision for `feature >= threshold`, for every distinct value."""
-    return suffix_sums(value_counts(df, features, label))
+    return suffix_sums(value_counts(df, features, label)).drop("from_top")
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
-    """Running sums of pos and neg from the largest value down, in two levels.
-
-    A value's range is its place between the feature's extremes; the sums of higher ranges (RANGES rows a feature)
-    are added to the sums within its own range.
-    """
-    ends = counts.groupBy("feature").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    place = F.least(F.lit(RANGES - 1), F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0)) * RANGES)).cast("int")
-    placed = counts.join(F.broadcast(ends), "feature").withColumn("_range", place)
-    above = Window.partitionBy("feature").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("feature", "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    sums = sums.select("feature", "_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n"))
-    own = Window.partitionBy("feature", "_range").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = placed.withColumn("tp", F.sum("pos").over(own)).withColumn("fp", F.sum("neg").over(own)).join(F.broadcast(sums), ["feature", "_range"])
-    tp, fp = F.col("tp") + F.col("_p"), F.col("fp") + F.col("_n")
-    return found.select("feature", F.col("value").alias("threshold"), tp.alias("tp"), fp.alias("fp"), precision(tp, fp).alias("precision"))
+    """The counts of each threshold and its place from the top: running sums from the largest value down."""
+    run = running_sums(counts.withColumn("one", F.lit(1).cast("long")), "feature", "value", ["pos", "neg", "one"], descending=True)
+    tp, fp = F.col("pos_run"), F.col("neg_run")
+    return run.select("feature", F.col("value").alias("threshold"), tp.alias("tp"), fp.alias("fp"), precision(tp, fp).alias("precision"), F.col("one_run").alias("from_top"))
 
 
 def candidates(df: DataFrame, kinds: dict[str, str], label: str, most: int = 100, levels: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
@@ -82,24 +68,22 @@ def candidates(df: DataFrame, kinds: dict[str, str], label: str, most: int = 100
     continuous: all distinct values, or `most` evenly spaced ones of them (positions k * ((n - 1) / (most - 1)) cut to
     whole numbers, the last one exact); ordinal: those of levels that occur, or all values if none does.
     """
-    scan = threshold_scan(df, list(kinds), label)
-    by = Window.partitionBy("feature").orderBy("threshold")
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("feature"))
-    scan = scan.withColumn("_kind", kind).withColumn("_level", F.col("threshold").isin([float(v) for v in levels]))
-    scan = scan.withColumn("_any", F.max("_level").over(Window.partitionBy("feature")))
-    scan = scan.where((F.col("_kind") == "continuous") | F.col("_level") | ~F.col("_any"))
-    scan = scan.withColumn("_i", F.row_number().over(by) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("feature")))
+    scan = suffix_sums(value_counts(df, list(kinds), label)).withColumn("_level", F.col("threshold").isin([float(v) for v in levels]))
+    facts = scan.groupBy("feature").agg(F.count("*").alias("_n"), F.max("_level").alias("_any"))  # a row a feature
+    scan = scan.join(F.broadcast(facts), "feature").withColumn("_i", F.col("_n") - F.col("from_top"))
     last = F.col("_n") - 1
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 2)), lambda k: (k * (last / F.lit(float(most - 1)))).cast("int"))
-    keep = (F.col("_kind") != "continuous") | (F.col("_n") <= most) | (F.col("_i") == last) | F.array_contains(places, F.col("_i"))
-    return scan.where(keep).select("feature", (F.row_number().over(by) - 1).cast("int").alias("pos"), "threshold", "tp", "fp", "precision")
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 2)), lambda k: (k * (last / F.lit(float(most - 1)))).cast("long"))
+    spaced = (F.col("_n") <= most) | (F.col("_i") == last) | F.array_contains(places, F.col("_i"))
+    kept = scan.where(F.when(kind == "continuous", spaced).otherwise(F.col("_level") | ~F.col("_any")))
+    by = Window.partitionBy("feature").orderBy("threshold")
+    return kept.select("feature", (F.row_number().over(by) - 1).cast("int").alias("pos"), "threshold", "tp", "fp", "precision")
 
 
 def percentile_candidates(df: DataFrame, features: Sequence[str], shares: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95)) -> DataFrame:
     """feature, pos, threshold: exact percentiles, repeats left out."""
-    one = df.agg(*[F.array_sort(F.array_distinct(F.percentile(F.col(c), F.array(*[F.lit(s) for s in shares])))).alias(c) for c in features])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("t")) for c in features])).alias("r"))
-    return long.select("r.feature", F.posexplode("r.t").alias("pos", "threshold"))
+    rows = [(c, i, t) for c, ts in quantiles(df, features, shares).items() for i, t in enumerate(sorted(set(ts)))]
+    return df.sparkSession.createDataFrame(rows, "feature string, pos int, threshold double")
 
 
 TIES = {"highest_support": (F.desc, "tp"), "lowest_threshold": (F.asc, "threshold"), "highest_threshold": (F.desc, "threshold")}
