@@ -28,10 +28,10 @@ def column_kinds(df: DataFrame, distinct: Mapping[str, int], overrides: Mapping[
         low = f.name.lower()
         if overrides and f.name in overrides:
             kind = overrides[f.name]
-        elif isinstance(f.dataType, BooleanType) or distinct[f.name] <= 2:
-            kind = "binary"
         elif isinstance(f.dataType, StringType):
             kind = "categorical"
+        elif isinstance(f.dataType, BooleanType) or distinct[f.name] <= 2:
+            kind = "binary"
         elif isinstance(f.dataType, NumericType):
             kind = "ordinal" if distinct[f.name] <= most else "continuous"
         else:
@@ -84,13 +84,14 @@ class Encoding:
     codes: dict[str, list[str]]
     label: str
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        """Columns in kind groups, by name within each: raw, bins, ordinals, their labels, binary, codes, text, flags, label."""
+    def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Columns to keep, then columns in kind groups, by name within each: raw, bins, ordinals, their labels, binary, codes, text, flags, label."""
         of = lambda kind: sorted(c for c, k in self.kinds.items() if k == kind)
         flags = sorted(c for c in df.columns if c.endswith("_missing"))
         continuous, ordinal = of("continuous"), of("ordinal")
         code = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in self.codes[c]]), F.col(c).cast("string")) - 1, F.lit(0)) if self.codes[c] else F.lit(0)
         return df.select(
+            *keep,
             *[F.col(c).cast("double").alias(c) for c in continuous],
             *[bin_number(F.col(c), self.edges[c]).alias(f"{c}_bin") for c in continuous],
             *[F.col(c).cast("int").alias(c) for c in ordinal],

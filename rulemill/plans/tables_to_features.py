@@ -168,9 +168,8 @@ def cardinality_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT * FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN {'true' if c in ('closed', 'state') else 'false'} THEN '{'binary' if c == 'closed' else 'binary'}' WHEN count(DISTINCT {c}) <= 10 THEN 'ordinal' ELSE 'continuous' END AS kind FROM items" for c in _ITEM_COLUMNS)
-    + ")",
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN count(DISTINCT {c}) <= 10 THEN 'ordinal' ELSE 'continuous' END AS kind FROM items" for c in _ITEM_COLUMNS[:4])
+    + " UNION ALL SELECT 'closed', 'binary' UNION ALL SELECT 'state', 'categorical')",
     ("items",),
 )
 def feature_types(spark: SparkSession, d: str) -> DataFrame:
