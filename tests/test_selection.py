@@ -1,9 +1,29 @@
+import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from rulemill.operators import selection
 
 
-def test_importance_finds_the_feature_that_matters(spark):
-    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("noise"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0).alias("sign"), F.lit("k").alias("c"), (F.col("id") % 3 == 0).cast("int").alias("y"))
-    got = selection.importance(df, ["noise", "sign"], ["c"], "y", top=2, rounds=3, target_rate=0.02).orderBy("rank").collect()
-    assert got[0]["feature"] == "sign" and len(got) == 2
+@pytest.fixture(scope="module")
+def data(spark):
+    sign = F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.0)
+    return spark.range(400).select((F.col("id") % 7).cast("double").alias("noise"), sign.alias("sign"), F.lit("k").alias("c"), (F.col("id") % 3 == 0).cast("int").alias("y")).cache()
+
+
+@pytest.mark.parametrize("measure", ["contribution", "gain"])
+def test_importance_finds_the_feature_that_matters(data, measure):
+    got = selection.importance(data, ["noise", "sign"], ["c"], "y", top=2, rounds=3, target_rate=0.02, measure=measure).orderBy("rank").collect()
+    assert got[0]["feature"] == "sign" and len(got) == 2 and got[0]["importance"] > got[1]["importance"] >= 0
+
+
+def test_contributions_equal_plain_differences(data, spark):
+    """The mean over rows of |margin(x) - margin(x with one feature at its mean)|."""
+    rows = data.select(F.col("y").cast("double").alias("_y"), F.lit(1.0).alias("_w"), "noise", "sign")
+    trees = selection.fit_trees(rows, ["noise", "sign"], [], 3, 2, 0.1, 1.0, 1).stages[-1]
+    got = selection.contributions(trees, rows.select("noise", "sign"), ["noise", "sign"])
+    own = [(r["noise"], r["sign"]) for r in rows.collect()]
+    mean = [sum(x[k] for x in own) / len(own) for k in (0, 1)]
+    margin = {x: trees.predictRaw(Vectors.dense(x))[1] for x in {*own, *((mean[0], b) for _, b in own), *((a, mean[1]) for a, _ in own)}}
+    want = {"noise": sum(abs(margin[a, b] - margin[mean[0], b]) for a, b in own) / len(own), "sign": sum(abs(margin[a, b] - margin[a, mean[1]]) for a, b in own) / len(own)}
+    assert got == pytest.approx(want)
