@@ -90,7 +90,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
         todo = todo.select("blob_id", F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
         pending = blobs.join(todo.select("blob_id"), "blob_id", "left_semi").groupBy("blob_id").agg(F.first("text").alias("text")).join(todo, "blob_id")
     pending = pending if ledger is None else materialize(pending, "pending-blobs")
-    found = scan_blobs(pending, rules)
+    # written, like any ledger: a join with it then meets a table of findings only, and may split a blob with many paths
+    found = materialize(scan_blobs(pending, rules), "ledger")
     if ledger is None:  # all pairs are new: no need to join for the list of them
         return found
     rows = pending.select("blob_id", "pending").join(found, "blob_id", "left")
