@@ -9,8 +9,8 @@ Because the document and the position are part of the range key, a line that a t
 over as many partitions as it needs.
 
 Defined results: a document is a distinct pair of key and text, so repeated rows count once and all come back; a
-null or empty text is one empty line; null keys are documents like others; empty lines are kept always; an empty
-table gives an empty result; other columns pass through.
+null or empty text is one empty line; null keys are documents like others; lines that are empty once stripped are kept
+always; an empty table gives an empty result; other columns pass through. Keys are whole numbers.
 """
 
 from __future__ import annotations
