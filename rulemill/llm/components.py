@@ -35,9 +35,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Links in either direction, repeated links and links of a node to itself are fine; links with a null end count for
     nothing. Rounds are written to the shared folder; their number grows with the logarithm of the size.
     """
-    clean = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    alone = clean.where("u = v").select("u").distinct()
-    edges = materialize(clean.where("u <> v").distinct(), "links")
+    clean = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    clean = materialize(clean, "links")
+    alone, edges = clean.where("u = v").select("u"), clean.where("u <> v")
     state = None
     while True:
         # stars are stable when neither step changes the edges: compare their number and a sum of their hashes
