@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, simhash
+from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, shingle_join
 from rulemill.llm.common import free_names, materialize, prepare, table
+from rulemill.llm.components import connected_components
 from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 
 
@@ -31,14 +32,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one that names it; of rows that share a doc_id one, those without any all."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # hashes are compared, so that no text is sorted; ranks are cut before the shuffle, so a repeated doc_id is no hot key
-    (rank,) = free_names(docs, "_r")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    one = docs.where("doc_id is not null").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
-    return one.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps the row with the smallest doc_id of each group of texts that five-word Jaccard similarities of 0.8 connect.
+
+    Rows without a doc_id all stay; texts without a word are one group.
+    """
+    cls, rank, component, node = free_names(docs, "_c", "_r", "_g", "_n")
+    # hashes are compared, so that no text is sorted; ranks are cut before the shuffle, so a group is no hot key
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
+    same = F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    copies = Window.partitionBy(cls).orderBy(*order)
+    one = materialize(docs.withColumn(cls, same).withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1).drop(rank), "texts")
+    groups = connected_components(shingle_join.near_links(one.select(F.col(cls).alias("node"), "text"), words=5, least=0.8))
+    groups = groups.select(F.col("node").alias(node), F.col("component").alias(component))
+    named = one.where("doc_id is not null").join(groups, F.col(cls) == F.col(node), "left").withColumn(component, F.coalesce(component, cls))
+    first = Window.partitionBy(component).orderBy(*order)
+    kept = named.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
+import random
 import zlib
 
 import corpus_pipeline as C
 import numpy as np
 from pyspark.sql import functions as F
 
+from rulemill.llm import shingle_join
 from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 from rulemill.llm.word_ids import word_ids
 
-from .helpers import Union, frame, odd_documents
+from .helpers import WORDS, Union, frame, odd_documents
 from .test_documents import base_spans, key, plain_fingerprint
 
 
@@ -77,3 +79,54 @@ def test_stages_on_odd_tables(spark):
 
 def test_five_stages_in_order():
     assert [n for n, _ in C.STAGES] == ["language", "lines", "near_duplicates", "secrets", "pack"]
+
+
+def five_words(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited_documents():
+    """Originals with copies of which one word in 12 to 70 is another one; two texts under one doc_id; a chain."""
+    rng = random.Random(3)
+    say = lambda k: [f"w{rng.randrange(4000)}" for _ in range(k)]
+    rows = []
+    for i in range(40):
+        base = say(rng.randint(60, 260))
+        rows.append((10 * i, " ".join(base)))
+        for j in range(1, 5):
+            edited = [rng.choice(WORDS) if rng.random() < 1 / rng.randint(12, 70) else w for w in base]
+            rows.append((10 * i + j, " ".join(edited)))
+    chain = say(120)
+    for i in range(12):
+        rows.append((1000 + i, " ".join(chain)))
+        chain = chain[8:] + say(8)
+    return rows
+
+
+def test_near_duplicates_equal_brute_force_jaccard(spark):
+    rows = edited_documents()
+    sets, union, linked = [five_words(t) for _, t in rows], Union(len(rows)), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                union.join(i, j)
+                linked += 1
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want.setdefault(union.find(i), []).append(d)
+    assert linked > 60 and len(want) < len(rows)
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = sorted(r["doc_id"] for r in C.near_duplicates(spark, docs, None).collect())
+    assert got == sorted(min(g) for g in want.values())
+
+
+def test_long_runs_are_dealt_in_chunks(spark):
+    rows = [(i, " ".join(f"a{k}" for k in range(i % 7, 60 + i % 7)) + f" b{i}") for i in range(40)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    links = shingle_join.near_links(texts, chunk=5).collect()
+    union = Union(40)
+    for r in links:
+        union.join(r["a"], r["b"])
+    assert len({union.find(i) for i in range(40)}) == 1
