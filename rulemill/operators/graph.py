@@ -12,6 +12,7 @@ from ..functions.text import clip, fixed
 
 #: Mechanisms kept of an edge (the last ones) and of a rule (the first ones).
 EDGE_MECHANISMS, RULE_MECHANISMS = 10_000, 5
+_SALTS = 64
 
 
 def edges(triples: DataFrame, order: Sequence[str], min_weight: int = 1) -> DataFrame:
@@ -19,13 +20,18 @@ def edges(triples: DataFrame, order: Sequence[str], min_weight: int = 1) -> Data
     at = F.struct(*[F.col(c) for c in order])
     found = triples.groupBy("feature", "outcome").agg(
         F.count("*").alias("weight"),
-        F.sort_array(F.collect_list(F.struct(at.alias("at"), F.col("mechanism")))).alias("_m"),
         F.avg("confidence").alias("confidence_avg"),
         F.sum("confidence").alias("confidence_sum"),
         F.min(at).alias("first_seen"),
     )
-    listed = F.transform(F.slice("_m", F.greatest(F.lit(1), F.size("_m") - EDGE_MECHANISMS + 1), F.lit(EDGE_MECHANISMS)), lambda x: x["mechanism"])
-    return found.where(F.col("weight") >= min_weight).select("feature", "outcome", "weight", listed.alias("mechanisms"), "confidence_avg", "confidence_sum", "first_seen")
+    # the last ones of salted parts, then of these: no task sorts or holds all triples of an edge
+    rows = triples.select("feature", "outcome", F.struct(at.alias("at"), F.col("mechanism")).alias("_m"))
+    for key in (["feature", "outcome", F.pmod(F.xxhash64("_m"), F.lit(_SALTS))], ["feature", "outcome"]):
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_m")))).where(F.col("_r") <= EDGE_MECHANISMS).drop("_r")
+    last = rows.groupBy(F.col("feature").alias("_f"), F.col("outcome").alias("_o")).agg(F.sort_array(F.collect_list("_m")).alias("_m"))
+    listed = F.transform("_m", lambda x: x["mechanism"])
+    both = found.where(F.col("weight") >= min_weight).join(last, F.col("feature").eqNullSafe(F.col("_f")) & F.col("outcome").eqNullSafe(F.col("_o")))
+    return both.select("feature", "outcome", "weight", listed.alias("mechanisms"), "confidence_avg", "confidence_sum", "first_seen")
 
 
 def _two_decimals(c: Column) -> Column:
