@@ -61,7 +61,7 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Orderings:
-    """Random directions and shifts; the grid spans the projections' range on the unit ball."""
+    """Random directions and shifts; the grid spans the projections' range given with each call."""
 
     def __init__(self, width: int, orderings: int, directions: int, bits: int, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -69,14 +69,43 @@ class _Orderings:
         self.bits = bits
         self.axes = [np.linalg.qr(rng.normal(size=(width, directions)))[0] for _ in range(orderings)]
         self.shift = rng.random((orderings, directions))
-        self.reach = min(1.0, 4.0 / np.sqrt(width))  # projections of unit vectors beyond four deviations are rare
 
-    def keys(self, x: np.ndarray, no: int) -> np.ndarray:
-        at = np.clip((x @ self.axes[no] / self.reach + 1) / 2, 0, 1)  # in [0, 1]
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """All projections of all orderings, side by side."""
+        return x @ np.concatenate(self.axes, axis=1)
+
+    def keys(self, x: np.ndarray, no: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        at = np.clip((x @ self.axes[no] - low) / np.maximum(high - low, 1e-300), 0, 1)
         grid = ((at + self.shift[no] / 4) / 1.25 * (1 << self.bits)).astype(np.int64)
         return hilbert_keys(np.minimum(grid, (1 << self.bits) - 1), self.bits)
 
 
+def _lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
+    """Data get a last component that makes all norms 1; queries are unit vectors with a zero there."""
+    if query:
+        return np.concatenate([x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))], axis=1)
+    x = x / largest
+    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
+
+
+def _ranges(classes: DataFrame, fmt: str, largest: float, orderings: _Orderings) -> dict[bool, np.ndarray]:
+    """The 1 % and 99 % quantiles (2 x orderings x directions) of the projections of data (False) and of queries (True)."""
+    count, each = orderings.shift.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, asks = stack(b["vec"].to_pylist(), fmt), b["query"].to_numpy(zero_copy_only=False).astype(bool)
+            for kind, rows in ((False, x), (True, x[asks])):
+                if len(rows):
+                    found = orderings.project(_lift(rows, largest, kind))
+                    yield pa.record_batch([pa.array(np.full(len(rows), kind)), *(pa.array(c) for c in found.T.copy())], names=["kind", *(f"p{i}" for i in range(count * each))])
+
+    names = [f"p{i}" for i in range(count * each)]
+    found = classes.mapInArrow(run, ", ".join(["kind boolean", *(f"{n} double" for n in names)]))
+    got = found.groupBy("kind").agg(*[F.percentile_approx(n, [0.01, 0.99], 1000).alias(n) for n in names]).collect()
+    return {r["kind"]: np.array([r[n] for n in names]).T.reshape(2, count, each) for r in got}
+
+
 def _members(rows: DataFrame, key: str, k: int) -> DataFrame:
     """vec with its k + 1 smallest (key, uid), picked in salted parts first so that no task holds all copies."""
     part = rows.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(_SALTS)))
@@ -88,30 +117,39 @@ def _members(rows: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _ranked(classes: DataFrame, fmt: str, largest: float, width: int, orderings: _Orderings, count: int) -> DataFrame:
-    """(o, rank, cid, query, vec): the rows of every ordering with their ranks."""
+    """(o, rank, cid, query, vec): the rows of every ordering with their ranks; queries are rows of their own.
+
+    A query's rank is the number of data rows before it.
+    """
+    ranges = _ranges(classes, fmt, largest, orderings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = stack(b["vec"].to_pylist(), fmt) / largest
-            x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
-            for o in range(count):
-                yield pa.record_batch([pa.array(np.full(len(x), o, np.int32)), pa.array(orderings.keys(x, o)), b["cid"], b["query"], b["vec"]], names=["o", "h", "cid", "query", "vec"])
+            x, asks = stack(b["vec"].to_pylist(), fmt), b["query"].to_numpy(zero_copy_only=False).astype(bool)
+            for kind, some in ((False, np.arange(len(x))), (True, np.flatnonzero(asks))):
+                if not len(some):
+                    continue
+                lifted, take = _lift(x[some], largest, kind), pa.array(some)
+                for o in range(count):
+                    h = orderings.keys(lifted, o, *ranges[kind][:, o])
+                    yield pa.record_batch([pa.array(np.full(len(some), o, np.int32)), pa.array(h), b["cid"].take(take), pa.array(np.full(len(some), kind)), b["vec"].take(take)], names=["o", "h", "cid", "query", "vec"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(seen, seen + b.num_rows))], names=[*b.schema.names, "part", "i"])
-            seen += b.num_rows
+            data = ~b["query"].to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.record_batch([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(seen + np.cumsum(data) - data)], names=[*b.schema.names, "part", "i"])
+            seen += int(data.sum())
 
     keyed = materialize(classes.mapInArrow(run, "o int, h long, cid long, query boolean, vec binary"), "curve-keys")
-    order = ["o", "h", "cid"]
+    order = ["o", "h", "cid", "query"]
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(index, "o int, h long, cid long, query boolean, vec binary, part int, i long")
     dealt = materialize(dealt, "curve-order")
     # a row for each partition and ordering in it: where its rows start in the partition, and in the ordering
-    runs = dealt.groupBy("o", "part").agg(F.min("i").alias("first"), F.count("*").alias("rows"))
+    runs = dealt.groupBy("o", "part").agg(F.min("i").alias("first"), F.count_if(~F.col("query")).alias("rows"))
     before = Window.partitionBy("o").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("o", "part", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     return dealt.join(F.broadcast(runs), ["o", "part"]).select("o", (F.col("i") + F.col("shift")).alias("rank"), "cid", "query", "vec")
@@ -149,7 +187,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     rank, part = F.col("rank"), F.pmod(F.xxhash64("cid"), F.lit(parts))
     blocks = F.sequence(F.greatest(F.lit(0), F.floor((rank - window) / block)), F.least(F.lit(last), F.floor((rank + window) / block)))
     queries = ranked.where("query").select("o", F.explode(blocks).alias("b"), part.alias("p"), F.lit(True).alias("ask"), "rank", "cid", "vec")
-    others = ranked.select("o", F.floor(rank / block).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"), F.lit(False).alias("ask"), "rank", "cid", "vec")
+    others = ranked.where("not query").select("o", F.floor(rank / block).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("p"), F.lit(False).alias("ask"), "rank", "cid", "vec")
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         q, c = frame[frame["ask"]], frame[~frame["ask"]]
@@ -169,6 +207,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
         return pd.concat(out)
 
     found = queries.unionByName(others).groupBy("o", "b", "p").applyInPandas(near, "query long, cid long, score double")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = stack(b["vec"].to_pylist(), fmt)
+            yield pa.record_batch([b["cid"], b["cid"], pa.array((x * x).sum(axis=1) if len(x) else [], pa.float64())], names=["query", "cid", "score"])
+
+    # a query's own vector may lie outside its window, and its copies are found by it
+    found = found.unionByName(classes.where("query").select("cid", "vec").mapInArrow(own, "query long, cid long, score double"))
     merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
     members = classes.select("cid", "members", F.element_at("members", 1)["key"].alias("least"))
     best = merged.join(members, "cid").withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "cid"))).where(F.col("_r") <= k + 1)

@@ -106,3 +106,16 @@ def test_search_copies_and_ties(spark):
     few = hilbert_search.search(frame(spark, rows[-1:] + rows[:2], SCHEMA), F.col("vec_id") == 100, k=5).collect()
     assert sorted((r["rank"], r["vec_id"]) for r in few) == [(1, 0), (2, 1)]
     assert hilbert_search.search(frame(spark, [], SCHEMA), F.lit(True)).collect() == []
+
+
+def test_search_recall_with_uneven_norms_and_an_outlier(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 16))
+    x *= (rng.uniform(0.5, 2, 2000) / np.linalg.norm(x, axis=1))[:, None]
+    x[1] *= 100 * 2 / np.linalg.norm(x[1])
+    df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    got = hilbert_search.search(df, F.col("vec_id") % 20 == 0, k=20, share=0.05).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = sum(r["vec_id"] in np.argsort(-score[r["query_id"]])[:20] for r in got)
+    assert hits / 2000 >= 0.75, hits / 2000
