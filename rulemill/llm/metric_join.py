@@ -31,6 +31,12 @@ PER_PIVOT, MIN_PIVOTS, MAX_PIVOTS, BLOCK = 4096, 8, 256, 4096
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Very large and very small ones are scaled first, so that no square over- or underflows."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    odd = ((top > 1e100) | (top < 1e-100)).ravel()
+    if odd.any():
+        x = x.copy()
+        x[odd] /= top[odd]
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -171,7 +177,7 @@ def near_duplicates(df: DataFrame, least: float = 0.95, key: str = "vec_id", col
                 some = found > 0
                 out.append(pd.DataFrame({"a": home["cid"].to_numpy()[some], "b": None, "n": found[some]}))
                 out.append(pd.DataFrame(links, columns=["a", "b"]).assign(n=0))
-        return pd.concat(out).astype({"a": "int64", "b": "Int64", "n": "int64"}) if out else pd.DataFrame({"a": pd.Series([], "int64"), "b": pd.Series([], "Int64"), "n": pd.Series([], "int64")})
+        return pd.concat(out).astype({"a": "int64", "b": "Int64", "n": "int64"}) if out else pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="Int64"), "n": pd.Series([], dtype="int64")})
 
     dealt = classes.select("cid", "n", "vec").mapInArrow(deal, "cell long, h long, c long, role long, cid long, n long, vec binary")
     joined = materialize(dealt.groupBy("cell", "h", "c").applyInPandas(join, "a long, b long, n long"), "vector-links")
