@@ -8,8 +8,13 @@ exact inner product of the original vectors.
 For inner products, vectors get one more component that makes all norms equal (queries: zero), so that the largest
 product is the smallest angle.
 
-The window is a share of the table, not a number of rows, so that recall doesn't fall as the table grows. On vectors
-without any structure recall needs large windows, whatever the index; on clustered ones far smaller windows do.
+The window is a fixed number of rows, and raised only as far as a measurement asks: a bounded sample of the queries is
+compared with all vectors, and the window is the least that holds the wanted share of their true neighbours in some
+ordering. On clustered vectors it stays small however large the table; on vectors without any structure recall needs
+a window that grows with the table, whatever the index.
+
+Scores are sums of products from the first component to the last in double precision, so they don't depend on how rows
+meet; sums that overflow are infinite.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, those of another length than the
 most frequent one and those with a null key take no part; equal vectors are indexed once, with their smallest keys,
@@ -30,11 +35,28 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import encode, number_format, stack
 
-#: Orderings, directions and bits of each, the window to either side as a share of the rows, rows of a block.
-ORDERINGS, DIRECTIONS, BITS, SHARE, BLOCK = 8, 6, 5, 0.11, 8192
+#: Orderings, directions and bits of each, the least window to either side, rows of a block.
+ORDERINGS, DIRECTIONS, BITS, WINDOW, BLOCK = 8, 6, 5, 1024, 8192
+#: Queries that are compared with all vectors, and the share of their true neighbours that windows must hold.
+MEASURED, HELD = 128, 0.95
 _SALTS = 64
 
 
+def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The inner product of each row of x with that of y, summed in the order of the components."""
+    out = np.zeros(len(x))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a, b in zip(x.T, y.T, strict=True):
+            out += a * b
+    return out
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows that aren't zero; no square over- or underflows."""
+    top = np.abs(x).max(axis=1)
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
+
+
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
     """Positions along the Hilbert curve of points on a grid (n x directions, each below 2 ** bits).
 
@@ -83,7 +105,7 @@ class _Orderings:
 def _lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
     """Data get a last component that makes all norms 1; queries are unit vectors with a zero there."""
     if query:
-        return np.concatenate([x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros((len(x), 1))], axis=1)
+        return np.concatenate([x / _norms(x)[:, None], np.zeros((len(x), 1))], axis=1)
     x = x / largest
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
 
@@ -155,8 +177,42 @@ def _ranked(classes: DataFrame, fmt: str, largest: float, width: int, orderings:
     return dealt.join(F.broadcast(runs), ["o", "part"]).select("o", (F.col("i") + F.col("shift")).alias("rank"), "cid", "query", "vec")
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", column: str = "embedding", orderings: int = ORDERINGS, share: float = SHARE, block: int = BLOCK) -> DataFrame:
-    """The k nearest rows found for each query row: query_id, rank, the key, score; nearest first."""
+def _measured_window(classes: DataFrame, ranked: DataFrame, fmt: str, k: int, measured: int, held: float) -> int:
+    """The least window that holds the share of the true k nearest of sampled queries; 0 without any.
+
+    The sample is bounded, and so is all that follows from it: k neighbours of each of its queries.
+    """
+    asked = classes.where("query").select("cid", "vec").orderBy(F.xxhash64("cid"), "cid").limit(measured).collect()
+    if not asked:
+        return 0
+    own, x = np.array([r["cid"] for r in asked], np.int64), stack([bytes(r["vec"]) for r in asked], fmt)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b["cid"].to_numpy()
+            score = x @ stack(b["vec"].to_pylist(), fmt).T
+            score[own[:, None] == ids[None]] = -np.inf
+            take = min(k, len(ids))
+            best = np.argpartition(-score, take - 1, axis=1)[:, :take]
+            yield pa.record_batch([pa.array(np.repeat(own, take)), pa.array(ids[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["ask", "cid", "score"])
+
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "cid")
+    true = classes.select("cid", "vec").mapInArrow(nearest, "ask long, cid long, score double").where(F.col("score") > float("-inf"))
+    true = materialize(true.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("ask", "cid"), "true-neighbours")
+    there = ranked.where("not query").select("o", "rank", "cid").join(F.broadcast(true), "cid")
+    here = ranked.where("query").select("o", F.col("rank").alias("at"), F.col("cid").alias("ask")).join(F.broadcast(true.select("ask").distinct()), "ask")
+    gaps = there.join(F.broadcast(here), ["o", "ask"]).groupBy("ask", "cid").agg(F.min(F.abs(F.col("rank") - F.col("at"))).alias("gap"))
+    found = sorted(r["gap"] for r in gaps.select("gap").collect())
+    return found[int(np.ceil(held * len(found))) - 1] if found else 0
+
+
+def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", column: str = "embedding", orderings: int = ORDERINGS, window: int = WINDOW, block: int = BLOCK, measured: int = MEASURED, held: float = HELD) -> DataFrame:
+    """The k nearest rows found for each query row: query_id, rank, the key, score; nearest first.
+
+    window is raised to what `measured` queries need to find the share `held` of their nearest; 0 measures none.
+    """
     spark, fmt = df.sparkSession, number_format(df, column)
     kind = df.schema[key].dataType.simpleString()
     empty = f"query_id {kind}, rank int, `{key}` {kind}, score double"
@@ -172,14 +228,14 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = stack(b["vec"].to_pylist(), fmt)
-            yield pa.record_batch([pa.array([float(np.sqrt((x * x).sum(axis=1).max()))] if len(x) else [], pa.float64())], names=["m"])
+            yield pa.record_batch([pa.array([float(_norms(x).max())] if len(x) else [], pa.float64())], names=["m"])
 
     stats = classes.agg(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
     largest = classes.select("vec").mapInArrow(norms, "m double").agg(F.max("m")).first()[0]
     dims = width["w"] // int(fmt[-1])
     curves = _Orderings(dims + 1, orderings, DIRECTIONS, BITS)
     ranked = materialize(_ranked(classes.select("cid", "query", "vec"), fmt, largest, dims, curves, orderings), "curve-ranks")
-    window = max(k + 1, int(np.ceil(share * stats["n"])))
+    window = min(stats["n"], max(k + 1, window, _measured_window(classes, ranked, fmt, k, measured, held)))
     block = min(block, max(window, 256))
     # queries of a block come from the blocks within the window around it; they are dealt in parts of bounded size
     parts = max(1, -(-int(stats["q"] * min(1.0, (2 * window + block) / stats["n"])) // block))
@@ -192,18 +248,20 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         q, c = frame[frame["ask"]], frame[~frame["ask"]]
         if not len(q) or not len(c):
-            return pd.DataFrame({"query": pd.Series([], "int64"), "cid": pd.Series([], "int64"), "score": pd.Series([], "float64")})
+            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "cid": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         x, y, ids = stack(q["vec"], fmt), stack(c["vec"], fmt), c["cid"].to_numpy()
         c_rank, q_rank = c["rank"].to_numpy(), q["rank"].to_numpy()
-        take, out = min(k + 1, len(c)), []
+        take, out, far = min(k + 1, len(c)), [], _norms(y).max()
         for a in range(0, len(x), 256):
-            score = x[a : a + 256] @ y.T
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = x[a : a + 256] @ y.T
             score[np.abs(c_rank[None] - q_rank[a : a + 256, None]) > window] = -np.inf
             best = np.argpartition(-score, take - 1, axis=1)[:, :take]
-            # what ties with the last one stays too
+            # what ties with the last one stays too, up to what the order of summation may change
             edge = np.take_along_axis(score, best, 1).min(axis=1)
-            r, j = np.nonzero((score >= edge[:, None]) & np.isfinite(score))
-            out.append(pd.DataFrame({"query": q["cid"].to_numpy()[a + r], "cid": ids[j], "score": score[r, j]}))
+            edge = edge - np.where(np.isfinite(edge), 1e-13 * x.shape[1] * _norms(x[a : a + 256]) * far, 0)
+            r, j = np.nonzero((score >= edge[:, None]) & (score > -np.inf))
+            out.append(pd.DataFrame({"query": q["cid"].to_numpy()[a + r], "cid": ids[j], "score": inner(x[a + r], y[j])}))
         return pd.concat(out)
 
     found = queries.unionByName(others).groupBy("o", "b", "p").applyInPandas(near, "query long, cid long, score double")
@@ -211,7 +269,7 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = stack(b["vec"].to_pylist(), fmt)
-            yield pa.record_batch([b["cid"], b["cid"], pa.array((x * x).sum(axis=1) if len(x) else [], pa.float64())], names=["query", "cid", "score"])
+            yield pa.record_batch([b["cid"], b["cid"], pa.array(inner(x, x) if len(x) else [], pa.float64())], names=["query", "cid", "score"])
 
     # a query's own vector may lie outside its window, and its copies are found by it
     found = found.unionByName(classes.where("query").select("cid", "vec").mapInArrow(own, "query long, cid long, score double"))

@@ -35,27 +35,30 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, sha
 def _found(no: int) -> str:
     r = RULES[no]
     pattern = r.pattern.replace("'", "''")
-    return f"""SELECT doc_id, {no} AS kind_no, i, length(gaps[i]) AS gap, length(found[i]) AS len, length(held[i]) >= {r.least} AS ok FROM (
-        SELECT doc_id, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {r.group}) AS held FROM d WHERE regexp_matches(text, '{pattern}')), range(1, 1000000) n(i) WHERE i <= len(found)"""
+    return f"""SELECT r, {no} AS kind_no, i, length(gaps[i]) AS gap, length(found[i]) AS len, length(held[i]) >= {r.least} AS ok FROM (
+        SELECT r, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {r.group}) AS held FROM d WHERE regexp_matches(text, '{pattern}')), range(1, 1000000) n(i) WHERE i <= len(found)"""
 
 
 _KINDS = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
 _BASE = ", ".join(str(no) for no, r in enumerate(RULES) if r.base)
 _SECRETS = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({' UNION ALL '.join(_found(no) for no in range(len(RULES)))}),
-p AS (SELECT doc_id, kind_no, len, ok, sum(gap + len) OVER (PARTITION BY doc_id, kind_no ORDER BY i) AS stop FROM m),
-s AS (SELECT doc_id, kind_no, CAST(stop - len AS BIGINT) AS start, concat_ws(':', {_KINDS}[kind_no + 1], CAST(CAST(stop - len AS BIGINT) AS VARCHAR), CAST(CAST(stop AS BIGINT) AS VARCHAR)) AS span FROM p WHERE ok),
-a AS (SELECT doc_id, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access, count(*) FILTER (WHERE kind_no = 2) AS n_hex,
-      string_agg(span, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no IN ({_BASE})) AS base, string_agg(span, ',' ORDER BY start, kind_no) AS spans FROM s GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS ({' UNION ALL '.join(_found(no) for no in range(len(RULES)))}),
+p AS (SELECT r, kind_no, len, ok, sum(gap + len) OVER (PARTITION BY r, kind_no ORDER BY i) AS stop FROM m),
+s AS (SELECT r, kind_no, CAST(stop - len AS BIGINT) AS start, concat_ws(':', {_KINDS}[kind_no + 1], CAST(CAST(stop - len AS BIGINT) AS VARCHAR), CAST(CAST(stop AS BIGINT) AS VARCHAR)) AS span FROM p WHERE ok),
+a AS (SELECT r, count(*) FILTER (WHERE kind_no = 0) AS n_assign, count(*) FILTER (WHERE kind_no = 1) AS n_access, count(*) FILTER (WHERE kind_no = 2) AS n_hex,
+      string_agg(span, ',' ORDER BY start, kind_no) FILTER (WHERE kind_no IN ({_BASE})) AS base, string_agg(span, ',' ORDER BY start, kind_no) AS spans FROM s GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
 """
 
 _ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+# rows are numbered; a document is a distinct pair of key and text, so repeated rows count once
 _LINES = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
-k AS (SELECT doc_id, pos, line, translate(trim(line, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, concat(coalesce(CAST(doc_id AS VARCHAR), 'null'), ' ', md5(text)) AS doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT r, doc, pos, line, translate(trim(line, {_ENDS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10),
+n AS (SELECT r, count(*) AS n_lines, count(often.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE often.key IS NULL), '')) AS kept_sha256 FROM k LEFT JOIN often USING (key) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM d JOIN n USING (r)
 """
 
 ORACLES: dict[str, str] = {"op1_metric_join": _METRIC_JOIN, "op5_secret_ledger": _SECRETS, "op7_line_dedup": _LINES, "op3_rendezvous_sharding": _SHARDING}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_gru, hilbert_search, line_dedup, merge_rounds, metric_join, packing, secrets_ledger, sharding, simhash, token_files
-from .common import table
+from .common import shared_path, table
 
 #: File names of the public vocabularies; the id that ends a document.
 TOKENIZER, PIECES, END_ID = "word_bpe_49k.json", "piece_bpe_32k.model", 1
@@ -39,7 +39,8 @@ def op4_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets_ledger.findings_by_path(docs, secrets_ledger.scan_versions(docs), ["doc_id"])
+    ledger = secrets_ledger.update_ledger(docs, shared_path(spark, "secret-ledger"))  # a new one: nothing was scanned before
+    found = secrets_ledger.findings_by_path(docs, secrets_ledger.ledger_spans(ledger), ["doc_id"])
     spans = F.col("spans")
     return found.select(
         "doc_id",

@@ -1,8 +1,8 @@
 """Secret scans with an incremental blob ledger (DataFrame functions only).
 
 Every version of every file is addressed by the SHA-256 of its content. A ledger holds the pairs of blob and rule
-version that were scanned, with their findings. A run scans only the pairs the ledger lacks, each blob once however
-many paths hold it, and joins findings back to all paths.
+version that were scanned, with their findings. A run reads the stored ledger, scans only the pairs it lacks, each
+blob once however many paths hold it, appends them, and joins the ledger's findings back to all paths.
 
 Defined results: a null text is an empty one and has no findings; equal texts share a blob; repeated rows and null
 keys each come back; an empty table gives an empty result; texts are scanned whole. Other columns pass through in
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import free_names, materialize
@@ -73,45 +73,64 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return placed.groupBy("blob_id").agg(F.sort_array(F.collect_list(F.struct("start", "kind_no", "end"))).cast(_SPANS).alias("spans"))
 
 
+def _now(rules: tuple[Rule, ...]) -> Column:
+    """The kinds with their present versions."""
+    return F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.range(0).select(F.lit("").alias("blob_id"), F.lit("").alias("kind"), F.lit(0).alias("version"), F.array().cast(_SPANS).alias("spans"))
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """One incremental run: the new ledger rows (blob_id, kind, version, spans) of pairs that the ledger lacks.
 
-    Each unseen pair gets a row even without findings, so that it is never scanned again. Copies of a blob meet in a
-    partial aggregation before the shuffle, so a blob with very many copies is no hot key.
+    Each unseen pair gets a row even without findings, so that it is never scanned again. Identities are compared
+    first, and only texts of blobs with an unseen pair move. Copies of a blob meet in a partial aggregation before the
+    shuffle, so a blob with very many copies is no hot key.
     """
     blobs = versions.select(blob_id(F.col(text)).alias("blob_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     every = F.array(*[F.lit(r.kind) for r in rules])
+    ids = blobs.select("blob_id").distinct()
     if ledger is None:
+        todo = ids.withColumn("pending", every)
         pending = blobs.groupBy("blob_id").agg(F.first("text").alias("text")).withColumn("pending", every)
     else:
-        now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        seen = ledger.where(F.array_contains(now, F.struct("kind", F.col("version").cast("int").alias("version")))).groupBy("blob_id").agg(F.collect_set("kind").alias("_seen"))
-        todo = blobs.select("blob_id").distinct().join(seen, "blob_id", "left")
-        todo = todo.select("blob_id", F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
+        seen = ledger.where(F.array_contains(_now(rules), F.struct("kind", F.col("version").cast("int").alias("version")))).groupBy("blob_id").agg(F.collect_set("kind").alias("_seen"))
+        lacks = F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>")))
+        todo = materialize(ids.join(seen, "blob_id", "left").select("blob_id", lacks.alias("pending")).where(F.size("pending") > 0), "unseen-blobs")
         pending = blobs.join(todo.select("blob_id"), "blob_id", "left_semi").groupBy("blob_id").agg(F.first("text").alias("text")).join(todo, "blob_id")
-    pending = pending if ledger is None else materialize(pending, "pending-blobs")
-    # written, like any ledger: a join with it then meets a table of findings only, and may split a blob with many paths
-    found = materialize(scan_blobs(pending, rules), "ledger")
-    if ledger is None:  # all pairs are new: no need to join for the list of them
-        return found
-    rows = pending.select("blob_id", "pending").join(found, "blob_id", "left")
+    found = materialize(scan_blobs(pending, rules), "findings")
     kinds = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(no).alias("no")) for no, r in enumerate(rules)])
-    one = rows.select("blob_id", "spans", F.explode(F.filter(kinds, lambda k: F.array_contains("pending", k["kind"]))).alias("k"))
+    one = todo.join(found, "blob_id", "left").select("blob_id", "spans", F.explode(F.filter(kinds, lambda k: F.array_contains("pending", k["kind"]))).alias("k"))
     own = F.filter(F.coalesce("spans", F.array().cast(_SPANS)), lambda s: s["kind_no"] == F.col("k.no"))
     return one.select("blob_id", "k.kind", "k.version", own.alias("spans"))
 
 
-def first_ledger(versions: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The ledger of a first run: a row for each blob and rule, with or without findings."""
-    empty = versions.sparkSession.createDataFrame([], f"blob_id string, kind string, version int, spans {_SPANS}")
-    return scan_versions(versions, empty, rules, text)
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """One run against the ledger stored at path: scans what it lacks, appends that, and returns the whole ledger.
+
+    A ledger that isn't there yet starts empty. Spark commits the appended rows as a whole, so a run that fails leaves
+    the ledger as it was; of two runs at once both may append a pair, which `ledger_spans` takes once.
+    """
+    spark = versions.sparkSession
+    empty_ledger(spark).write.mode("ignore").parquet(path)
+    stored = spark.read.schema(empty_ledger(spark).schema).parquet(path)
+    scan_versions(versions, None if stored.isEmpty() else stored, rules, text).write.mode("append").parquet(path)
+    return spark.read.schema(stored.schema).parquet(path)
 
 
 def ledger_spans(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob_id, spans) of blobs with findings, from ledger rows of the rules' present versions."""
-    now = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    rows = ledger.where(F.array_contains(now, F.struct("kind", F.col("version").cast("int").alias("version"))) & (F.size("spans") > 0))
-    return rows.groupBy("blob_id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """(blob_id, spans) of blobs with findings, from ledger rows of the rules' present versions.
+
+    A span's kind_no is the rule's place in rules, whatever place it had when it was scanned.
+    """
+    number = F.create_map(*[x for no, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(no))])
+    rows = ledger.where(F.array_contains(_now(rules), F.struct("kind", F.col("version").cast("int").alias("version"))) & (F.size("spans") > 0))
+    placed = rows.select("blob_id", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(number, F.col("kind")).alias("kind_no"), s["end"].alias("end"))).alias("spans"))
+    found = placed.groupBy("blob_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).cast(_SPANS).alias("spans"))
+    # written: a join with it then meets a table of findings only, and may split a blob with many paths
+    return materialize(found, "ledger-spans")
 
 
 def findings_by_path(versions: DataFrame, spans: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
