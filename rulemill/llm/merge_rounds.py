@@ -28,12 +28,25 @@ CACHE_WORDS = 500_000
 
 
 class MergeRounds:
-    """A BPE model with byte fallback, identity normalisation and a dummy prefix."""
+    """A BPE model with byte fallback, identity normalisation and a dummy prefix; any other one is refused."""
+
+    @staticmethod
+    def _check(sp) -> None:
+        n = sp.get_piece_size()
+        if sum(map(sp.is_byte, range(n))) != 256:
+            raise ValueError("the model has no byte fallback")
+        odd = "ﬁ Ａ e\u0301 ½ ẞ  two  spaces \t and\n\nlines "
+        if sp.decode(sp.encode(odd)) != odd or sp.encode(" a") == sp.encode("a") or sp.encode("a", out_type=str) != ["▁a"]:
+            raise ValueError("the model normalises texts, or has no dummy prefix")
+        plain = [sp.get_score(i) for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        if any(s != round(s) for s in plain):
+            raise ValueError("the model isn't BPE: its scores are no merge ranks")
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        self._check(sp)
         n = self.n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.eos = sp.eos_id()

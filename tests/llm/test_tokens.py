@@ -8,8 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rulemill.llm import packing, token_files
-from rulemill.llm.elias_fano import EliasFano, TokenFile, pack_file
-from rulemill.llm.merge_rounds import encode_documents, merge_rounds
+from rulemill.llm.elias_fano import EliasFano, TokenFile, TokenFileWriter
+from rulemill.llm.merge_rounds import MergeRounds, encode_documents, merge_rounds
 from rulemill.llm.queries import END_ID, PIECES, TOKENIZER, vocabulary
 from rulemill.llm.word_ids import word_ids
 
@@ -61,6 +61,21 @@ def test_long_words_and_repeats():
         assert model.decode(np.array(ids, np.int64)) == sp.decode(ids)
 
 
+@pytest.mark.parametrize("lie", [{"is_byte": lambda i: False}, {"decode": lambda ids: "ﬁ".replace("ﬁ", "fi")}, {"get_score": lambda i: -0.5 * i}])
+def test_other_models_are_refused(lie):
+    import sentencepiece
+
+    class Told:
+        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECES))
+
+        def __getattr__(self, name):
+            return lie.get(name) or getattr(self.sp, name)
+
+    MergeRounds._check(Told.sp)
+    with pytest.raises(ValueError):
+        MergeRounds._check(Told())
+
+
 def test_encode_documents(spark):
     import sentencepiece
 
@@ -87,19 +102,60 @@ def test_elias_fano_is_small():
     assert len(EliasFano.encode(values).to_bytes()) * 8 / len(values) < 14  # 64-bit offsets take 64
 
 
-def test_token_file_reads_single_documents():
-    ids = [np.arange(n, dtype="<u4").tobytes() for n in (3, 0, 5)]
-    f = TokenFile(pack_file([None, -4, 9], ids, 2))
-    assert f.keys() == [None, -4, 9] and f.document(2).tolist() == [0, 1, 2, 3, 4] and f.document(1).tolist() == []
-    with pytest.raises(ValueError):
-        TokenFile(b"x" * 100)
+class Counted(np.ndarray):
+    """A packed vector that notes the longest stretch read of it."""
 
+    longest = 0
 
-@pytest.mark.parametrize("file_ids", [2_000_000, 50])
-def test_token_files(spark, words, file_ids):
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            Counted.longest = max(Counted.longest, at.stop - at.start)
+        return np.asarray(self)[at]
+
+
+@pytest.mark.parametrize("gaps", ["even", "wide", "one"])
+def test_select_reads_a_bounded_stretch(gaps):
+    """Wherever a number lies, select counts at most SPARSE bits, wide gaps included."""
+    rng = np.random.default_rng(2)
+    values = {"even": lambda: rng.integers(0, 900, 200_000), "wide": lambda: np.where(rng.random(200_000) < 0.001, 10**6, 1), "one": lambda: np.r_[np.ones(100_000), 10**8, np.ones(100_000)]}[gaps]().astype(np.int64).cumsum()
+    coded, _ = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+    coded.high, Counted.longest = coded.high.view(Counted), 0
+    for i in [0, 1, 255, 256, 257, len(values) - 1, *rng.integers(0, len(values), 500).tolist()]:
+        assert coded[i] == values[i]
+    assert Counted.longest <= 16_384 // 8 + 1
+    for a, b in ((0, 0), (0, 1), (99_990, 100_300), (len(values) - 5, len(values))):
+        assert coded.part(a, b).tolist() == values[a:b].tolist()
+
+
+def token_file(keys, ids, width):
+    import io
+
+    out = io.BytesIO()
+    writer = TokenFileWriter(out, width)
+    for k, x in zip(keys, ids):
+        writer.add(k, x)
+    writer.finish()
+    data = out.getvalue()
+    return TokenFile(lambda at, count: data[at : at + count], len(data))
+
+
+def test_token_file_reads_single_documents():
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in (3, 0, 5)]
+    f = token_file([None, -4, 9], ids, 2)
+    assert f.keys(0, 3) == [None, -4, 9] and f.document(2).tolist() == [0, 1, 2, 3, 4] and f.document(1).tolist() == []
+    assert f.keys(1, 2) == [-4] and f.keys(0, 1) == [None] and f.starts(1, 3).tolist() == [3, 3, 8]
+    far = token_file([-(2**63), 2**63 - 1], ids[:2], 4)
+    assert far.keys(0, 2) == [-(2**63), 2**63 - 1]
+    for size in (100, 3):
+        with pytest.raises(ValueError):
+            TokenFile(lambda at, count: b"x" * count, size)
+
+
+@pytest.mark.parametrize(("file_ids", "docs"), [(2_000_000, 8192), (2_000_000, 5), (50, 8192), (2000, 3)])
+def test_token_files(spark, words, file_ids, docs):
     rows = odd_documents()
     folder, manifest = token_files.write_token_files(frame(spark, rows), vocabulary(TOKENIZER), END_ID, file_ids=file_ids)
-    got = token_files.read_token_files(spark, folder, manifest, ids=True).orderBy("start").collect()
+    got = token_files.read_token_files(spark, folder, manifest, ids=True, docs=docs).orderBy("start").collect()
     keys = [r["doc_id"] for r in got]
     assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(got) == len(rows)
     want, at = {}, 0
