@@ -59,7 +59,8 @@ NASTY = ["token=abc: secret: abcdefgh", "secret=token: abcdefgh", "AKIAAKIAAKIAA
 def test_secrets_equal_plain_matching(spark):
     rows = odd_documents() + [(500 + i, t, "en", "s", 1) for i, t in enumerate(NASTY)]
     docs = frame(spark, rows)
-    found = secrets_ledger.findings_by_path(docs, secrets_ledger.scan_versions(docs), ["doc_id", "text"]).collect()
+    spans = secrets_ledger.ledger_spans(secrets_ledger.scan_versions(docs))
+    found = secrets_ledger.findings_by_path(docs, spans, ["doc_id", "text"]).collect()
     assert len(found) == len(rows)
     for r in found:
         spans = [tuple(s) for s in r["spans"] or []]
@@ -71,7 +72,7 @@ def test_secrets_equal_plain_matching(spark):
 def test_redaction_keeps_everything_else(spark):
     rows = odd_documents() + [(500 + i, t, "en", "s", 1) for i, t in enumerate(NASTY)]
     docs = frame(spark, rows).withColumn("_blob", F.lit("mine")).withColumn("_spans", F.lit(3))
-    spans = secrets_ledger.scan_versions(docs)
+    spans = secrets_ledger.ledger_spans(secrets_ledger.scan_versions(docs))
     clean = secrets_ledger.redact_documents(docs, spans)
     assert clean.columns == docs.columns
     known = {r["doc_id"]: [tuple(s) for s in r["spans"] or []] for r in secrets_ledger.findings_by_path(docs, spans, ["doc_id"]).collect()}
@@ -93,7 +94,7 @@ def test_redaction_keeps_everything_else(spark):
 
 def test_ledger_scans_only_unseen_pairs(spark):
     old = frame(spark, [(1, "token=abcdefgh", None, None, None), (2, "plain", None, None, None), (3, "plain", None, None, None)])
-    ledger = secrets_ledger.first_ledger(old).cache()
+    ledger = secrets_ledger.scan_versions(old).cache()
     assert ledger.count() == 2 * len(secrets_ledger.RULES)  # two blobs
     new = old.unionByName(frame(spark, [(4, "secret: qwerty12", None, None, None)]))
     more = secrets_ledger.scan_versions(new, ledger)
@@ -103,6 +104,30 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert sorted((r["kind"], r["version"]) for r in again) == [("hex", 2), ("hex", 2)]
     spans = secrets_ledger.ledger_spans(ledger.unionByName(more))
     assert secrets_ledger.findings_by_path(new, spans, ["doc_id"]).where("spans is not null").count() == 2
+    twice = secrets_ledger.ledger_spans(ledger.unionByName(ledger))
+    assert {len(r["spans"]) for r in twice.collect()} == {1}
+
+
+def test_a_stored_ledger_decides_what_is_scanned(spark, tmp_path, monkeypatch):
+    """The first run scans all blobs, a second one none, a third one only what is new; all give every path's findings."""
+    scanned = []
+    plain = secrets_ledger.scan_blobs
+    monkeypatch.setattr(secrets_ledger, "scan_blobs", lambda blobs, rules: scanned.append(blobs.count()) or plain(blobs, rules))
+    rows, path = odd_documents(), str(tmp_path / "ledger")
+    blobs = len({t or "" for _, t, *_ in rows})
+    for more, want in ((0, blobs), (0, 0), (2, 2)):
+        docs = frame(spark, rows + [(900 + i, f"secret: qwerty{i}{i}", "en", "s", 1) for i in range(more)])
+        ledger = secrets_ledger.update_ledger(docs, path)
+        assert scanned[-1] == want
+        found = secrets_ledger.findings_by_path(docs, secrets_ledger.ledger_spans(ledger), ["doc_id", "text"]).collect()
+        assert len(found) == len(rows) + more
+        for r in found:
+            assert [tuple(s) for s in r["spans"] or [] if s[1] < 3] == base_spans(r["text"])
+    assert ledger.count() == (blobs + 2) * len(secrets_ledger.RULES)
+    # a ledger that lies: what it holds is taken from it, not scanned again
+    spark.createDataFrame([(hashlib.sha256(b"plain").hexdigest(), r.kind, r.version, [(0, 7, 3)] if r.kind == "hex" else []) for r in secrets_ledger.RULES], ledger.schema).write.mode("append").parquet(path)
+    told = secrets_ledger.update_ledger(frame(spark, [(1, "plain", None, None, None)]), path)
+    assert [tuple(s) for r in secrets_ledger.ledger_spans(told).where(F.col("blob_id") == hashlib.sha256(b"plain").hexdigest()).collect() for s in r["spans"]] == [(0, 2, 3)]
 
 
 # lines
@@ -277,3 +302,76 @@ def test_long_texts_count_whole():
     assert not np.allclose(model.predict([text + b"z" * 9000])[0], whole, atol=1e-4)
 
 
+def plain_probabilities(model, text):
+    """Mean over all bytes, one byte after the other in double precision; each segment starts afresh."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    total = np.zeros(len(model.languages))
+    for at in range(0, len(text), byte_gru.SEGMENT):
+        data, states = text[at : at + byte_gru.SEGMENT], {}
+        for d in "fb":
+            h = np.zeros(p["fhz"].shape[0])
+            for t in range(len(data)) if d == "f" else reversed(range(len(data))):
+                z = sigmoid(p[d + "xz"][data[t]] + h @ p[d + "hz"])
+                r = sigmoid(p[d + "xr"][data[t]] + h @ p[d + "hr"])
+                n = np.tanh(p[d + "xn"][data[t]] + r * (h @ p[d + "hn"]))
+                h = (1 - z) * n + z * h
+                states[d, t] = h
+        for t in range(len(data)):
+            logit = states["f", t] @ p["fo"] + states["b", t] @ p["bo"] + p["o"]
+            prob = np.exp(logit - logit.max())
+            total += prob / prob.sum()
+    return total / len(text)
+
+
+def test_identify_equals_a_plain_forward_pass(spark):
+    model = byte_gru.ByteGRU.fresh(["a", "b", "c"], 5, seed=3)
+    texts = ["x", "Ünï côdé " * 3, "word " * 25 + "abc", "some longer text, of more than one segment. " * 30, "z" * 128, "é" * 64 + "q"]
+    docs = frame(spark, [(i, t, None, "s", 1) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r for r in byte_gru.identify(docs, model).collect()}
+    together = model.predict([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        want = plain_probabilities(model, t.encode())
+        assert np.allclose(together[i], want, atol=1e-5)
+        assert got[i]["lang_pred"] == model.languages[int(want.argmax())] and abs(got[i]["score"] - want.max()) < 1e-5
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = byte_gru.ByteGRU.fresh(["b", "c"], 3)
+    model.p |= {k: np.zeros_like(v) for k, v in model.p.items() if k[1:] == "o" or k == "o"}
+    got = byte_gru.identify(frame(spark, [(1, "any text", None, "s", 1)]), model).first()
+    assert got["lang_pred"] == "b" and abs(got["score"] - 0.5) < 1e-6
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    """Every label is kept, and the bounded sample is spread over them."""
+    monkeypatch.setattr(byte_gru, "SAMPLE_ALL", 600)
+    docs = frame(spark, [(i, f"{chr(97 + i % 300 // 20)}{chr(97 + i % 20)} " * 20, f"l{i % 300:03d}", "s", 1) for i in range(1200)])
+    seen = []
+    monkeypatch.setattr(byte_gru.ByteGRU, "fit", lambda self, data, mask, label: seen.append(label) or self)
+    model = byte_gru.train(docs)
+    trained = {r["lang"] for r in docs.where(~byte_gru.held_out()).select("lang").distinct().collect()}
+    assert len(trained) > 256 and model.languages == sorted(trained)
+    counts = np.bincount(seen[0])
+    assert len(counts) == len(trained) and counts.min() >= 1 and counts.max() <= 2 * byte_gru.WINDOWS
+    monkeypatch.undo()
+    rng = np.random.default_rng(0)
+    wide = byte_gru.ByteGRU.fresh([str(i) for i in range(3000)], 3).fit(rng.integers(0, 256, (3000, 8)).astype(np.uint8), np.ones((3000, 8), np.float32), np.arange(3000), steps=2)
+    assert np.isfinite(wide.predict([b"abc" * 100])).all()
+
+
+def test_noise_is_no_language(spark):
+    import base64
+    import random
+
+    rng = random.Random(5)
+    talk = {"en": "the of and with house water light", "de": "der und nicht über straße wasser haus", "fr": "le de et où être maison lumière"}
+    rows = [(i, " ".join(rng.choice(talk[x].split()) for _ in range(rng.randint(1, 60))), x, "s", 1) for i in range(600) for x in [["en", "de", "fr"][i % 3]]]
+    junk = [base64.b64encode(rng.randbytes(300)).decode(), rng.randbytes(300).hex(), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(500)), "".join(chr(rng.randint(33, 126)) for _ in range(400))]
+    docs = frame(spark, rows)
+    model = byte_gru.train(docs, noise=True)
+    assert model.languages == ["de", "en", "fr", byte_gru.NOISE]
+    noise = frame(spark, [(i, t, None, "s", 1) for i, t in enumerate(junk)])
+    assert {r["lang_pred"] for r in byte_gru.identify(noise, model).collect()} == {byte_gru.NOISE}
+    held = byte_gru.identify(docs.where(byte_gru.held_out()), model, keep=("lang",)).collect()
+    assert all(r["lang_pred"] != byte_gru.NOISE for r in held) and sum(r["lang"] == r["lang_pred"] for r in held) / len(held) >= 0.95
