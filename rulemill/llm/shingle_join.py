@@ -1,10 +1,10 @@
-"""Near-duplicate links by exact Jaccard similarity of word shingles.
+"""Links by exact Jaccard similarity of word shingles, for `simhash.similar_groups`.
 
-A text's shingle hashes are reduced to minima under random permutations, and several minima make a band. Texts that
-share a band are candidates: two at similarity s share one of 16 bands of 4 with 1 - (1 - s^4)^16, 0.9998 at 0.8. Runs
-of texts with one band in common are verified in their task by the exact similarity of the shingle sets; what returns
-are links that span the run, never all its pairs. Runs longer than a bound are dealt as pairs of chunks to many tasks,
-and of bands with the same texts one is verified.
+A text is keyed by the pigeonhole blocks of its fingerprint, and by bands of minima of its shingle hashes under random
+permutations: two at similarity s share one of 16 bands of 4 with 1 - (1 - s^4)^16, 0.9998 at 0.8. Runs of texts with
+one key in common are verified in their task by the exact similarity of the shingle sets; what returns are links that
+span the run, never all its pairs. Runs longer than a bound are dealt as pairs of chunks to many tasks, and of keys
+with the same texts one is verified.
 
 Defined results: the case of ASCII letters doesn't count, ASCII white space separates words; a text of fewer words is
 one shingle; texts without a word have none and take no part.
@@ -12,7 +12,8 @@ one shingle; texts without a word have none and take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,47 +21,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
-from .simhash import _LOWER
+from .shingles import fingerprint_of, shingle_hashes
 
 BANDS, ROWS = 16, 4
-#: Texts of one band in one task; shingles hashed before their minima are taken.
+#: Texts of one key in one task; shingles hashed before their minima are taken.
 CHUNK, _STEP = 1024, 4096
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The hashes of all word shingles, each once, sorted."""
-    import xxhash
+@lru_cache
+def _factors(count: int) -> np.ndarray:
+    """Odd numbers: each permutes the hashes, which are random themselves, by multiplication."""
+    return np.random.default_rng(7).integers(0, 1 << 64, count, np.uint64) | np.uint64(1)
 
-    found = (text or "").encode().translate(_LOWER).split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    n = max(1, len(found) - words + 1)
-    starts = np.r_[0, ends[:-1] + 1][:n].tolist()
-    stops = ends[min(words, len(found)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
 
+def _keys(parts: Sequence[bytes], seed: int) -> list[int]:
+    import xxhash
 
-def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(7)
-    draw = lambda: rng.integers(0, 1 << 64, count, np.uint64)
-    return draw() | np.uint64(1), draw()
+    return np.array([xxhash.xxh64_intdigest(p, seed + i) for i, p in enumerate(parts)], np.uint64).view(np.int64).tolist()
 
 
 def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
     """A signed 64-bit key for every band of a text with shingles."""
-    import xxhash
-
-    a, b = _factors(bands * rows)
+    factors = _factors(bands * rows)
     least = np.full(bands * rows, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), _STEP):
-        x = hashes[at : at + _STEP, None] * a + b
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+        least = np.minimum(least, (hashes[at : at + _STEP, None] * factors).min(axis=0))
     data, size = least.astype("<u8").tobytes(), 8 * rows
-    keys = np.array([xxhash.xxh64_intdigest(data[i * size : (i + 1) * size], i) for i in range(bands)], np.uint64)
-    return keys.view(np.int64).tolist()
+    return _keys([data[i * size : (i + 1) * size] for i in range(bands)], 0)
+
+
+def block_keys(fp: int, masks: Sequence[int]) -> list[int]:
+    """A signed 64-bit key for every choice of blocks of a fingerprint."""
+    return _keys([(fp & m).to_bytes(8, "little") for m in masks], 1 << 20)
 
 
 def spanning(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> tuple[list[int], list[int]]:
@@ -98,7 +90,7 @@ def _linker(words: int, least: float):
 
     def links(run: list[tuple]) -> pa.RecordBatch:
         side, nodes = np.array([r[3] for r in run]), np.array([r[4] for r in run], np.int64)
-        x, y = spanning([shingles(r[5], words) for r in run], side if side.any() else None, least)
+        x, y = spanning([np.unique(shingle_hashes(r[5], words)) for r in run], side if side.any() else None, least)
         return pa.record_batch([pa.array(nodes[np.array(x, np.int64)]), pa.array(nodes[np.array(y, np.int64)])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +107,11 @@ def _linker(words: int, least: float):
     return run
 
 
-def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between the rows (node, text) that connect all candidates at least so similar; a node is one row."""
+def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequence[int] = (), bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) between the rows (node, text) that connect all candidates at least so similar; a node is one row.
+
+    masks: the choices of blocks of the fingerprint that key a text, besides its bands.
+    """
     prepare(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +119,14 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, bands: int
             keys: list[int] = []
             nodes: list[int] = []
             for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if len(found := shingles(text, words)):
+                if len(found := shingle_hashes(text, words)):
                     keys += band_keys(found, bands, rows)
-                    nodes += [node] * bands
+                    keys += block_keys(fingerprint_of(found), masks)
+                    nodes += [node] * (bands + len(masks))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["k", "node"])
 
-    keyed = materialize(texts.select("node", "text").mapInArrow(run, "k long, node long"), "bands")
-    # bands with the same texts: one of them is verified
+    keyed = materialize(texts.select("node", "text").mapInArrow(run, "k long, node long"), "text-keys")
+    # keys with the same texts: one of them is verified
     mixed = F.xxhash64("node")
     runs = keyed.groupBy("k").agg(F.count("*").alias("count"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor(mixed).alias("x")).where("count > 1")
     live = runs.groupBy("count", "u", "v", "x").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("count") / chunk).cast("long").alias("n"))

@@ -20,33 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_join
 from .common import materialize, prepare
 from .components import connected_components
+from .shingles import fingerprint_of, shingle_hashes
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows of one key in one task.
 CHUNK = 8192
-#: Shingles hashed before their bits are counted.
-_STEP = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """Bit i is set if it is set in over half of the hashes of all word shingles, repeats included."""
-    import xxhash
-
-    found = (text or "").encode().translate(_LOWER).split()
-    if not found:
-        return 0
-    joined = b" ".join(found)
-    ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    n = max(1, len(found) - words + 1)
-    starts = np.r_[0, ends[:-1] + 1][:n].tolist()
-    stops = ends[min(words, len(found)) - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _STEP):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return fingerprint_of(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,3 +140,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = materialize(named.join(least, "component").select("fp", "component_id"), "class-ids")
     return own.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_groups(texts: DataFrame, words: int = 5, least: float = 0.8, bits: int = 3, blocks: int = 6) -> DataFrame:
+    """(node, component) of the rows (node, text) that links of a similarity of at least `least` connect to others.
+
+    Texts whose fingerprints share a pigeonhole key, as above, are compared by the exact Jaccard similarity of their
+    shingles. Two texts at 0.8 differ in about ten of 64 bits, beyond any radius that blocks can serve, so texts that
+    share a band of minima are compared too; a node is one row.
+    """
+    return connected_components(shingle_join.near_links(texts, words, least, block_masks(bits, blocks)))

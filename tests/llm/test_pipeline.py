@@ -1,3 +1,4 @@
+import base64
 import random
 import zlib
 
@@ -10,7 +11,7 @@ from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 from rulemill.llm.word_ids import word_ids
 
 from .helpers import WORDS, Union, frame, odd_documents
-from .test_documents import base_spans, key, plain_fingerprint
+from .test_documents import ASCII, base_spans, key
 
 
 def masked(text):
@@ -23,39 +24,49 @@ def masked(text):
     return out + text[end:]
 
 
+def five_words(text):
+    words = text.translate(ASCII).encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+NOISE = base64.b64encode(random.Random(4).randbytes(400)).decode()
+
+
+def similar(a, b):
+    both = len(a & b)
+    return both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+
+
 def plain_pipeline(rows):
     """(doc_id, text) that reach the last stage, by brute force."""
-    docs = [(i, t) for i, t, *_ in rows if t and any(map(str.isalpha, t))]
+    docs = [(i, t) for i, t, *_ in rows if t and any(map(str.isalpha, t)) and t != NOISE]
     found = {}
     for d in set(docs):
         for k in {key(x) for x in d[1].split("\n") if key(x)}:
             found[k] = found.get(k, 0) + 1
     docs = [(i, "\n".join(x for x in t.split("\n") if not key(x) or found[key(x)] < 10)) for i, t in docs]
-    fps, union = [plain_fingerprint(t) for _, t in docs], Union(len(docs))
+    sets, union = [five_words(t) for _, t in docs], Union(len(docs))
     for i in range(len(docs)):
         for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+            if similar(sets[i], sets[j]):
                 union.join(i, j)
     groups = {}
     for i, d in enumerate(docs):
-        groups.setdefault(union.find(i), []).append(d[0])
-    names = {min((x for x in g if x is not None), default=None) for g in groups.values()}
-    kept = {i: t for i, t in docs if i is not None and i in names}
-    return sorted((i, masked(t)) for i, t in kept.items()), [masked(t) for i, t in docs if i is None]
+        groups.setdefault(union.find(i), []).append(d)
+    return sorted((min(g, key=lambda d: (d[0] is None, d[0] or 0)) for g in groups.values()), key=str)
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
-    rows = odd_documents()
+    rows = [*odd_documents(), (408, NOISE, None, "s", 1), (409, NOISE, "en", "s", 1), (None, "also no key", "en", "s", 1)]
     docs = frame(spark, rows)
     for name, stage in C.STAGES[:-1]:
         docs = C.materialize(stage(spark, docs, None), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    want, loose = plain_pipeline(rows)
+    want = [(i, masked(t)) for i, t in plain_pipeline(rows)]
     got = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert sorted(g for g in got if g[0] is not None) == want
-    assert sorted(t for i, t in got if i is None) == sorted(loose)
+    assert sorted(got, key=str) == want
     packed = C.STAGES[-1][1](spark, docs, None).collect()
-    ids = {i: np.array(word_ids(vocabulary(TOKENIZER)).library.encode(t, add_special_tokens=False).ids + [END_ID], "<u4") for i, t in want}
+    ids = {i: np.array(word_ids(vocabulary(TOKENIZER)).library.encode(t, add_special_tokens=False).ids + [END_ID], "<u4") for i, t in want if i is not None}
     seen = dict.fromkeys(ids, 0)
     for r in sorted((r for r in packed if r["doc_id"] is not None), key=lambda r: (r["doc_id"], r["start"])):
         x = ids[r["doc_id"]]
@@ -68,6 +79,19 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert sorted(r["ids_crc32"] for r in run.collect()) == sorted(r["ids_crc32"] for r in packed)
 
 
+def test_a_corpus_without_labels_stays(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["plain words", "ein Wort", None, "", "123 !!!", "слово"])]
+    assert sorted(r["doc_id"] for r in C.language(spark, frame(spark, rows), None).collect()) == [0, 1, 5]
+
+
+def test_unique_texts_under_one_doc_id_stay(spark):
+    a = "one two three four five six seven eight"
+    for b in ("an unrelated text of other words", "b", "zz top of the world tonight", "the house by the river is green"):
+        rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, a, "en", "s", 1), (None, b + " more", "en", "s", 1)]
+        got = C.near_duplicates(spark, frame(spark, rows), None).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(1, a), (5, b), (None, b + " more")], key=str)
+
+
 def test_stages_on_odd_tables(spark):
     for docs in (frame(spark, []), frame(spark, odd_documents(0)).withColumn("_r", F.lit(1)).withColumn("score", F.lit(2)).withColumn("fp", F.lit(3))):
         columns = docs.columns
@@ -81,11 +105,6 @@ def test_five_stages_in_order():
     assert [n for n, _ in C.STAGES] == ["language", "lines", "near_duplicates", "secrets", "pack"]
 
 
-def five_words(text):
-    words = text.encode().lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
 def edited_documents():
     """Originals with copies of which one word in 12 to 70 is another one; two texts under one doc_id; a chain."""
     rng = random.Random(3)
@@ -109,8 +128,7 @@ def test_near_duplicates_equal_brute_force_jaccard(spark):
     sets, union, linked = [five_words(t) for _, t in rows], Union(len(rows)), 0
     for i in range(len(rows)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+            if similar(sets[i], sets[j]):
                 union.join(i, j)
                 linked += 1
     want = {}
