@@ -1,6 +1,6 @@
 """Cleans and packs the documents table in five stages, each written as Parquet and read again by the next.
 
-1. language: documents without text or without a letter go; the network's scores decide nothing.
+1. language: documents without a letter go, and those that the network takes for noise.
 2. lines: lines that stand in ten documents or more go from every document.
 3. near_duplicates: of each group of near-equal documents (five words, Jaccard 0.8) the one with the smallest doc_id stays.
 4. secrets: every stretch of text that a secret rule finds is masked.
@@ -12,18 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, shingle_join
-from rulemill.llm.common import free_names, materialize, prepare, table
-from rulemill.llm.components import connected_components
+from rulemill.llm import byte_gru, line_dedup, packing, secrets_ledger, simhash
+from rulemill.llm.common import free_names, materialize, prepare, shared_path, table
 from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose predicted language is `und`: those without text or without a letter."""
+    """Drops documents whose predicted language is `und`: without text or a letter, or mostly noise to the network.
+
+    The network learns noise beside the languages. Where nothing is labelled it can learn neither, and documents with
+    a letter stay.
+    """
     plain = [f"c{i}" for i in range(len(docs.columns))]  # so that no column is named like a result
-    model, text = byte_gru.train(docs), plain[docs.columns.index("text")]
+    model, text = byte_gru.train(docs, noise=True), plain[docs.columns.index("text")]
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     named = byte_gru.identify(docs.toDF(*plain), model, text=text, keep=tuple(plain))
-    return named.where("lang_pred <> 'und'").select(*plain).toDF(*docs.columns)
+    return named.where(F.col("lang_pred") != byte_gru.NOISE).select(*plain).toDF(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,25 +39,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each group of texts that five-word Jaccard similarities of 0.8 connect.
 
-    Rows without a doc_id all stay; texts without a word are one group.
+    Rows are told apart by their texts, not their doc_id, so different texts under one doc_id both stay. A null doc_id
+    comes after all others; texts without a word are one group.
     """
-    cls, rank, component, node = free_names(docs, "_c", "_r", "_g", "_n")
+    node, component, rank = free_names(docs, "_n", "_g", "_r")
     # hashes are compared, so that no text is sorted; ranks are cut before the shuffle, so a group is no hot key
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns)]
-    same = F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
-    copies = Window.partitionBy(cls).orderBy(*order)
-    one = materialize(docs.withColumn(cls, same).withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1).drop(rank), "texts")
-    groups = connected_components(shingle_join.near_links(one.select(F.col(cls).alias("node"), "text"), words=5, least=0.8))
-    groups = groups.select(F.col("node").alias(node), F.col("component").alias(component))
-    named = one.where("doc_id is not null").join(groups, F.col(cls) == F.col(node), "left").withColumn(component, F.coalesce(component, cls))
-    first = Window.partitionBy(component).orderBy(*order)
-    kept = named.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    said = F.when(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.col("text"))
+    copies = Window.partitionBy(F.xxhash64(said), F.xxhash64(F.lit(7), said)).orderBy(*order)
+    one = materialize(docs.withColumn(rank, F.row_number().over(copies)).where(F.col(rank) == 1).drop(rank).withColumn(node, F.monotonically_increasing_id()), "texts")
+    groups = simhash.similar_groups(one.select(F.col(node).alias("node"), "text"), words=5, least=0.8)
+    named = one.join(groups.select(F.col("node").alias(node), F.col("component").alias(component)), node, "left")
+    first = Window.partitionBy(F.coalesce(component, node)).orderBy(*order)
+    return named.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets; no document goes."""
-    return secrets_ledger.redact_documents(docs, secrets_ledger.scan_versions(docs))
+    """Masks secrets, found by way of a ledger; no document goes."""
+    ledger = secrets_ledger.update_ledger(docs, shared_path(spark, "secret-ledger"))
+    return secrets_ledger.redact_documents(docs, secrets_ledger.ledger_spans(ledger))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
