@@ -243,9 +243,10 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return ByteGRU.fresh([])
     each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(languages)))
     number = {x: i for i, x in enumerate(languages)}
-    # twice as many by hash, so that most of the table stays where it is; then exactly the first ones by rank
+    # twice as many by hash, so that most of the table stays where it is; then exactly the first ones by rank.
+    # counts has a row a language, which the driver holds already
     span = 1 << 30
-    drawn = known.join(counts, "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
+    drawn = known.join(F.broadcast(counts), "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
