@@ -43,6 +43,9 @@ CHAIN_PATTERNS = [
     ("incomplete", r"(?im)([^→;]+?)\s*→\s*([^→;]+?)(?:\s+(?:for|necessary for|leading to|resulting in)\s+([^.;]+?))?(?:\.|;|$)"),
     ("alternative_1", r"(?im)([^→;]+?)\s+(?:leads?\s+to|results?\s+in|causes?|contributes?\s+to)\s+([^→;]+?)\s+(?:resulting\s+in|leading\s+to|causing|contributing\s+to)\s+(success|failure|positive|negative)"),
 ]
+# What a text must hold for a pattern to match at all, as a pattern that is quick to test
+CHAIN_NEEDS = {"primary": "→", "explicit": "→", "flexible": "→", "incomplete": "→", "alternative_1": "(?i)lead|result|cause|contribut"}
+# How a confidence is stated
 CONFIDENCE = r"(?i)(?:I\s+am\s+)?(\d+)%?\s*(?:confident|confidence|certainty|\(.*?\))"
 
 # Separators of compound features (tests, then splits), and the shortest part that counts
@@ -53,21 +56,23 @@ SHORTEST_PART = 4
 # Shares that phrase containment, keywords and fuzzy names must reach
 CONTAINMENT, KEYWORDS, FUZZY = 0.3, 0.3, 0.6
 
-# Labels of ordinal scales by their number of levels, counted from 1
+# Labels of ordinal scales by their number of levels; codes of a scale that starts at 0 are looked up + 1
 SCALES = {
-    5: ["very_low", "low", "medium", "high", "very_high"],
-    4: ["low", "medium_low", "medium_high", "high"],
-    3: ["low", "medium", "high"],
-    2: ["no", "yes"],
+    5: {1: "very_low", 2: "low", 3: "medium", 4: "high", 5: "very_high"},
+    4: {1: "low", 2: "medium_low", 3: "medium_high", 4: "high"},
+    3: {0: "low", 1: "medium", 2: "high"},
+    2: {0: "no", 1: "yes"},
 }
-# Of these scales the table itself starts at 0
-ZERO_BASED = (3, 2)
+# Parts of names that tell a feature's kind where there is no table
+CONTINUOUS_NAMES, BINARY_NAMES = ["number", "count", "yoe", "roles"], ["experience", "company", "leadership"]
 
 # Cut-offs tried besides those from the scores, and the prefixes of the rule list
 ABSOLUTE_CUTOFFS, PREFIXES = [0.02, 0.04, 0.06, 0.08, 0.10, 0.12, 0.15, 0.20], [3, 5, 8, 10, 15, 20]
 # Tiers (least precision, most rules), and the shares that combinations must reach
 TIERS = [(0.15, 2), (0.08, 5), (0.04, 8), (0.02, 10)]
 MIN_PRECISION, TARGET_RECALL = 0.20, 0.50
+# The precision a rule needs to be combined, the rules that votes look at, and the share left uncovered
+LEAST_RULE_PRECISION, ENSEMBLE_RULES, ENSEMBLE_COVER = 0.04, 15, 0.1
 
 # Texts of rules by kind
 TEMPLATES = {

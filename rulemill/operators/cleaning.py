@@ -83,16 +83,25 @@ def typed(column: Column, kind: str) -> Column:
     return column.cast("string")
 
 
-def fit(df: DataFrame, specs: list[FeatureSpec]) -> CleaningModel:
-    """Exact median of numeric columns, mode of binary ones (smallest on ties, else 0), empty text for the rest.
+def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The most frequent value of each column, the smallest on ties, nulls left out; a column without values lacks.
 
-    Binary columns have few values, so their counts meet in one row; numeric ones may have any number.
+    Values are counted before they are ranked, so that no task holds the distinct values of a column.
     """
+    if not columns:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(pairs.alias("p")).where("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
+    best = counts.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b"))
+    return {r["column"]: r["b"]["value"] for r in best.collect()}  # a row a column
+
+
+def fit(df: DataFrame, specs: list[FeatureSpec]) -> CleaningModel:
+    """Exact median of numeric columns, mode of binary ones (smallest on ties, else 0), empty text for the rest."""
     numeric, binary = [s.name for s in specs if s.kind in NUMERIC and not s.identifier], [s.name for s in specs if s.kind == "binary" and not s.identifier]
     values: dict[str, float | str] = {s.name: "" for s in specs if s.kind == "categorical" and not s.identifier}
     values |= {c: (q[0] if q else 0.0) for c, q in quantiles(df, numeric, [0.5]).items()}
-    modes = df.agg(*[F.mode(F.col(c), True).alias(c) for c in binary]).first().asDict() if binary else {}
-    return CleaningModel(tuple(specs), values | {c: "0" if m is None else m for c, m in modes.items()})
+    return CleaningModel(tuple(specs), values | dict.fromkeys(binary, "0") | modes(df, binary))
 
 
 def clean(df: DataFrame, specs: list[FeatureSpec]) -> tuple[DataFrame, CleaningModel]:

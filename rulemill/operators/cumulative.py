@@ -1,7 +1,7 @@
 """Running sums and exact quantiles of columns with any number of distinct values, without one task that holds them.
 
-A group's values are cut into ranges at approximate quantiles. Sums of whole ranges (a few rows a group) are added to
-running sums within each range, so the results are exact whatever the cuts.
+Values are counted once and the counts sorted by range. Sums of whole partitions are added to running sums within
+each, so the results are exact wherever the ranges are cut, and a range never outgrows a partition.
 """
 
 from __future__ import annotations
@@ -12,24 +12,27 @@ from math import floor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+from ..sources.tables import materialize
 
+_ROW_BITS = 33
 
-def running_sums(counts: DataFrame, group: str, value: str, sums: Sequence[str], descending: bool = False, ranges: int = RANGES) -> DataFrame:
+
+def running_sums(counts: DataFrame, group: str, value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
     """counts with <sum>_run for each column of sums: its sum over the group's values up to each one, itself included.
 
-    counts has one row a group and value. Groups are few (columns, features); their values may be very many.
+    counts has one row a group and value, and is computed once. Groups are few (columns, features); their values may be
+    very many.
     """
-    cuts = counts.groupBy(group).agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("_cuts"))
-    placed = counts.join(F.broadcast(cuts), group).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     toward = F.desc if descending else F.asc
-    before = Window.partitionBy(group).orderBy(toward("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = placed.groupBy(group, "_range").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    base = whole.select(group, "_range", *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
-    inside = Window.partitionBy(group, "_range").orderBy(toward(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = materialize(counts.orderBy(group, toward(value)).withColumn("_at", F.monotonically_increasing_id()), "ordered-counts")
+    placed = ordered.withColumn("_part", F.shiftright("_at", _ROW_BITS)).drop("_at")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = placed.groupBy(group, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    base = whole.select(group, "_part", *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
+    inside = Window.partitionBy(group, "_part").orderBy(toward(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = placed.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
-    # base has at most `ranges` rows a group
-    joined = own.join(F.broadcast(base), [group, "_range"])
+    # base has a row a partition, and one more a group
+    joined = own.join(F.broadcast(base), [group, "_part"])
     return joined.select(*counts.columns, *[(F.col(f"_in_{s}") + F.col(f"_{s}")).alias(f"{s}_run") for s in sums])
 
 
@@ -42,13 +45,13 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
         return {}
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
     counts = df.select(pairs.alias("p")).where("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
-    totals = {r["column"]: r["n"] for r in df.agg(*[F.count(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns])).alias("r")).select("r.*").collect()}
-    places = {c: [s * (totals[c] - 1) for s in shares] for c in columns if totals[c]}
+    run = materialize(running_sums(counts, "column", "value", ["n"]), "ranks")
+    totals = {r["column"]: r["n"] for r in run.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # a row a column
+    places = {c: [s * (totals[c] - 1) for s in shares] for c in columns if c in totals}
     if not places:
         return {c: [] for c in columns}
     wanted = {c: sorted({x for p in ps for x in (floor(p), min(floor(p) + 1, totals[c] - 1))}) for c, ps in places.items()}
     ranks = F.create_map(*[x for c, ws in wanted.items() for x in (F.lit(c), F.array(*[F.lit(w).cast("long") for w in ws]))])
-    run = running_sums(counts, "column", "value", ["n"])
     held = F.filter(F.try_element_at(ranks, F.col("column")), lambda w: (w >= F.col("n_run") - F.col("n")) & (w < F.col("n_run")))
     rows = run.select("column", "value", F.explode(held).alias("rank")).collect()  # two rows a column and share at most
     at = {(r["column"], r["rank"]): r["value"] for r in rows}

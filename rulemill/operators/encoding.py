@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, ByteType, NumericType, StringType
 
 from ..functions import vocabulary as V
 from ..functions.numeric import bin_number
+from ..sources.tables import materialize
 from .cumulative import quantiles
+from .ordering import number_rows
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -21,51 +23,57 @@ def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return values.groupBy("column").agg(F.count("value").alias("distinct"))
 
 
-def column_kinds(df: DataFrame, distinct: Mapping[str, int], overrides: Mapping[str, str] | None = None, most: int = 10) -> dict[str, str]:
-    """Kind of each column: an override, else by its type and number of distinct values, else by its name."""
+def column_kinds(df: DataFrame, distinct: Mapping[str, int], overrides: Mapping[str, str] | None = None, most: int = 10, byte_flags: bool = False) -> dict[str, str]:
+    """Kind of each column: an override, else by its type and number of distinct values.
+
+    byte_flags takes all columns of bytes for binary ones, whatever they hold.
+    """
     found = {}
     for f in df.schema:
-        low = f.name.lower()
         if overrides and f.name in overrides:
             kind = overrides[f.name]
         elif isinstance(f.dataType, StringType):
             kind = "categorical"
-        elif isinstance(f.dataType, BooleanType) or distinct[f.name] <= 2:
+        elif isinstance(f.dataType, BooleanType) or distinct[f.name] <= 2 or (byte_flags and isinstance(f.dataType, ByteType)):
             kind = "binary"
         elif isinstance(f.dataType, NumericType):
             kind = "ordinal" if distinct[f.name] <= most else "continuous"
         else:
-            kind = "binary" if low.startswith(("is_", "has_")) else "categorical"
+            kind = "categorical"
         found[f.name] = kind
     return found
 
 
+def kinds_by_name(names: Sequence[str], overrides: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Kinds of features of which there is only the name: an override, else by what the name says, else ordinal."""
+    says = lambda name, parts: any(p in name.lower() for p in parts)
+    by_name = lambda n: "continuous" if says(n, V.CONTINUOUS_NAMES) else "binary" if says(n, V.BINARY_NAMES) else "ordinal"
+    return {n: (overrides or {}).get(n) or by_name(n) for n in names}
+
+
 def quantile_edges(df: DataFrame, column: str, shares: Sequence[float] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> list[float]:
     """Distinct exact quantiles of a column, the last one replaced by infinity."""
     edges = sorted(set(quantiles(df, [column], shares)[column]))
     return [*edges[:-1], float("inf")]
 
 
-def ordinal_label(code: Column, levels: int) -> Column:
-    """The label of a code on a scale of so many levels; null for codes off the scale.
+def ordinal_label(code: Column, values: Sequence[int]) -> Column:
+    """The label of a code on the scale of these values; null for codes off the scale.
 
-    A scale that starts at 0 is looked up one place too far, as in the results to match: 0, 1, 2 become medium, high
-    and level_2. Scales of any other length name each code level_<code>.
+    A scale is known by its number of values, and shifted by one if the smallest is 0. Values that a known scale
+    doesn't name, and all of other scales, are level_<code>.
     """
-    names = V.SCALES.get(levels)
-    if names is None:
-        return F.concat(F.lit("level_"), code.cast("string"))
-    if levels in V.ZERO_BASED:
-        labels = {value: (names[1:] + [f"level_{levels - 1}"])[value] for value in range(levels)}
-    else:
-        labels = {value + 1: name for value, name in enumerate(names)}
+    names, shift = V.SCALES.get(len(values), {}), int(bool(values) and min(values) == 0)
+    labels = {v: names.get(v + shift, f"level_{v}") for v in values}
+    if not labels:
+        return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), code.cast("int"))
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """category, code: distinct values in order, from 0. The values meet in one task; their number is the vocabulary's."""
+    """category, code: distinct values in order, from 0; numbered by ranges, so that no task holds the vocabulary."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("category")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("category")) - 1).cast("int"))
+    return number_rows(values, "category", name="code").select("category", F.col("code").cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, unseen: int = 0) -> DataFrame:
@@ -76,49 +84,55 @@ def apply_codes(df: DataFrame, column: str, codes: DataFrame, unseen: int = 0) -
 
 @dataclass(frozen=True)
 class Encoding:
-    """Fitted state: edges of continuous columns, levels of ordinal ones, values of categorical ones."""
+    """Fitted state: edges of continuous columns, values of ordinal ones, tables of codes of categorical ones."""
 
     kinds: dict[str, str]
     edges: dict[str, list[float]]
-    levels: dict[str, int]
-    codes: dict[str, list[str]]
+    levels: dict[str, list[int]]
+    codes: dict[str, DataFrame]
     label: str
 
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Columns to keep, then columns in kind groups, by name within each: raw, bins, ordinals, their labels, binary, codes, text, flags, label."""
+        """Columns to keep, then columns in kind groups, by name within each: raw, bins, ordinals, their labels, binary, codes, text, flags, label.
+
+        Codes are joined, however many there are; Spark broadcasts those that are small.
+        """
         of = lambda kind: sorted(c for c, k in self.kinds.items() if k == kind)
         flags = sorted(c for c in df.columns if c.endswith("_missing"))
-        continuous, ordinal = of("continuous"), of("ordinal")
-        code = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in self.codes[c]]), F.col(c).cast("string")) - 1, F.lit(0)) if self.codes[c] else F.lit(0)
-        return df.select(
+        continuous, ordinal, categorical = of("continuous"), of("ordinal"), of("categorical")
+        coded = df
+        for i, c in enumerate(categorical):
+            table = self.codes[c].select(F.col("category").alias(f"_category{i}"), F.col("code").alias(f"_code{i}"))
+            coded = coded.join(table, F.col(c).cast("string") == F.col(f"_category{i}"), "left")
+        return coded.select(
             *keep,
             *[F.col(c).cast("double").alias(c) for c in continuous],
             *[bin_number(F.col(c), self.edges[c]).alias(f"{c}_bin") for c in continuous],
             *[F.col(c).cast("int").alias(c) for c in ordinal],
             *[ordinal_label(F.col(c), self.levels[c]).alias(f"{c}_qual") for c in ordinal],
             *[F.col(c).cast("boolean").alias(c) for c in of("binary")],
-            *[F.greatest(code(c), F.lit(0)).cast("int").alias(c) for c in of("categorical")],
+            *[F.coalesce(F.col(f"_code{i}"), F.lit(0)).cast("int").alias(c) for i, c in enumerate(categorical)],
             *[F.col(c).cast("string").alias(c) for c in of("text")],
             *flags,
             self.label,
         )
 
 
-def fit_encoding(df: DataFrame, kinds: Mapping[str, str], label: str, edges: Mapping[str, Sequence[float]] | None = None, most_codes: int = 1000) -> Encoding:
-    """Learns bins (given edges or quintiles), numbers of levels and the distinct values of categories.
+def fit_encoding(df: DataFrame, kinds: Mapping[str, str], label: str, edges: Mapping[str, Sequence[float]] | None = None) -> Encoding:
+    """Learns bins (given edges or quintiles), the values of ordinal columns and the codes of categories.
 
-    A category with more than most_codes values can't be a literal table; it raises, and apply_codes is the way then.
+    The values of an ordinal column, a byte in cleaned tables, come to the driver; categories don't.
     """
     cuts = {c: list(edges[c]) if edges and c in edges else quantile_edges(df, c) for c, k in kinds.items() if k == "continuous"}
     ordinal = [c for c, k in kinds.items() if k == "ordinal"]
-    counts = {r["column"]: r["distinct"] for r in cardinality(df, ordinal).collect()} if ordinal else {}
-    codes = {}
-    for c in (c for c, k in kinds.items() if k == "categorical"):
-        values = [r[0] for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().orderBy(c).limit(most_codes + 1).collect()]
-        if len(values) > most_codes:
-            raise ValueError(f"{c} has over {most_codes} values: encode it with category_codes and apply_codes")
-        codes[c] = values
-    return Encoding(dict(kinds), cuts, {c: counts.get(c, 0) for c in ordinal}, codes, label)
+    levels: dict[str, list[int]] = {c: [] for c in ordinal}
+    if ordinal:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("int").alias("value")) for c in ordinal]))
+        for r in df.select(pairs.alias("p")).select("p.*").where("value is not null").distinct().orderBy("column", "value").collect():
+            levels[r["column"]].append(r["value"])
+    text = lambda c: df.select(F.col(c).cast("string").alias(c))
+    codes = {c: materialize(category_codes(text(c), c), "codes") for c, k in kinds.items() if k == "categorical"}
+    return Encoding(dict(kinds), cuts, levels, codes, label)
 
 
 def project_selected(df: DataFrame, selected: Sequence[str], label: str) -> DataFrame:

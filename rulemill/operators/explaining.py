@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+from ..streaming import resume
 
 #: A batch of (row_id, features_json, label) to texts in the same order.
 Explainer = Callable[[list[tuple[int, str, int]]], list[str]]
@@ -18,29 +21,84 @@ def template_explainer(batch: list[tuple[int, str, int]]) -> list[str]:
     return [f"Row {i} with {features} ended in {'success' if label == 1 else 'failure'}." for i, features, label in batch]
 
 
-def explain(records: DataFrame, explainer: Explainer = template_explainer, size: int = 30, tries: int = 3, wait: float = 2.0) -> DataFrame:
-    """row_id, label, explanation. Each task calls the explainer for batches of its rows and retries a failed call."""
+def fault(texts: Sequence[object], wanted: int, least: int = 1, most: int | None = None) -> str | None:
+    """What is wrong with a reply, None if nothing is: the first of not_list, wrong_count, missing_text, too_short, too_long."""
+    if not isinstance(texts, (list, tuple)):
+        return "not_list"
+    if len(texts) != wanted:
+        return "wrong_count"
+    if not all(isinstance(t, str) for t in texts):
+        return "missing_text"
+    if any(len(t) < least for t in texts):
+        return "too_short"
+    return "too_long" if most is not None and any(len(t) > most for t in texts) else None
+
+
+def _limited(error: Exception) -> bool:
+    """Whether an error says that calls come too fast."""
+    return "ratelimit" in type(error).__name__.lower() or "rate limit" in str(error).lower() or "429" in str(error)
+
+
+def _ask(explainer: Explainer, rows: list[tuple], tries: int, wait: float, longer: float, least: int, most: int | None) -> list[str]:
+    """One checked reply; a failed call or a faulty reply is tried again, after a longer wait if calls came too fast."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            got = explainer(rows)
+            if wrong := fault(got, len(rows), least, most):
+                raise ValueError(f"bad reply: {wrong}")
+            return list(got)
+        except Exception as e:
+            if not left:
+                raise
+            time.sleep(longer if _limited(e) else wait)
+    return []
+
+
+def explain(records: DataFrame, explainer: Explainer = template_explainer, size: int = 30, tries: int = 3, wait: float = 2.0, longer: float = 30.0, least: int = 1, most: int | None = None, batch: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """row_id, label, explanation and the columns to keep; every reply is checked when it arrives.
+
+    Batches are those that the column `batch` names, each one call, or else up to `size` rows of a task.
+    """
+
+    def told(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(frame[["row_id", "features_json", "label"]].itertuples(index=False, name=None))
+        texts = [t for at in range(0, len(rows), size) for t in _ask(explainer, rows[at : at + size], tries, wait, longer, least, most)]
+        return frame[["row_id", "label"]].assign(explanation=texts)[["row_id", "label", "explanation"]].join(frame[list(keep)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = list(frame[["row_id", "features_json", "label"]].itertuples(index=False, name=None))
-            texts: list[str] = []
-            for at in range(0, len(rows), size):
-                for left in range(tries - 1, -1, -1):
-                    try:
-                        got = explainer(rows[at : at + size])
-                        break
-                    except Exception:
-                        if not left:
-                            raise
-                        time.sleep(wait)
-                if len(got) != len(rows[at : at + size]):
-                    raise ValueError("the explainer must return one text a row")
-                texts += got
-            yield pd.DataFrame({"row_id": frame["row_id"], "label": frame["label"], "explanation": texts})
-
-    kind = records.schema["row_id"].dataType.simpleString()
-    return records.mapInPandas(run, f"row_id {kind}, label {records.schema['label'].dataType.simpleString()}, explanation string")
+            yield told(frame)
+
+    kind = lambda c: records.schema[c].dataType.simpleString()
+    schema = ", ".join([f"row_id {kind('row_id')}", f"label {kind('label')}", "explanation string", *[f"`{c}` {kind(c)}" for c in keep]])
+    if batch is None:
+        return records.mapInPandas(run, schema)
+    return records.groupBy(batch).applyInPandas(told, schema)
+
+
+def explain_resuming(records: DataFrame, path: str, explainer: Explainer = template_explainer, number: str = "row_no", batch: str = "batch", at_once: int = 5, **how: object) -> DataFrame:
+    """Explains the batches that the JSON lines at path lack, appends a few at a time, and returns them all.
+
+    A run that is stopped goes on after the largest number written; a batch that was cut short is done again, and of
+    two explanations of a row the last one written counts. records: row_id, features_json, label, number, batch; their
+    batches are few (the first ones of a table).
+    """
+    spark = records.sparkSession
+    told = explain(records, explainer, batch=batch, keep=(number, batch), **how)
+    schema = told.schema.add("written", "long")
+    todo = resume.pending_batches(records, _stored(spark, path, schema), number, batch).where("action <> 'skip'")
+    wanted = sorted(r[batch] for r in todo.select(batch).collect())
+    for at in range(0, len(wanted), at_once):
+        some = records.where(F.col(batch).isin(wanted[at : at + at_once]))
+        explain(some, explainer, batch=batch, keep=(number, batch), **how).withColumn("written", F.lit(time.time_ns())).write.mode("append").json(path)
+    return resume.last_wins(_stored(spark, path, schema), ["row_id"], "written").select("row_id", "label", "explanation")
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:  # nothing was written yet
+        return spark.createDataFrame([], schema)
 
 
 def attach(explanations: DataFrame, records: DataFrame, complete: bool = True) -> DataFrame:

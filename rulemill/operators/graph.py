@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import clip, fixed
+from ..sources.tables import materialize
 
 #: Mechanisms kept of an edge (the last ones) and of a rule (the first ones).
 EDGE_MECHANISMS, RULE_MECHANISMS = 10_000, 5
@@ -18,6 +19,7 @@ _SALTS = 64
 def edges(triples: DataFrame, order: Sequence[str], min_weight: int = 1) -> DataFrame:
     """feature, outcome, weight, mechanisms (in order), confidence_avg, confidence_sum, first_seen."""
     at = F.struct(*[F.col(c) for c in order])
+    triples = materialize(triples.select("feature", "outcome", "mechanism", "confidence", *order), "triples")
     found = triples.groupBy("feature", "outcome").agg(
         F.count("*").alias("weight"),
         F.avg("confidence").alias("confidence_avg"),

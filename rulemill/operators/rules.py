@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import precision, ratio
+from ..sources.tables import materialize
 from ..spec import Rule
 from .cumulative import quantiles, running_sums
 
@@ -69,12 +70,15 @@ def candidates(df: DataFrame, kinds: dict[str, str], label: str, most: int = 100
     whole numbers, the last one exact); ordinal: those of levels that occur, or all values if none does.
     """
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("feature"))
-    scan = suffix_sums(value_counts(df, list(kinds), label)).withColumn("_level", F.col("threshold").isin([float(v) for v in levels]))
+    scan = materialize(suffix_sums(value_counts(df, list(kinds), label)).withColumn("_level", F.col("threshold").isin([float(v) for v in levels])), "scan")
     facts = scan.groupBy("feature").agg(F.count("*").alias("_n"), F.max("_level").alias("_any"))  # a row a feature
     scan = scan.join(F.broadcast(facts), "feature").withColumn("_i", F.col("_n") - F.col("from_top"))
     last = F.col("_n") - 1
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 2)), lambda k: (k * (last / F.lit(float(most - 1)))).cast("long"))
-    spaced = (F.col("_n") <= most) | (F.col("_i") == last) | F.array_contains(places, F.col("_i"))
+    # a place is that of k if k lands on it; only three k come near
+    step = last / F.lit(float(most - 1))
+    near = F.floor(F.col("_i") / step).cast("long")
+    lands = [((near + d) * step).cast("long").eqNullSafe(F.col("_i")) & (near + d).between(0, most - 2) for d in (-1, 0, 1)]
+    spaced = (F.col("_n") <= most) | (F.col("_i") == last) | lands[0] | lands[1] | lands[2]
     kept = scan.where(F.when(kind == "continuous", spaced).otherwise(F.col("_level") | ~F.col("_any")))
     by = Window.partitionBy("feature").orderBy("threshold")
     return kept.select("feature", (F.row_number().over(by) - 1).cast("int").alias("pos"), "threshold", "tp", "fp", "precision")
@@ -103,6 +107,12 @@ def filtered(best: DataFrame, min_precision: float) -> DataFrame:
     return flagged.join(F.broadcast(some)).where(F.col("_ok") | ~F.col("_some")).drop("_ok", "_some")
 
 
+def usable(rules: Sequence[Rule], least_precision: float) -> list[Rule]:
+    """Rules with a threshold that are precise enough; all that have one if none is."""
+    valid = [r for r in rules if r.threshold is not None]
+    return [r for r in valid if r.precision >= least_precision] or valid
+
+
 def sorted_rules(rules: Sequence[Rule], by: str = "weight_desc", weight_share: float = 0.7) -> list[Rule]:
     """Rules in the order in which they are combined; equal ones stay as they are."""
     top = max((r.weight for r in rules), default=1) or 1

@@ -42,10 +42,11 @@ def contributions(model: GBTClassificationModel, rows: DataFrame, inputs: Sequen
     return found.first().asDict()
 
 
-def importance(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, top: int = 25, rounds: int = 100, depth: int = 4, rate: float = 0.1, share: float = 0.8, target_rate: float | None = None, seed: int = 42, measure: str = "contribution") -> DataFrame:
-    """feature, rank, importance of the top features, positives weighted if asked for.
+def ranked(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, top: int = 25, rounds: int = 100, depth: int = 4, rate: float = 0.1, share: float = 0.8, target_rate: float | None = None, seed: int = 42, measure: str = "contribution") -> tuple[DataFrame, DataFrame]:
+    """(feature, rank, importance) of the top features, and (rows, right, accuracy) of the trees on their own rows.
 
-    measure: contribution (mean absolute change of the margin when the feature takes its mean) or gain (of all splits).
+    Positives are weighted if asked for. measure: contribution (mean absolute change of the margin when the feature
+    takes its mean) or gain (of all splits).
     """
     weight = class_weight(df, label, target_rate).first()["weight"] if target_rate else 1.0
     rows = df.select(F.col(label).cast("double").alias("_y"), F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0).alias("_w"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
@@ -60,5 +61,12 @@ def importance(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
         inputs = [*numeric, *[f"{c}_code" for c in categorical]]
         by_input = contributions(model.stages[-1], coded.select(*inputs), inputs)
         found = {n: by_input[i] for n, i in zip(names, inputs, strict=True)}
-    ranked = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
-    return df.sparkSession.createDataFrame([(f, i + 1, float(g)) for i, (f, g) in enumerate(ranked)], "feature string, rank int, importance double")
+    first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
+    right = F.count_if(F.col("prediction") == F.col("_y"))
+    accuracy = model.transform(rows).agg(F.count("*").alias("rows"), right.alias("right"), F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"))
+    return df.sparkSession.createDataFrame([(f, i + 1, float(g)) for i, (f, g) in enumerate(first)], "feature string, rank int, importance double"), accuracy
+
+
+def importance(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, **how: object) -> DataFrame:
+    """feature, rank, importance of the top features; see `ranked`."""
+    return ranked(df, numeric, categorical, label, **how)[0]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.tables import materialize
 
 
 def chain_table(df: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
@@ -20,26 +21,32 @@ def chain_table(df: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
     return df.select(key, *carry, F.posexplode(T.chains(F.col(text))).alias("chain", "piece"))
 
 
-def raw_matches(chains: DataFrame, key: str, patterns: Sequence[tuple[str, str]] = V.CHAIN_PATTERNS) -> DataFrame:
+def raw_matches(chains: DataFrame, key: str, patterns: Sequence[tuple[str, str]] = V.CHAIN_PATTERNS, needs: Mapping[str, str] = V.CHAIN_NEEDS) -> DataFrame:
     """All matches of all patterns in each chain: pattern, prio, match, feature_text, mechanism_text, outcome_text.
 
-    outcome_text is empty where an incomplete chain names no outcome. Chains are read once.
+    outcome_text is empty where an incomplete chain names no outcome. Chains are read once: a pattern finds its whole
+    matches, where what it needs is there at all, and groups are read from those. Matching costs far more than moving a
+    chain, so chains are dealt out evenly first.
     """
     kind = "array<struct<pattern:string,prio:int,match:int,feature_text:string,mechanism_text:string,outcome_text:string>>"
 
     def found(prio: int, name: str, pattern: str):
-        group = [F.regexp_extract_all("piece", F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-        return F.transform(group[0], lambda f, i: F.struct(F.lit(name).alias("pattern"), F.lit(prio).alias("prio"), i.alias("match"), f.alias("feature_text"), F.get(group[1], i).alias("mechanism_text"), F.get(group[2], i).alias("outcome_text"))).cast(kind)
+        whole = F.regexp_extract_all("piece", F.lit(pattern), F.lit(0))
+        if name in needs:
+            whole = F.when(F.col("piece").rlike(needs[name]), whole).otherwise(F.array().cast("array<string>"))
+        group = lambda m, g: F.regexp_extract(m, pattern, g)
+        return F.transform(whole, lambda m, i: F.struct(F.lit(name).alias("pattern"), F.lit(prio).alias("prio"), i.alias("match"), group(m, 1).alias("feature_text"), group(m, 2).alias("mechanism_text"), group(m, 3).alias("outcome_text"))).cast(kind)
 
     every = F.concat(*[found(i, n, p) for i, (n, p) in enumerate(patterns)])
-    return chains.select(*[c for c in chains.columns], F.explode(every).alias("m")).select(*chains.columns, "m.*")
+    dealt = chains.repartition(int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions")), *chains.columns)
+    return dealt.select(*chains.columns, F.explode(every).alias("m")).select(*chains.columns, "m.*")
 
 
 def parts(matches: DataFrame) -> DataFrame:
-    """One row a part of each match's feature text: part, fragment."""
+    """One row a part of each match's feature text: part, fragment. Written once, as mapping and choosing both read it."""
     whole = F.array(F.col("feature_text"))
     split = F.when(T.is_compound(F.col("feature_text")), T.compound_parts(F.col("feature_text"))).otherwise(whole)
-    return matches.select("*", F.posexplode(split).alias("part", "fragment"))
+    return materialize(matches.select("*", F.posexplode(split).alias("part", "fragment")), "fragments")
 
 
 def dictionary(spark, phrases: Mapping[str, str]) -> DataFrame:
@@ -88,29 +95,40 @@ def map_fuzzy(fragments: DataFrame, selected: DataFrame, least: float = V.FUZZY)
     """fragments with the selected name (pos, feature) that is nearest: the share contained, else sequence similarity."""
     norm, name = F.col("norm"), F.col("feature")
     a, b = F.length(norm), F.length(name)
-    score = F.when(norm.contains(name), b / F.greatest(a, F.lit(1))).when(name.contains(norm), a / F.greatest(b, F.lit(1))).otherwise(T.similarity(norm, name))
     # every distinct fragment meets every selected name: a short list, given by hand
-    found = fragments.join(F.broadcast(selected)).withColumn("score", score.cast("double")).where(F.col("score") >= least)
+    pairs = fragments.join(F.broadcast(selected))
+    held = F.when(norm.contains(name), b / F.greatest(a, F.lit(1))).when(name.contains(norm), a / F.greatest(b, F.lit(1)))
+    inside = norm.contains(name) | name.contains(norm)
+    # only pairs of which neither contains the other reach the Python function
+    found = pairs.where(inside).withColumn("score", held.cast("double")).unionByName(pairs.where(~inside).withColumn("score", T.similarity(norm, name)))
     best = Window.partitionBy("norm").orderBy(F.desc("score"), "pos")
-    return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    return found.where(F.col("score") >= least).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def canonicalise(fragments: DataFrame, phrases: Mapping[str, str], keywords: Mapping[str, Sequence[str]] | None = None, selected: Sequence[str] = (), text: str = "fragment") -> DataFrame:
+def canonicalise(fragments: DataFrame, phrases: Mapping[str, str], keywords: Mapping[str, Sequence[str]] | None = None, selected: Sequence[str] = (), text: str = "fragment", fuzzy: bool = True) -> DataFrame:
     """fragment, norm, feature, strategy of the fragments that map: exact phrase, containment, keywords, name, fuzzy name.
 
-    Each strategy sees only the distinct fragments that those before left over.
+    Each strategy counts only for the distinct fragments that those before left over; those that need similarities see
+    no others. What a group of strategies found is written, so that the next ones don't repeat it.
     """
     spark = fragments.sparkSession
-    own = fragments.select(F.col(text).alias("fragment")).distinct().withColumn("norm", T.normalise(F.col("fragment")))
+    own = materialize(fragments.select(F.col(text).alias("fragment")).distinct().withColumn("norm", T.normalise(F.col("fragment"))), "distinct-fragments")
     todo, table, found = own.select("norm").distinct(), dictionary(spark, phrases), None
     names = spark.createDataFrame([(i, f) for i, f in enumerate(selected)], "pos int, feature string")
-    steps = [("exact", lambda x: map_exact(x, table)), ("containment", lambda x: map_containment(x, table))]
+    groups = [[("exact", lambda x: map_exact(x, table)), ("containment", lambda x: map_containment(x, table))]]
     if keywords:
-        steps.append(("keywords", lambda x: map_keywords(x, keywords)))
+        groups.append([("keywords", lambda x: map_keywords(x, keywords))])
     if selected:
-        steps += [("name", lambda x: x.join(F.broadcast(names), F.col("norm") == F.col("feature"))), ("fuzzy", lambda x: map_fuzzy(x, names))]
-    for strategy, step in steps:
-        got = step(todo).select("norm", "feature", F.lit(strategy).alias("strategy"))
+        groups.append([("name", lambda x: x.join(F.broadcast(names), F.col("norm") == F.col("feature")))])
+        if fuzzy:
+            groups.append([("fuzzy", lambda x: map_fuzzy(x, names))])
+    for steps in groups:
+        got = None
+        for i, (strategy, step) in enumerate(steps):
+            one = step(todo).select("norm", F.struct(F.lit(i).alias("i"), "feature", F.lit(strategy).alias("strategy")).alias("_m"))
+            got = one if got is None else got.unionByName(one)
+        # the first strategy that maps a fragment; each maps it once
+        got = materialize(got.groupBy("norm").agg(F.min("_m").alias("_m")).select("norm", "_m.feature", "_m.strategy"), "mapped-fragments")
         found = got if found is None else found.unionByName(got)
         todo = todo.join(got.select("norm"), "norm", "left_anti")
     return own.join(found, "norm").select("fragment", "norm", "feature", "strategy")

@@ -8,15 +8,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..operators import cleaning, combining, encoding, evaluation, explaining, graph, ordering, rules, selection, splitting, triples
 from ..sources import records
-from ..spec import FeatureSpec, Rule
+from ..spec import KINDS, FeatureSpec, Rule
 from .pipeline import RulePipeline, Workspace
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What the stages need to know. specs name the raw columns; label is one of them, binary; key tells rows apart."""
+    """What the stages need to know. specs name the raw columns; label is one of them, binary; key tells rows apart.
+
+    describer, if given, tells about each row before the explainer does, and the explainer reads what it told.
+    strategy, order, scoring and voting choose how rules are combined (see `combining.combine`); reply_bounds are the
+    least and most characters of an explanation; target_rate weights positives when features are ranked.
+    """
 
     specs: Sequence[FeatureSpec]
     key: str
@@ -33,6 +39,20 @@ class Plan:
     batch_rows: int = 30
     top_edges: int = 25
     seed: int = 42
+    describer: explaining.Explainer | None = None
+    reply_bounds: tuple[int, int | None] = (1, None)
+    strategy: str = "weighted_scoring"
+    order: str = "weight_desc"
+    scoring: str = "precision_weighted"
+    voting: str = "majority"
+    least_precision: float = V.LEAST_RULE_PRECISION
+    least_rows: int = 1
+    target_rate: float | None = None
+
+
+def _no_nulls(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Checks that no column holds a null."""
+    return {f"nulls_in_{c}": (F.count_if(F.col(c).isNull()), 0.0, 0.0) for c in columns}
 
 
 def _must(checks: DataFrame) -> None:
@@ -46,15 +66,25 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
     """Name -> stage. Each stage reads what it needs from the workspace, so a run can resume anywhere."""
 
     def clean(w: Workspace) -> dict[str, DataFrame]:
+        lacks = [s.name for s in plan.specs if s.name not in raw.columns]
+        if lacks:
+            raise ValueError("the raw table lacks " + ", ".join(lacks))
         specs = [s if s.name != plan.key else FeatureSpec(plan.key, identifier=True) for s in plan.specs]
         rows, _ = cleaning.clean(raw.select(*[s.name for s in specs]), specs)
-        return {"rows": rows.withColumn(plan.label, F.col(plan.label).cast("int"))}
+        rows = rows.withColumn(plan.label, F.col(plan.label).cast("int"))
+        _must(splitting.checks(rows, {"rows": (F.count("*"), float(plan.least_rows), float("inf"))} | _no_nulls(rows, [s.name for s in specs])))
+        return {"rows": rows}
 
     def split(w: Workspace) -> dict[str, DataFrame]:
-        rows = splitting.stratified_split(w.load("clean", "rows"), plan.key, plan.label, dict(plan.test_counts), plan.seed)
+        clean = w.load("clean", "rows")
+        rows = splitting.stratified_split(clean, plan.key, plan.label, dict(plan.test_counts), plan.seed)
+        held = clean.agg(F.count("*").alias("n"), F.sum(plan.label).alias("p")).first()
+        conserved = {"rows": (F.count("*"), float(held["n"]), float(held["n"])), "positives": (F.sum(plan.label), float(held["p"]), float(held["p"]))}
+        rate = plan.test_counts.get(1, 0) / max(1, sum(plan.test_counts.values()))
+        conserved["test_rate"] = (F.avg(F.when(F.col("split") == "test", F.col(plan.label))), rate - 0.001, rate + 0.001)
         test, y = F.col("split") == "test", F.col(plan.label)
         wanted = {f"test_rows_of_{v}": (F.count_if(test & (y == v)), float(n), float(n)) for v, n in plan.test_counts.items()}
-        _must(splitting.checks(rows, wanted | {"labels_out_of_range": (F.count_if(~y.isin(0, 1)), 0.0, 0.0)}))
+        _must(splitting.checks(rows, wanted | conserved | {"labels_out_of_range": (F.count_if(~y.isin(0, 1)), 0.0, 0.0)}))
         return {"train": rows.where("split = 'train'").drop("split"), "test": rows.where("split = 'test'").drop("split")}
 
     def encode(w: Workspace) -> dict[str, DataFrame]:
@@ -64,7 +94,13 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
         kinds = encoding.column_kinds(train.select(*inputs), counts, plan.kinds)
         fitted = encoding.fit_encoding(train, kinds, plan.label, plan.edges)
         named = train.sparkSession.createDataFrame(sorted(kinds.items()), "feature string, kind string")
-        return {"train": fitted.apply(train, [plan.key]), "test": fitted.apply(test, [plan.key]), "kinds": named}
+        encoded = {"train": fitted.apply(train, [plan.key]), "test": fitted.apply(test, [plan.key])}
+        if encoded["train"].schema != encoded["test"].schema:
+            raise ValueError("train and test differ in their columns once encoded")
+        for df in encoded.values():
+            bins = {f"{c}_bin_out_of_range": (F.count_if(~F.col(f"{c}_bin").between(0, max(0, len(e) - 2))), 0.0, 0.0) for c, e in fitted.edges.items()}
+            _must(splitting.checks(df, _no_nulls(df, df.columns) | bins))
+        return encoded | {"kinds": named, "kind_counts": named.groupBy("kind").agg(F.count("*").alias("n"))}
 
     def kinds_of(w: Workspace) -> dict[str, str]:
         return {r["feature"]: r["kind"] for r in w.load("encode", "kinds").collect()}  # a row a column
@@ -72,15 +108,25 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
     def select(w: Workspace) -> dict[str, DataFrame]:
         train, kinds = w.load("encode", "train"), kinds_of(w)
         inputs = [c for c, k in kinds.items() if k != "text"]
-        ranked = selection.importance(train, inputs, [], plan.label, plan.features, plan.rounds, seed=plan.seed)
+        ranked, right = selection.ranked(train, inputs, [], plan.label, plan.features, plan.rounds, target_rate=plan.target_rate, seed=plan.seed)
         chosen = [r["feature"] for r in ranked.orderBy("rank").collect()]
-        return {"ranked": ranked} | {t: encoding.project_selected(w.load("encode", t), [plan.key, *chosen], plan.label) for t in ("train", "test")}
+        return {"ranked": ranked, "accuracy": right} | {t: encoding.project_selected(w.load("encode", t), [plan.key, *chosen], plan.label) for t in ("train", "test")}
 
-    def explain(w: Workspace) -> dict[str, DataFrame]:
+    def told(w: Workspace, phase: str, explainer: explaining.Explainer, described: DataFrame | None) -> DataFrame:
         train = w.load("select", "train")
         first = ordering.batches(ordering.number_rows(train, plan.key), plan.batch_rows, plan.batches)
-        rows = records.as_records(first, plan.key, [c for c in train.columns if c not in (plan.key, plan.label)], plan.label)
-        return {"texts": explaining.explain(rows, plan.explainer, plan.batch_rows)}
+        features = [c for c in train.columns if c not in (plan.key, plan.label)]
+        if described is not None:
+            first = first.join(described.select(F.col("row_id").alias(plan.key), F.col("explanation").alias("description")), plan.key)
+            features.append("description")
+        rows = records.as_records(first, plan.key, features, plan.label, "row_no", "batch")
+        return explaining.explain_resuming(rows, f"{w.folder}/{phase}_log", explainer, size=plan.batch_rows, least=plan.reply_bounds[0], most=plan.reply_bounds[1])
+
+    def describe(w: Workspace) -> dict[str, DataFrame]:
+        return {"texts": told(w, "describe", plan.describer, None)}
+
+    def explain(w: Workspace) -> dict[str, DataFrame]:
+        return {"texts": told(w, "explain", plan.explainer, w.load("describe", "texts") if plan.describer else None)}
 
     def build_graph(w: Workspace) -> dict[str, DataFrame]:
         texts = w.load("explain", "texts").withColumn("text", F.substring("explanation", 1, records.MOST_CHAIN)).where(F.length("text") >= records.LEAST_CHAIN)
@@ -93,7 +139,11 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
 
     def make_rules(w: Workspace) -> dict[str, DataFrame]:
         kept, skipped = graph.selected_rules(w.load("graph", "edges"), w.load("select", "ranked").select("feature"), plan.top_edges)
-        return {"templates": graph.rule_templates(kept, kinds_of(w)), "skipped": skipped}
+        made = graph.rule_templates(kept, kinds_of(w))
+        fields = ["rule_id", "feature", "feature_type", "outcome", "weight", "condition_template", "mechanisms"]
+        kinds = {"unsupported_kinds": (F.count_if(~F.col("feature_type").isin([*KINDS, "text"])), 0.0, 0.0)}
+        _must(splitting.checks(made, _no_nulls(made, fields) | kinds))
+        return {"templates": made, "skipped": skipped}
 
     def templates(w: Workspace) -> list[Rule]:
         kind = {"text": "categorical"}
@@ -101,21 +151,22 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
 
     def calibrate(w: Workspace) -> dict[str, DataFrame]:
         train = w.load("select", "train")
-        found = rules.sorted_rules(rules.calibrate(train, templates(w), plan.label))
-        sweep = combining.weighted_scoring(train, found, plan.label)
-        return {"rules": combining.calibrated_rules(sweep, found), "sweep": sweep}
+        found = rules.calibrate(train, templates(w), plan.label)
+        return {"rules": combining.combine(train, found, plan.label, plan.strategy, plan.order, plan.scoring, plan.voting, plan.least_precision)}
 
     def evaluate(w: Workspace) -> dict[str, DataFrame]:
         test, rows = w.load("select", "test"), w.load("calibrate", "rules").orderBy("rule_index").collect()
         value = lambda r: r["threshold_num"] if r["threshold_num"] is not None else {"true": True, "false": False}.get(r["threshold_str"], r["threshold_str"])
         found = [Rule(r["rule_id"], r["feature"], r["feature_type"], r["weight"], value(r), r["rule_precision"], r["rule_support"], r["outcome"]) for r in rows]
-        cutoff = rows[0]["scoring_threshold"] if rows else 0.5
-        metrics = evaluation.evaluate(test, found, cutoff, plan.label)
+        # strategies other than scores set no cut-off; half a point then, as in the results to match
+        cutoff = rows[0]["scoring_threshold"] if rows and rows[0]["scoring_threshold"] is not None else 0.5
+        metrics = evaluation.evaluate(test, found, cutoff, plan.label, plan.scoring)
         some = evaluation.examples(test, found, plan.key, plan.label)
         texts = w.load("explain", "texts").withColumnRenamed("row_id", plan.key)
         return {"metrics": metrics, "examples": some, "report": evaluation.report(metrics, found, evaluation.with_excerpts(some, texts, plan.key, "explanation"))}
 
-    return {"clean": clean, "split": split, "encode": encode, "select": select, "explain": explain, "graph": build_graph, "rules": make_rules, "calibrate": calibrate, "evaluate": evaluate}
+    first = {"clean": clean, "split": split, "encode": encode, "select": select}
+    return first | ({"describe": describe} if plan.describer else {}) | {"explain": explain, "graph": build_graph, "rules": make_rules, "calibrate": calibrate, "evaluate": evaluate}
 
 
 def pipeline(raw: DataFrame, plan: Plan, folder: str) -> RulePipeline:

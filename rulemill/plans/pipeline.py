@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import argparse
 import json
+import logging
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.tables import remove
+
+log = logging.getLogger("rulemill")
+
 Stage = Callable[["Workspace"], dict[str, DataFrame]]
 
 
@@ -50,9 +57,15 @@ class Workspace:
             raise KeyError(f"{stage}/{name} isn't there")
         return self.spark.read.parquet(f"{self.folder}/{stage}/{name}")
 
-    def reset(self, stage: str) -> None:
-        """Forgets a stage; its tables are overwritten when it runs again."""
+    def reset(self, stage: str, delete: bool = False) -> None:
+        """Forgets a stage; its tables are overwritten when it runs again, or deleted now if asked for."""
         self._note(what="reset", stage=stage)
+        if delete:
+            remove(self.spark, f"{self.folder}/{stage}")
+
+    def clean_all(self) -> None:
+        """Deletes all tables, logs of replies and the manifest."""
+        remove(self.spark, self.folder)
 
 
 @dataclass
@@ -71,11 +84,15 @@ class RulePipeline:
                 continue
             if name in done:
                 continue
+            began = time.monotonic()
+            log.info("%s begins", name)
             try:
                 self.workspace.save(name, self.stages[name](self.workspace))
             except Exception as e:  # reported in the status, as the caller can't tell which stage ran
+                log.error("%s failed: %s", name, e)
                 self.errors.append(f"{name}: {e}")
                 break
+            log.info("%s done after %.1f s", name, time.monotonic() - began)
         return self.status()
 
     def replace_last(self) -> dict[str, object]:
@@ -90,7 +107,52 @@ class RulePipeline:
         return {"done": list(done), "pending": [s for s in self.stages if s not in done], "errors": list(self.errors)}
 
 
+def log_to(path: str | None = None) -> None:
+    """Logs of the stages to the standard output, and to a file if one is given."""
+    for handler in [logging.StreamHandler(sys.stdout), *([logging.FileHandler(path)] if path else [])]:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    log.setLevel(logging.INFO)
+
+
+def stage_report(workspace: Workspace, stage: str) -> DataFrame:
+    """table, rows, column, nulls of each table that a stage wrote."""
+    out = None
+    for name in workspace.done().get(stage, []):
+        df = workspace.load(stage, name)
+        one = profile(df).crossJoin(df.agg(F.count("*").alias("rows"))).select(F.lit(name).alias("table"), "rows", "column", "nulls")  # one row on the right
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise KeyError(f"{stage} isn't there")
+    return out
+
+
+def main(args: list[str] | None = None) -> int:
+    """Looks at a workspace and resets it: python -m rulemill.plans.pipeline status|report|reset|clean FOLDER [STAGE]."""
+    parser = argparse.ArgumentParser(prog="rulemill.plans.pipeline", description=main.__doc__)
+    parser.add_argument("what", choices=["status", "report", "reset", "clean"])
+    parser.add_argument("folder")
+    parser.add_argument("stage", nargs="?")
+    asked = parser.parse_args(args)
+    if asked.what in ("report", "reset") and not asked.stage:
+        parser.error("which stage?")
+    workspace = Workspace(SparkSession.builder.getOrCreate(), asked.folder)
+    if asked.what == "status":
+        print("\n".join(f"{stage}: {', '.join(tables)}" for stage, tables in workspace.done().items()) or "nothing is done")
+    elif asked.what == "report":
+        stage_report(workspace, asked.stage).show(1000, truncate=False)
+    elif asked.what == "reset":
+        workspace.reset(asked.stage, delete=True)
+    else:
+        workspace.clean_all()
+    return 0
+
+
 def profile(df: DataFrame) -> DataFrame:
     """column, nulls of all columns: a report of any stage's table."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in df.columns])).alias("r")).select("r.*")
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -209,27 +209,71 @@ def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(combining.greedy_cover(load(spark, d, "items"), _ORDERED, "label"), "pos int, rule_id string, tp long, fp long")
 
 
-_STEPS = [(t, i, r) for t, (least, most) in enumerate(V.TIERS) for i, r in [(i, r) for i, r in enumerate(_ORDERED) if r.precision >= least][:most]]
-_STEP_ROWS = ", ".join(f"({s}, {ITEM_RULES.index(r)}, '{r.rule_id}', {str(s + 1 == len(_STEPS) or _STEPS[s + 1][0] != t).lower()})" for s, (t, _, r) in enumerate(_STEPS))
+def _tiers(order: list[Rule]) -> str:
+    """Recursive CTE g: the tiers' steps over rules in an order; took marks a rule that is admitted."""
+    steps = [(t, r) for t, (least, most) in enumerate(V.TIERS) for r in [r for r in order if r.precision >= least][:most]]
+    rows = ", ".join(f"({s}, {ITEM_RULES.index(r)}, '{r.rule_id}', {str(s + 1 == len(steps) or steps[s + 1][0] != t).lower()})" for s, (t, r) in enumerate(steps))
+    return f"""g AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS mask, false AS took, CAST('' AS VARCHAR) AS rule_id, false AS over UNION ALL
+    SELECT g.step + 1, chosen.mask, chosen.mask = new.mask AND new.tp + new.fp > 0 AND new.tp / (new.tp + new.fp) >= 0.2, v.rule_id, v.last AND chosen.tp / total >= 0.5
+    FROM g JOIN (VALUES {rows}) v(step, bit, rule_id, last) ON v.step = g.step JOIN masks new ON new.mask = (g.mask | (1::BIGINT << v.bit))
+    JOIN masks chosen ON chosen.mask = CASE WHEN new.tp + new.fp > 0 AND new.tp / (new.tp + new.fp) >= 0.2 THEN new.mask ELSE g.mask END, pos_all WHERE NOT g.over)"""
 
 
-@query(
-    f"""/*recursive*/{_MASKS}, g AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS mask, false AS took, CAST('' AS VARCHAR) AS rule_id, false AS over UNION ALL
-    SELECT g.step + 1, chosen.mask, chosen.mask = new.mask AND new.tp + new.fp > 0 AND new.tp / (new.tp + new.fp) >= 0.2, v.rule_id, v.last AND chosen.tp / total >= 0.5
-    FROM g JOIN (VALUES {_STEP_ROWS}) v(step, bit, rule_id, last) ON v.step = g.step JOIN masks new ON new.mask = (g.mask | (1::BIGINT << v.bit))
-    JOIN masks chosen ON chosen.mask = CASE WHEN new.tp + new.fp > 0 AND new.tp / (new.tp + new.fp) >= 0.2 THEN new.mask ELSE g.mask END, pos_all WHERE NOT g.over)
-    SELECT CAST(row_number() OVER (ORDER BY step) - 1 AS INT) AS pos, rule_id, tp, fp FROM g JOIN masks USING (mask) WHERE took""",
-    ("items",),
-)
+@query(f"/*recursive*/{_MASKS}, {_tiers(_ORDERED)} SELECT CAST(row_number() OVER (ORDER BY step) - 1 AS INT) AS pos, rule_id, tp, fp FROM g JOIN masks USING (mask) WHERE took", ("items",))
 def hierarchical_combine(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(combining.hierarchical(load(spark, d, "items"), _ORDERED, "label"), "pos int, rule_id string, tp long, fp long")
 
 
-@query()
+def _votes(top: int) -> str:
+    """CTEs: greedy steps c over the rules in their own order, the sub-models' masks, and every set of firing rules with its votes."""
+    precise = sum(1 << i for i in sorted(range(len(ITEM_RULES)), key=lambda i: -ITEM_RULES[i].precision)[:top])
+    names = "(VALUES " + ", ".join(f"({i}, {i})" for i in range(len(ITEM_RULES))) + ") names(bit, step)"
+    prefixes = ", ".join(f"({i}, {(2 << i) - 1})" for i in range(len(ITEM_RULES)))
+    return f"""c AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS mask UNION ALL
+    SELECT c.step + 1, CASE WHEN new.tp > old.tp THEN new.mask ELSE c.mask END FROM c JOIN {names} ON names.step = c.step
+    JOIN masks old ON old.mask = c.mask JOIN masks new ON new.mask = (c.mask | (1::BIGINT << names.bit)), pos_all WHERE old.tp / total < 0.5),
+    prefix AS (SELECT pos, m.mask, tp, fp, total - tp AS fn FROM (VALUES {prefixes}) v(pos, mask) JOIN masks m USING (mask), pos_all),
+    balanced AS ({_metrics('prefix', 'pos, mask')}),
+    sub AS (SELECT {precise}::BIGINT AS hp, (SELECT mask FROM c ORDER BY step DESC LIMIT 1) AS hr, coalesce((SELECT mask FROM balanced WHERE precision >= 0.2 AND f1 > 0 ORDER BY f1 DESC, pos LIMIT 1), 0) AS ba),
+    hits AS (SELECT fired, p, n, (fired & hp) <> 0 AS a, (fired & hr) <> 0 AS b, (fired & ba) <> 0 AS c FROM sets, sub),
+    voted AS (SELECT *, CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) AS votes FROM hits)"""
+
+
+_VOTES = {"high_precision": "a", "high_recall": "b", "balanced": "c", "majority": "votes >= 2", "unanimous": "votes = 3", "weighted": "votes / 3.0 >= 0.5"}
+
+
+@query(f"/*recursive*/{_MASKS}, {_votes(2)} " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, CAST(coalesce(sum(p + n) FILTER (WHERE {e}), 0) AS BIGINT) AS predicted, CAST(coalesce(sum(p) FILTER (WHERE {e}), 0) AS BIGINT) AS tp FROM voted" for k, e in _VOTES.items()), ("items",))
 def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
     return combining.ensemble(load(spark, d, "items"), ITEM_RULES, "label", top=2)
 
 
+_SHOWN = ("combined_precision", "combined_recall", "combined_f1")
+_PLACES = ", ".join(f"({i}, '{r.rule_id}')" for i, r in enumerate(ITEM_RULES))
+
+
+@query(
+    f"""/*recursive*/{_CALIBRATED}{_MASKS}, {_tiers(ITEM_RULES)}, {_votes(5)}, o AS ({_or_rows()}), places AS (SELECT * FROM (VALUES {_PLACES}) v(place, rule_id)),
+    kept AS (SELECT CASE {' '.join(f'WHEN (fired & {1 << i}) <> 0 THEN {i}' for i in range(len(ITEM_RULES)))} END AS place, sum(p + n) AS n FROM voted WHERE votes >= 2 GROUP BY 1),
+    fresh AS (SELECT place, n, sum(n) OVER () AS total, sum(n) OVER () - sum(n) OVER (ORDER BY place) + n AS remaining FROM kept WHERE place IS NOT NULL),
+    simple AS (SELECT 'simple_or' AS strategy, CAST(pos AS BIGINT) AS rule_index, rule_id, tp, fp, fn FROM o),
+    tiers AS (SELECT 'hierarchical', row_number() OVER (ORDER BY step) - 1, rule_id, m.tp, m.fp, CAST(total - m.tp AS BIGINT) FROM g, pos_all, (SELECT tp, fp FROM masks WHERE mask = (SELECT mask FROM g ORDER BY step DESC LIMIT 1)) m WHERE took),
+    vote AS (SELECT 'ensemble', row_number() OVER (ORDER BY place) - 1, rule_id, v.tp, v.fp, CAST(total_p - v.tp AS BIGINT) FROM fresh JOIN places USING (place),
+        (SELECT CAST(sum(p) FILTER (WHERE votes >= 2) AS BIGINT) AS tp, CAST(sum(n) FILTER (WHERE votes >= 2) AS BIGINT) AS fp, sum(p) AS total_p FROM voted) v WHERE remaining >= 0.1 * total),
+    other AS (SELECT * FROM simple UNION ALL SELECT * FROM tiers UNION ALL SELECT * FROM vote),
+    measured AS ({_metrics('other', 'strategy, rule_index, rule_id, tp, fp')})
+    SELECT strategy, rule_index, rule_id, tp AS combined_support, CAST(fp AS DOUBLE) AS combined_false_positives, round(precision, 9) AS combined_precision, round(recall, 9) AS combined_recall, round(f1, 9) AS combined_f1 FROM measured
+    UNION ALL SELECT 'weighted_scoring', CAST(rule_index AS BIGINT), rule_id, tp, round(tp / precision - tp, 3), round(precision, 9), round(recall, 9), round(f1, 9) FROM cal""",
+    ("items",),
+)
+def combine_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that each strategy combines, with the figures of its combination."""
+    items, out = load(spark, d, "items"), None
+    for strategy in combining.STRATEGIES:
+        one = combining.combine(items, ITEM_RULES, "label", strategy).select(F.lit(strategy).alias("strategy"), "rule_index", "rule_id", "combined_support", F.round("combined_false_positives", 3).alias("combined_false_positives"), *_SHOWN)
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out, *_SHOWN)
+
+
 def _confusion(met: str, where: str = "") -> str:
     return f"""c AS (SELECT count(*) FILTER (WHERE ({met}) AND label = 1) AS tp, count(*) FILTER (WHERE ({met}) AND label = 0) AS fp,
         count(*) FILTER (WHERE NOT ({met}) AND label = 1) AS fn, count(*) FILTER (WHERE NOT ({met}) AND label = 0) AS tn FROM items {where})"""

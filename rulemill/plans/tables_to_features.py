@@ -147,7 +147,7 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0)
+    """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer)
     SELECT 'union' AS kind, count(*) AS n FROM (SELECT k FROM a UNION SELECT k FROM b) UNION ALL
     SELECT 'intersect', count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL
     SELECT 'except', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL
@@ -155,7 +155,7 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
 )
 def set_ops(spark: SparkSession, d: str) -> DataFrame:
     a = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("k"))
-    b = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
+    b = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"))
     return splitting.set_relations(a, b)
 
 
@@ -200,9 +200,29 @@ def bin_quantile(spark: SparkSession, d: str) -> DataFrame:
     return encoding.bin_profile(rows, "price", encoding.quantile_edges(rows, "price"))
 
 
-@query("SELECT level AS code, CASE level WHEN 1 THEN 'very_low' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' WHEN 4 THEN 'high' WHEN 5 THEN 'very_high' END AS label, count(*) AS n FROM items GROUP BY 1, 2", ("items",))
+#: Scales drawn from the levels 1 to 5, each as an expression and with what its codes mean.
+_SCALES = {
+    "1..5": ("level", {1: "very_low", 2: "low", 3: "medium", 4: "high", 5: "very_high"}),
+    "0..4": ("level - 1", {0: "very_low", 1: "low", 2: "medium", 3: "high", 4: "very_high"}),
+    "0..3": ("least(level, 4) - 1", {0: "low", 1: "medium_low", 2: "medium_high", 3: "high"}),
+    "1..3": ("least(level, 3)", {1: "medium", 2: "high", 3: "level_3"}),
+    "1..2": ("least(level, 2)", {1: "yes", 2: "level_2"}),
+    "1,2,7": ("CASE WHEN level < 3 THEN level ELSE 7 END", {1: "medium", 2: "high", 7: "level_7"}),
+    "2..7": ("level + CASE WHEN level = 5 THEN 2 ELSE 1 END", {2: "low", 3: "medium", 4: "high", 5: "very_high", 7: "level_7"}),
+}
+
+
+@query(
+    ", s AS (" + " UNION ALL ".join(f"SELECT '{k}' AS scale, CAST({e} AS INT) AS code FROM items WHERE level > 0" for k, (e, _) in _SCALES.items())
+    + ") SELECT scale, code, CASE " + " ".join(f"WHEN scale = '{k}' AND code = {c} THEN '{t}'" for k, (_, names) in _SCALES.items() for c, t in names.items()) + " END AS label, count(*) AS n FROM s GROUP BY ALL",
+    ("items",),
+)
 def ordinal_labels(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "items").groupBy(F.col("level").alias("code"), encoding.ordinal_label(F.col("level"), 5).alias("label")).agg(F.count("*").alias("n"))
+    rows = load(spark, d, "items").where("level > 0").select(*[F.expr(e).cast("int").alias(f"s{i}") for i, (e, _) in enumerate(_SCALES.values())], "label")
+    names = [c for c in rows.columns if c != "label"]
+    fitted = encoding.fit_encoding(rows, dict.fromkeys(names, "ordinal"), "label")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("scale"), F.col(c).alias("code"), F.col(f"{c}_qual").alias("label")) for k, c in zip(_SCALES, names, strict=True)]))
+    return fitted.apply(rows).select(each.alias("s")).groupBy("s.scale", "s.code", "s.label").agg(F.count("*").alias("n"))
 
 
 _CODES = ", codes AS (SELECT nation AS category, CAST(row_number() OVER (ORDER BY nation) - 1 AS INT) AS code FROM (SELECT DISTINCT nation FROM orders_labelled {where}))"
@@ -215,10 +235,10 @@ def label_encode(spark: SparkSession, d: str) -> DataFrame:
     return codes.join(rows.groupBy(F.col("nation").alias("category")).agg(F.count("*").alias("n")), "category")
 
 
-@query(f"{_CODES.format(where='WHERE label = 1 AND row_id % 7 = 0')} SELECT nation AS category, CAST(coalesce(code, 0) AS INT) AS code, count(*) AS n FROM orders_labelled LEFT JOIN codes ON nation = category GROUP BY 1, 2", ("orders_labelled",))
+@query(f"{_CODES.format(where='WHERE label = 1')} SELECT nation AS category, CAST(coalesce(code, 0) AS INT) AS code, count(*) AS n FROM orders_labelled LEFT JOIN codes ON nation = category GROUP BY 1, 2", ("orders_labelled",))
 def label_encode_transform(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "orders_labelled")
-    coded = encoding.apply_codes(rows, "nation", encoding.category_codes(rows.where("label = 1 AND row_id % 7 = 0"), "nation"))
+    coded = encoding.apply_codes(rows, "nation", encoding.category_codes(rows.where("label = 1"), "nation"))
     return coded.groupBy(F.col("nation").alias("category"), F.col("nation_code").alias("code")).agg(F.count("*").alias("n"))
 
 
@@ -255,4 +275,4 @@ def project_selected(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    return selection.importance(load(spark, d, "items"), ["price", "quantity", "discount", "level"], ["state"], "label", rounds=10, target_rate=None)
+    return selection.importance(load(spark, d, "items"), ["price", "quantity", "discount", "level"], ["state"], "label", rounds=100, target_rate=0.02)

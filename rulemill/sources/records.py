@@ -19,10 +19,18 @@ def line_status(line: Column, text_field: str = "causal_cot", required: tuple[st
     return F.when(F.trim(line) == "", "blank").when(parsed.isNull() | ~line.rlike(r"^\s*\{"), "malformed").when(lacks, "missing_field").when(size < least, "too_short").when(size > most, "too_long").otherwise("ok")
 
 
-def read_lines(spark: SparkSession, path: str, schema: str = RECORD, strict: bool = True) -> DataFrame:
-    """Records of a JSON-lines file; blank lines are skipped. strict: a malformed line or a missing field raises."""
+def read_lines(spark: SparkSession, path: str, schema: str = RECORD, strict: bool = True, tolerate: int | None = None) -> DataFrame:
+    """Records of a JSON-lines file; blank lines are skipped. strict: a malformed line or a missing field raises.
+
+    tolerate: that many bad lines are left out, and one more raises.
+    """
     lines = spark.read.text(path).where(F.trim("value") != "")
     status = line_status(F.col("value"))
+    if tolerate is not None:
+        found = lines.where(status.isin("malformed", "missing_field")).limit(tolerate + 1).count()
+        if found > tolerate:
+            raise ValueError(f"over {tolerate} bad records in {path}")
+        strict = False
     if strict:
         bad = status.isin("malformed", "missing_field")
         lines = lines.where(F.when(bad, F.raise_error(F.concat(F.lit("bad record: "), F.substring("value", 1, 200))).cast("boolean")).otherwise(True))
@@ -36,9 +44,9 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def as_records(df: DataFrame, key: str, features: list[str], label: str) -> DataFrame:
-    """row_id, features_json, label: each row's features as one JSON object."""
-    return df.select(F.col(key).alias("row_id"), F.to_json(F.struct(*features), {"ignoreNullFields": "false"}).alias("features_json"), F.col(label).alias("label"))
+def as_records(df: DataFrame, key: str, features: list[str], label: str, *keep: str) -> DataFrame:
+    """row_id, features_json, label and the columns to keep: each row's features as one JSON object."""
+    return df.select(F.col(key).alias("row_id"), F.to_json(F.struct(*features), {"ignoreNullFields": "false"}).alias("features_json"), F.col(label).alias("label"), *keep)
 
 
 def reply_status(reply: Column, expected: Column, text_field: str = "text", least: int = LEAST_TEXT, most: int = MOST_TEXT) -> Column:

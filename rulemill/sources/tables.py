@@ -29,18 +29,35 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; a temporary one where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir or the context's checkpoint folder.
+
+    Only a local master, whose tasks share a disk, gets a temporary folder instead; a cluster without one is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='rulemill-tables-')}")
     return _own[0]
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds what this session writes on the way."""
+    return f"{shared_dir(spark)}/rulemill/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark can reach it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/rulemill/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder and read back; the copy stays until `remove(spark, run_dir(spark))`."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

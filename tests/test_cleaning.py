@@ -36,12 +36,25 @@ def test_quintiles(spark):
     assert encoding.quantile_edges(df.where("v = 7"), "v") == [math.inf]
 
 
-def test_ordinal_labels(spark):
-    label = lambda levels: lambda c: encoding.ordinal_label(c, levels)
-    assert column(spark, [0, 1, 2, 3], label(3), "int") == ["medium", "high", "level_2", None]
-    assert column(spark, [0, 1], label(2), "int") == ["yes", "level_1"]
-    assert column(spark, [1, 5, 6, None], label(5), "int") == ["very_low", "very_high", None, None]
-    assert column(spark, [4], label(7), "int") == ["level_4"]
+@pytest.mark.parametrize(
+    ("values", "labels"),
+    [
+        ([1, 2, 3, 4, 5], ["very_low", "low", "medium", "high", "very_high"]),
+        ([0, 1, 2, 3, 4], ["very_low", "low", "medium", "high", "very_high"]),
+        ([0, 1, 2, 3], ["low", "medium_low", "medium_high", "high"]),
+        ([0, 1, 2], ["medium", "high", "level_2"]),
+        ([1, 2, 3], ["medium", "high", "level_3"]),
+        ([1, 2], ["yes", "level_2"]),
+        ([0, 1], ["yes", "level_1"]),
+        ([1, 2, 7], ["medium", "high", "level_7"]),
+        ([3, 4, 5, 6, 7, 8], [f"level_{v}" for v in range(3, 9)]),
+        ([], []),
+    ],
+)
+def test_ordinal_labels(spark, values, labels):
+    df = spark.createDataFrame([(v,) for v in [*values, 99, None]], "code int")
+    got = {r[0]: r[1] for r in df.select("code", encoding.ordinal_label(F.col("code"), values)).collect()}
+    assert got == dict(zip(values, labels)) | {99: None, None: None}
 
 
 def test_metrics(spark):
@@ -100,5 +113,23 @@ def test_encoding_layout(spark):
     df = spark.createDataFrame([(1.0, 1, True, "a", "t", 0), (2.0, 2, False, "b", None, 1)], "x double, o int, f boolean, c string, note string, y int")
     done = encoding.fit_encoding(df, {"x": "continuous", "o": "ordinal", "f": "binary", "c": "categorical", "note": "text"}, "y", {"x": [0, 1, float("inf")]}).apply(df)
     assert done.columns == ["x", "x_bin", "o", "o_qual", "f", "c", "note", "y"]
-    with pytest.raises(ValueError):
-        encoding.fit_encoding(df, {"c": "categorical"}, "y", most_codes=1)
+
+
+def test_any_number_of_categories(spark):
+    """Ten thousand names get their codes, and unseen ones 0, without a list of them on the driver."""
+    df = spark.range(10_000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("name"), F.lit(1).alias("y"))
+    fitted = encoding.fit_encoding(df, {"name": "categorical"}, "y")
+    both = df.unionByName(spark.createDataFrame([("unseen", 1), (None, 1)], "name string, y int"))
+    assert sorted(r["name"] for r in fitted.apply(both).collect()) == sorted([*range(10_000), 0, 0])
+
+
+def test_kinds_by_name_and_bytes(spark):
+    assert encoding.kinds_by_name(["roles_count", "Company_size", "grit", "x"], {"x": "binary"}) == {"roles_count": "continuous", "Company_size": "binary", "grit": "ordinal", "x": "binary"}
+    df = spark.createDataFrame([(1, "a")], "b byte, t string")
+    assert encoding.column_kinds(df, {"b": 5, "t": 1}) == {"b": "ordinal", "t": "categorical"}
+    assert encoding.column_kinds(df, {"b": 5, "t": 1}, byte_flags=True)["b"] == "binary"
+
+
+def test_modes(spark):
+    df = spark.createDataFrame([("b", None), ("a", None), (None, None), ("b", None), ("a", None)], "x string, y string")
+    assert cleaning.modes(df, ["x", "y"]) == {"x": "a"} and cleaning.modes(df, []) == {}

@@ -8,9 +8,16 @@ from rulemill.operators.cumulative import quantiles, running_sums
 @pytest.mark.parametrize("ranges", [2, 7, 64])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums(spark, ranges, descending):
+    """Exact wherever the ranges are cut, in the middle of a group too."""
+    own = {"spark.sql.shuffle.partitions": str(ranges), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     rng = random.Random(ranges)
     rows = [(g, float(v) ** 3, rng.randint(0, 9)) for g in "ab" for v in rng.sample(range(-300, 300), 150)] + [("c", 1.0, 5)]
-    got = running_sums(spark.createDataFrame(rows, "g string, v double, n long"), "g", "v", ["n"], descending, ranges).collect()
+    got = running_sums(spark.createDataFrame(rows, "g string, v double, n long"), "g", "v", ["n"], descending).collect()
+    for k, v in old.items():
+        spark.conf.set(k, v)
     assert len(got) == len(rows)
     for r in got:
         assert r["n_run"] == sum(n for g, v, n in rows if g == r["g"] and (v >= r["v"] if descending else v <= r["v"]))

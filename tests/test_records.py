@@ -91,6 +91,97 @@ def test_failing_explainer_is_retried(spark, tmp_path):
     assert explaining.explain(rows, flaky, wait=0.01).first()["explanation"] == "x"
 
 
+@pytest.mark.parametrize(("reply", "why"), [("text", "not_list"), (["long enough"], "wrong_count"), (["long enough", None], "missing_text"), (["long enough", "x"], "too_short"), (["long enough", "y" * 50], "too_long"), (["long enough", "so it is"], None)])
+def test_replies_are_checked(spark, reply, why):
+    assert explaining.fault(reply, 2, 5, 20) == why
+    rows = spark.createDataFrame([(1, "{}", 0), (2, "{}", 0)], "row_id long, features_json string, label int").coalesce(1)
+    told = explaining.explain(rows, lambda batch: reply, tries=2, wait=0.0, least=5, most=20)
+    if why:
+        with pytest.raises(PySparkException, match=f"bad reply: {why}"):
+            told.collect()
+    else:
+        assert [r["explanation"] for r in told.collect()] == reply
+
+
+def test_a_rate_limit_waits_longer(monkeypatch):
+    class RateLimitError(Exception):
+        pass
+
+    waits, errors = [], [RateLimitError("slow down"), OSError("busy"), OSError("status 429")]
+
+    def explainer(batch):
+        if errors:
+            raise errors.pop(0)
+        return ["fine"]
+
+    monkeypatch.setattr(explaining.time, "sleep", waits.append)
+    assert explaining._ask(explainer, [(1, "{}", 0)], 4, 2.0, 30.0, 1, None) == ["fine"] and waits == [30.0, 2.0, 30.0]
+
+
+def test_explanations_resume_by_batch(spark, tmp_path):
+    """A run that stops halfway goes on where it stopped; a batch that was cut short is done again, the last one counts."""
+    path, calls = str(tmp_path / "log"), str(tmp_path / "calls")
+    rows = spark.createDataFrame([(f"k{i}", "{}", 0, i, i // 4) for i in range(20)], "row_id string, features_json string, label int, row_no long, batch long")
+
+    def explainer(stop):
+        def run(batch):
+            with open(calls, "a") as f:
+                f.write(batch[0][0] + "\n")
+            if stop in [b[0] for b in batch]:
+                raise OSError("gone")
+            return [f"{i} told" for i, _, _ in batch]
+
+        return run
+
+    with pytest.raises(PySparkException):
+        explaining.explain_resuming(rows, path, explainer("k13"), at_once=1, tries=1)
+    assert spark.read.json(path).count() == 12
+    # the fourth batch was cut short: one row of it is there
+    spark.createDataFrame([("k12", 0, "half", 12, 3, 1)], "row_id string, label int, explanation string, row_no long, batch long, written long").write.mode("append").json(path)
+    open(calls, "w").close()
+    done = explaining.explain_resuming(rows, path, explainer(None), at_once=2)
+    assert {r["row_id"]: r["explanation"] for r in done.collect()} == {f"k{i}": f"k{i} told" for i in range(20)}
+    assert sorted(open(calls).read().split()) == ["k12", "k16"]
+
+
+def test_bad_lines_up_to_a_number(spark, tmp_path):
+    path = str(tmp_path / "lines.json")
+    good = '{"index": 1, "success_label": 1, "causal_cot": "a text that is long enough"}'
+    open(path, "w").write("\n".join([good, "broken", "", '{"index": 2}', good]))
+    assert records.read_lines(spark, path, tolerate=2).count() == 2
+    with pytest.raises(ValueError):
+        records.read_lines(spark, path, tolerate=1)
+
+
+def test_looking_at_a_workspace(spark, tmp_path, capsys):
+    from rulemill.plans import pipeline as pipeline_
+
+    folder = str(tmp_path / "work")
+    work = Workspace(spark, folder)
+    work.save("a", {"t": spark.createDataFrame([(1, None), (2, "x")], "k int, v string"), "u": spark.range(3)})
+    assert {(r["table"], r["rows"], r["column"], r["nulls"]) for r in pipeline_.stage_report(work, "a").collect()} == {("t", 2, "k", 0), ("t", 2, "v", 1), ("u", 3, "id", 0)}
+    pipeline_.main(["status", folder])
+    assert "a: t, u" in capsys.readouterr().out
+    pipeline_.main(["report", folder, "a"])
+    pipeline_.main(["reset", folder, "a"])
+    assert work.done() == {} and not (tmp_path / "work" / "a").exists()
+    pipeline_.main(["clean", folder])
+    assert not (tmp_path / "work").exists()
+
+
+def test_stages_are_logged(spark, tmp_path):
+    from rulemill.plans import pipeline as pipeline_
+
+    path = str(tmp_path / "log.txt")
+    pipeline_.log_to(path)
+    RulePipeline(Workspace(spark, str(tmp_path / "work")), {"a": lambda w: {"t": spark.range(1)}, "b": lambda w: 1 / 0}).run()
+    for handler in list(pipeline_.log.handlers):
+        pipeline_.log.removeHandler(handler)
+        handler.close()
+    told = open(path).read()
+    assert "a done after" in told and "b failed: division by zero" in told
+
+
 def test_pipeline(spark, tmp_path):
     ran = []
 

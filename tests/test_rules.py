@@ -129,6 +129,80 @@ def test_evaluation_and_report(data, spark):
     assert len(lines) == 7 + len(RULES) and lines[7].startswith("| 1 | x | continuous | 60.000 | 0.310 |")
 
 
-def test_too_many_rules(data):
+def test_over_sixty_rules(data):
+    """Sets of rules take as many longs as they need; scores look at the prefixes only."""
+    rows, df = data
+    many = [Rule(f"x{i}", "x", "continuous", 100 - i, float(100 - i), 0.3 + i / 1000) for i in range(100)]
+    met = lambda i, row: row[1] >= 100 - i
+    sets = combining.fired_sets(df, many, "y").select([combining.holds(i).alias(f"h{i}") for i in (0, 61, 62, 99)] + ["n"]).collect()
+    for i in (0, 61, 62, 99):
+        assert sum(r["n"] for r in sets if r[f"h{i}"]) == sum(met(i, row) for row in rows)
+    assert combining.weighted_scoring(df, many, "y", min_precision=0.0).select(F.max("k")).first()[0] == 20
+    cover = combining.greedy_cover(df, many, "y", target_recall=2.0)
+    assert cover[-1][2] == sum(row[5] for row in rows if any(met(i, row) for i in range(100)))
+    assert combining.combine(df, many, "y", "simple_or").count() == 100
+    assert combining.combine(df, many, "y", "hierarchical").count() >= 1
+
+
+def counted(rows, fired):
+    tp, fp = (sum(bool(f) and row[5] == y for f, row in zip(fired, rows)) for y in (1, 0))
+    return tp, fp, sum(row[5] for row in rows) - tp
+
+
+def plain_f1(tp, fp, fn):
+    return 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+
+@pytest.mark.parametrize("voting", ["majority", "unanimous", "weighted"])
+def test_ensemble_equals_brute_force(data, voting):
+    """Votes of three sub-models that look at fifteen rules, with a floor of the balanced one's precision."""
+    rows, df = data
+    rng = random.Random(9)
+    many = [Rule(f"r{i}", "x", "continuous", 50 - i, round(rng.random() * 100, 2), rng.random()) for i in range(22)]
+    met = [[row[1] >= r.threshold for row in rows] for r in many]
+    either = lambda chosen: [any(met[i][j] for i in chosen) for j in range(len(rows))]
+    precise = sorted(range(22), key=lambda i: -many[i].precision)[:5]
+    chosen, covered = [], set()
+    for i in range(15):
+        new = {j for j, row in enumerate(rows) if met[i][j] and row[5] == 1} - covered
+        if new:
+            chosen.append(i)
+            covered |= new
+            if len(covered) / sum(row[5] for row in rows) >= 0.5:
+                break
+    best, balanced = 0.0, []
+    for k in range(1, 16):
+        tp, fp, fn = counted(rows, either(range(k)))
+        if tp + fp and tp / (tp + fp) >= 0.2 and plain_f1(tp, fp, fn) > best:
+            best, balanced = plain_f1(tp, fp, fn), list(range(k))
+    votes = [sum(v) for v in zip(either(precise), either(chosen), either(balanced))]
+    decided = [v == 3 if voting == "unanimous" else v >= 2 for v in votes]
+    left, total, used = list(decided), sum(decided), []
+    for i in range(22):
+        if any(a and b for a, b in zip(left, met[i])):
+            used.append(f"r{i}")
+            left = [a and not b for a, b in zip(left, met[i])]
+            if sum(left) < 0.1 * total:
+                break
+    got = combining.combine(df, many, "y", "ensemble", voting=voting).orderBy("rule_index").collect()
+    assert [r["rule_id"] for r in got] == used
+    tp, fp, fn = counted(rows, decided)
+    assert {(r["combined_support"], r["combined_false_positives"]) for r in got} == {(tp, float(fp))}
+    assert abs(got[0]["combined_f1"] - plain_f1(tp, fp, fn)) < 1e-12 and got[0]["scoring_threshold"] is None
+
+
+def test_strategies(data):
+    rows, df = data
+    simple = combining.combine(df, RULES, "y", "simple_or").orderBy("rule_index").collect()
+    for i, r in enumerate(simple):
+        assert (r["combined_support"], int(r["combined_false_positives"])) == counted(rows, [any(m(row) for m in MET[: i + 1]) for row in rows])[:2]
+    assert combining.combine(df, RULES, "y", "simple_or", most=2).count() == 2
+    assert combining.combine(df, RULES, "y", "simple_or", stop_at=0.0).count() == 1
+    # rules that are not precise enough go, unless all would; those without a threshold always
+    loose = [Rule("none", "x", "continuous"), *RULES]
+    assert [r["rule_id"] for r in combining.combine(df, loose, "y", "simple_or", least_precision=0.3).orderBy("rule_index").collect()] == ["x", "c"]
+    assert combining.combine(df, loose, "y", "simple_or", least_precision=0.9).count() == 4
+    scored = combining.combine(df, RULES, "y")
+    assert scored.columns == combining.combine(df, RULES, "y", "hierarchical").columns and scored.first()["scoring_threshold"] > 0
     with pytest.raises(ValueError):
-        combining.fired_sets(data[1], RULES * 20, "y")
+        combining.combine(df, RULES, "y", "guessing")
