@@ -233,7 +233,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Fits on windows of at most SAMPLE_DOCS labelled documents of each language, SAMPLE_ALL in all or one a language.
 
     Only documents that aren't held out count. Windows are cut before they move, and what reaches the driver is bounded
-    by the parameters above. noise adds a class for what is no language.
+    by the parameters above. noise adds a class for what is no language; noise that the sample's labels call a language
+    is learned as that, so far as the sample holds it.
     """
     prepare(docs.sparkSession)
     known = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))

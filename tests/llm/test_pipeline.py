@@ -57,7 +57,7 @@ def plain_pipeline(rows):
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
-    rows = [*odd_documents(), (408, NOISE, None, "s", 1), (409, NOISE, "en", "s", 1), (None, "also no key", "en", "s", 1)]
+    rows = [*odd_documents(), (408, NOISE, None, "s", 1), (409, NOISE, None, "t", 1), (None, "also no key", "en", "s", 1)]
     docs = frame(spark, rows)
     for name, stage in C.STAGES[:-1]:
         docs = C.materialize(stage(spark, docs, None), name)
