@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
+from .long_runs import run_links
 from .shingles import fingerprint_of, shingle_hashes
 
 BANDS, ROWS = 16, 4
@@ -63,12 +64,14 @@ def spanning(sets: list[np.ndarray], side: np.ndarray | None, least: float) -> t
     starts = np.cumsum(sizes) - sizes
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(values), bool)
-    left = np.arange(len(sets))
+    left = np.arange(len(sets)) if side is None else np.argsort(side, kind="stable")
     while len(left):
         frontier = [int(left[0])]
         left = left[1:]
         while frontier and len(left):
             at = frontier.pop()
+            if side is not None and (side[left] == side[at]).all():
+                continue
             own = number[starts[at] : starts[at] + sizes[at]]
             mark[own] = True
             both = np.add.reduceat(mark[number], starts, dtype=np.int64)[left]
@@ -130,10 +133,11 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequ
     mixed = F.xxhash64("node")
     runs = keyed.groupBy("k").agg(F.count("*").alias("count"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor(mixed).alias("x")).where("count > 1")
     live = runs.groupBy("count", "u", "v", "x").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("count") / chunk).cast("long").alias("n"))
-    dealt = keyed.join(live, "k").withColumn("own", F.pmod(mixed, "n"))
-    # chunk i meets chunk j in the task (smaller, larger); alone in (i, i)
-    other = dealt.select("k", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("with"))
-    placed = other.select("k", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), (F.col("own") > F.col("with")).cast("long").alias("side"), "node")
-    key = ["k", "c", "d"]
-    full = placed.join(texts.select("node", "text"), "node").select(*key, "side", "node", "text")
-    return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(words, least), "a long, b long")
+    dealt = materialize(keyed.join(live, "k"), "text-runs")
+
+    def link(placed: DataFrame) -> DataFrame:
+        key = ["k", "c", "d"]
+        full = placed.join(texts.select("node", "text"), "node").select(*key, "side", "node", "text")
+        return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(words, least), "a long, b long")
+
+    return run_links(dealt.where("n = 1"), dealt.where("n > 1"), ["k"], "node", link, chunk)

@@ -3,7 +3,7 @@
 Fingerprints are cut into six blocks. Two that differ in at most three bits agree on three blocks or more, so each
 fingerprint is keyed by every choice of three blocks (20 keys of 32 or 33 bits). Keys are dealt out and sorted, and
 each run of equal keys is verified by Hamming distance in the task; what returns are links that span the run, never
-all its pairs. Runs longer than a bound are dealt as pairs of chunks to many tasks.
+all its pairs. Runs longer than a bound are split (`long_runs`).
 
 Defined results: a null, empty or blank text has fingerprint zero, which links like any other; equal fingerprints are
 one class; null keys keep their row and never name a component; repeated rows each come back; an empty table gives an
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import shingle_join
 from .common import materialize, prepare
 from .components import connected_components
+from .long_runs import run_links
 from .shingles import fingerprint_of, shingle_hashes
 
 #: Rows of one key in one task.
@@ -61,12 +62,14 @@ def _spanning(fps: np.ndarray, side: np.ndarray | None, bits: int) -> tuple[list
     """Links that span what the pairs within reach connect. side: only pairs across the two sides count, if given."""
     a: list[int] = []
     b: list[int] = []
-    left = np.arange(len(fps))
+    left = np.arange(len(fps)) if side is None else np.argsort(side, kind="stable")
     while len(left):
         frontier = [int(left[0])]
         left = left[1:]
         while frontier and len(left):
             at = frontier.pop()
+            if side is not None and (side[left] == side[at]).all():
+                continue
             near = np.bitwise_count(fps[left] ^ fps[at]) <= bits
             if side is not None:
                 near &= side[left] != side[at]
@@ -120,14 +123,15 @@ def near_links(distinct: DataFrame, bits: int = 3, blocks: int = 6, chunk: int =
     """Links (a, b) between distinct fingerprints (column fp) that connect all that lie within bits of one another."""
     masks = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(block_masks(bits, blocks))])
     keyed = distinct.select("fp", F.explode(masks).alias("m")).select("fp", "m.k", "m.v")
-    # keys with very many rows: their rows are dealt to chunks, and each pair of chunks meets in a task of its own
-    large = keyed.groupBy("k", "v").count().where(F.col("count") > chunk).select("k", "v", F.ceil(F.col("count") / chunk).cast("long").alias("n"))
-    dealt = keyed.join(large, ["k", "v"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "n"))
-    # chunk i meets chunk j in the task (smaller, larger); alone in (i, i)
-    other = dealt.select("k", "v", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("with"))
-    placed = other.select("k", "v", F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), (F.col("own") > F.col("with")).cast("long").alias("side"), "fp")
-    key = ["k", "v", "c", "d"]
-    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(bits), "a long, b long")
+    key = ["k", "v"]
+    # keys with very many rows, few if any
+    large = materialize(keyed.groupBy(*key).count().where(F.col("count") > chunk).select(*key, F.ceil(F.col("count") / chunk).cast("long").alias("n")), "long-keys")
+
+    def link(placed: DataFrame) -> DataFrame:
+        by = [*key, "c", "d"]
+        return placed.repartition(*by).sortWithinPartitions(*by).mapInArrow(_linker(bits), "a long, b long")
+
+    return run_links(keyed.join(large, key, "left_anti"), keyed.join(large, key), key, "fp", link, chunk)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, blocks: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
