@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,25 +20,34 @@ from .components import connected_components
 PIVOTS = 16
 
 
-def _chunks(count: str):
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+def _own(node: str, count: str) -> Column:
+    return F.pmod(F.xxhash64(node), count)
 
 
-def _own(node: str, count: str):
-    return F.pmod(F.xxhash64(node), count)
+def _upto(count: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(count) - 1)
+
 
+def _place(c: Column, d: Column, side: Column | int) -> Column:
+    side = F.lit(side) if isinstance(side, int) else side
+    return F.struct(c.alias("c"), d.alias("d"), side.cast("long").alias("side"))
 
-def _stars(long: DataFrame, key: Sequence[str], node: str, pivots: int) -> DataFrame:
-    """Each row of a run with n chunks in its own chunk (side 1), and the run's pivots in all of them (side 0)."""
+
+def _stars(short: DataFrame, long: DataFrame | None, key: Sequence[str], node: str, pivots: int) -> DataFrame:
+    """Places of short runs, of each row of a run with n chunks (its own, side 1) and of its pivots (all, side 0)."""
+    one = F.lit(0).cast("long")
+    alone = short.select(*key, node, F.array(_place(one, one, 0)).alias("places"))
+    if long is None:
+        return alone
     drawn = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(1), node), node)
-    some = long.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= pivots)
-    at = some.select(*key, _chunks("n").alias("c"), node).select(*key, "c", F.col("c").alias("d"), F.lit(0).cast("long").alias("side"), node)
-    rows = long.select(*key, _own(node, "n").alias("c"), node).select(*key, "c", F.col("c").alias("d"), F.lit(1).cast("long").alias("side"), node)
-    return rows.unionByName(at)
+    some = long.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= pivots).drop("_r")
+    every = F.transform(_upto("n"), lambda i: _place(i, i, 0))
+    rows = long.select(*key, node, F.array(_place(_own(node, "n"), _own(node, "n"), 1)).alias("places"))
+    return alone.unionByName(rows).unionByName(some.select(*key, node, every.alias("places")))
 
 
 def _rest(long: DataFrame, found: DataFrame, key: Sequence[str], node: str, chunk: int) -> DataFrame:
-    """Rows outside the largest component of their run, against one another and against that component, by chunks.
+    """Places of rows outside the largest component of their run, and of that component.
 
     Chunk i of the rest meets its chunk j in the task (smaller, larger), and chunk j of the component in (i, -1 - j).
     """
@@ -47,25 +56,29 @@ def _rest(long: DataFrame, found: DataFrame, key: Sequence[str], node: str, chun
     sizes = named.groupBy(*key, "component").agg(F.count("*").alias("size"))
     most = sizes.groupBy(*key).agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
     left = most.select(*key, F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / chunk).cast("long").alias("g")).where("g > 0")
-    rows = named.join(left, list(key))
-    rest, main = rows.where("component <> main").withColumn("own", _own(node, "g")), rows.where("component = main")
-    each = rest.select(*key, node, "own", _chunks("g").alias("with"))
-    among = each.select(*key, F.least("own", "with").alias("c"), F.greatest("own", "with").alias("d"), (F.col("own") > F.col("with")).cast("long").alias("side"), node)
-    across = rest.select(*key, F.col("own").alias("c"), _chunks("n").alias("with"), node).select(*key, "c", (-1 - F.col("with")).alias("d"), F.lit(0).cast("long").alias("side"), node)
-    met = main.select(*key, _chunks("g").alias("c"), (-1 - _own(node, "n")).alias("d"), F.lit(1).cast("long").alias("side"), node)
-    return among.unionByName(across).unionByName(met)
+    own = F.col("own")
+    among = F.transform(_upto("g"), lambda w: _place(F.least(own, w), F.greatest(own, w), own > w))
+    across = F.transform(_upto("n"), lambda w: _place(own, -1 - w, 0))
+    met = F.transform(_upto("g"), lambda i: _place(i, -1 - own, 1))
+    rows = named.join(left, list(key)).withColumn("own", F.when(F.col("component") == F.col("main"), _own(node, "n")).otherwise(_own(node, "g")))
+    return rows.select(*key, node, F.when(F.col("component") == F.col("main"), met).otherwise(F.concat(among, across)).alias("places"))
+
+
+def _at(rows: DataFrame) -> DataFrame:
+    """A row for each of its places (c, d, side)."""
+    return rows.withColumn("place", F.explode("places")).select(*[c for c in rows.columns if c != "places"], "place.*")
 
 
-def run_links(short: DataFrame, long: DataFrame, key: Sequence[str], node: str, link: Callable[[DataFrame], DataFrame], chunk: int, pivots: int = PIVOTS) -> DataFrame:
+def run_links(short: DataFrame, long: DataFrame, key: Sequence[str], node: str, link: Callable[[DataFrame], DataFrame], chunk: int, attach: Callable[[DataFrame], DataFrame] = lambda rows: rows, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) that connect all rows of a run that are linked at all, by way of rows of any run.
 
-    short: (key, node) of runs of one chunk; long: (key, node, n) of runs of n chunks. link takes rows (key, c, d, side,
-    node), compares those of equal (key, c, d), across the sides where there are two, and returns links (a, b).
+    short: (key, node) of runs of one chunk; long: (key, node, n) of runs of n chunks. attach joins what link needs to
+    rows (key, node, places), before they are copied to their places, so that no node is a hot key. link takes rows
+    (key, node, c, d, side), compares those of equal (key, c, d), across the sides where there are two, and returns
+    links (a, b).
     """
-    zero = F.lit(0).cast("long")
-    alone = short.select(*key, zero.alias("c"), zero.alias("d"), zero.alias("side"), node)
     if long.isEmpty():
-        return link(alone)
+        return link(_at(attach(_stars(short, None, key, node, pivots))))
     long = materialize(long.select(*key, node, "n"), "long-runs")
-    first = materialize(link(alone.unionByName(_stars(long, key, node, pivots))), "first-links")
-    return first.unionByName(link(_rest(long, connected_components(first), key, node, chunk)))
+    first = materialize(link(_at(attach(_stars(short, long, key, node, pivots)))), "first-links")
+    return first.unionByName(link(_at(attach(_rest(long, connected_components(first), key, node, chunk)))))

@@ -135,9 +135,11 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequ
     live = runs.groupBy("count", "u", "v", "x").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("count") / chunk).cast("long").alias("n"))
     dealt = materialize(keyed.join(live, "k"), "text-runs")
 
+    def attach(rows: DataFrame) -> DataFrame:
+        return rows.join(texts.select("node", "text"), "node")
+
     def link(placed: DataFrame) -> DataFrame:
         key = ["k", "c", "d"]
-        full = placed.join(texts.select("node", "text"), "node").select(*key, "side", "node", "text")
-        return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(words, least), "a long, b long")
+        return placed.select(*key, "side", "node", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(words, least), "a long, b long")
 
-    return run_links(dealt.where("n = 1"), dealt.where("n > 1"), ["k"], "node", link, chunk)
+    return run_links(dealt.where("n = 1"), dealt.where("n > 1"), ["k"], "node", link, chunk, attach)
