@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.tables import importable
 from ..streaming import resume
 
 #: A batch of (row_id, features_json, label) to texts in the same order.
@@ -60,6 +61,8 @@ def explain(records: DataFrame, explainer: Explainer = template_explainer, size:
     Batches are those that the column `batch` names, each one call, or else up to `size` rows of a task.
     """
 
+    importable(records.sparkSession)
+
     def told(frame: pd.DataFrame) -> pd.DataFrame:
         rows = list(frame[["row_id", "features_json", "label"]].itertuples(index=False, name=None))
         texts = [t for at in range(0, len(rows), size) for t in _ask(explainer, rows[at : at + size], tries, wait, longer, least, most)]

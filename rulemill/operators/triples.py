@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..sources.tables import materialize
+from ..sources.tables import importable, materialize
 
 
 def chain_table(df: DataFrame, key: str, text: str, *carry: str) -> DataFrame:
@@ -75,6 +75,7 @@ def keyword_scores(fragments: DataFrame, keywords: Mapping[str, Sequence[str]],
     The share of keywords found, times 1.5 (1 at most) if more than one is; blended 9 : 1 with the similarity to the
     feature's name if asked for.
     """
+    importable(fragments.sparkSession)
     kind = "array<struct<pos:int,feature:string,hits:int,size:int>>"
     norm = F.col("norm")
     each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), sum((norm.contains(k).cast("int") for k in ks), F.lit(0)).alias("hits"), F.lit(len(ks)).alias("size")) for i, (f, ks) in enumerate(keywords.items())]).cast(kind)
@@ -93,6 +94,7 @@ def map_keywords(fragments: DataFrame, keywords: Mapping[str, Sequence[str]], le
 
 def map_fuzzy(fragments: DataFrame, selected: DataFrame, least: float = V.FUZZY) -> DataFrame:
     """fragments with the selected name (pos, feature) that is nearest: the share contained, else sequence similarity."""
+    importable(fragments.sparkSession)
     norm, name = F.col("norm"), F.col("feature")
     a, b = F.length(norm), F.length(name)
     # every distinct fragment meets every selected name: a short list, given by hand
