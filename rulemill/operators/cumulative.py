@@ -17,15 +17,26 @@ from ..sources.tables import materialize
 _ROW_BITS = 33
 
 
+def ranged(counts: DataFrame, group: str, value: str, descending: bool = False) -> DataFrame:
+    """counts, one row a group and value, computed once and written in order, each row with the number of its range."""
+    toward = F.desc if descending else F.asc
+    ordered = materialize(counts.orderBy(group, toward(value)).withColumn("_at", F.monotonically_increasing_id()), "ordered-counts")
+    return ordered.withColumn("_part", F.shiftright("_at", _ROW_BITS)).drop("_at")
+
+
 def running_sums(counts: DataFrame, group: str, value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
     """counts with <sum>_run for each column of sums: its sum over the group's values up to each one, itself included.
 
     counts has one row a group and value, and is computed once. Groups are few (columns, features); their values may be
     very many.
     """
+    return sums_over(ranged(counts, group, value, descending), group, value, sums, descending)
+
+
+def sums_over(placed: DataFrame, group: str, value: str, sums: Sequence[str], descending: bool = False) -> DataFrame:
+    """The running sums of `running_sums`, of counts that `ranged` has written."""
     toward = F.desc if descending else F.asc
-    ordered = materialize(counts.orderBy(group, toward(value)).withColumn("_at", F.monotonically_increasing_id()), "ordered-counts")
-    placed = ordered.withColumn("_part", F.shiftright("_at", _ROW_BITS)).drop("_at")
+    columns = [c for c in placed.columns if c != "_part"]
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = placed.groupBy(group, "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
     base = whole.select(group, "_part", *[F.coalesce(F.sum(f"_{s}").over(before), F.lit(0)).alias(f"_{s}") for s in sums])
@@ -33,7 +44,7 @@ def running_sums(counts: DataFrame, group: str, value: str, sums: Sequence[str],
     own = placed.select("*", *[F.sum(s).over(inside).alias(f"_in_{s}") for s in sums])
     # base has a row a partition, and one more a group
     joined = own.join(F.broadcast(base), [group, "_part"])
-    return joined.select(*counts.columns, *[(F.col(f"_in_{s}") + F.col(f"_{s}")).alias(f"{s}_run") for s in sums])
+    return joined.select(*columns, *[(F.col(f"_in_{s}") + F.col(f"_{s}")).alias(f"{s}_run") for s in sums])
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import precision, ratio
-from ..sources.tables import materialize
 from ..spec import Rule
-from .cumulative import quantiles, running_sums
+from .cumulative import quantiles, ranged, sums_over
 
 
 def predicate(rule: Rule) -> Column:
@@ -53,12 +52,12 @@ def value_counts(df: DataFrame, features: Sequence[str], label: str) -> DataFram
 
 def threshold_scan(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """feature, threshold, tp, fp, precision for `feature >= threshold`, for every distinct value."""
-    return suffix_sums(value_counts(df, features, label)).drop("from_top")
+    return suffix_sums(ranged(value_counts(df, features, label), "feature", "value", descending=True)).drop("from_top")
 
 
-def suffix_sums(counts: DataFrame) -> DataFrame:
+def suffix_sums(placed: DataFrame) -> DataFrame:
     """The counts of each threshold and its place from the top: running sums from the largest value down."""
-    run = running_sums(counts.withColumn("one", F.lit(1).cast("long")), "feature", "value", ["pos", "neg", "one"], descending=True)
+    run = sums_over(placed.withColumn("one", F.lit(1).cast("long")), "feature", "value", ["pos", "neg", "one"], descending=True)
     tp, fp = F.col("pos_run"), F.col("neg_run")
     return run.select("feature", F.col("value").alias("threshold"), tp.alias("tp"), fp.alias("fp"), precision(tp, fp).alias("precision"), F.col("one_run").alias("from_top"))
 
@@ -70,9 +69,10 @@ def candidates(df: DataFrame, kinds: dict[str, str], label: str, most: int = 100
     whole numbers, the last one exact); ordinal: those of levels that occur, or all values if none does.
     """
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("feature"))
-    scan = materialize(suffix_sums(value_counts(df, list(kinds), label)).withColumn("_level", F.col("threshold").isin([float(v) for v in levels])), "scan")
-    facts = scan.groupBy("feature").agg(F.count("*").alias("_n"), F.max("_level").alias("_any"))  # a row a feature
-    scan = scan.join(F.broadcast(facts), "feature").withColumn("_i", F.col("_n") - F.col("from_top"))
+    is_level = lambda c: F.col(c).isin([float(v) for v in levels])
+    counts = ranged(value_counts(df, list(kinds), label), "feature", "value", descending=True)
+    facts = counts.groupBy("feature").agg(F.count("*").alias("_n"), F.max(is_level("value")).alias("_any"))  # a row a feature
+    scan = suffix_sums(counts).withColumn("_level", is_level("threshold")).join(F.broadcast(facts), "feature").withColumn("_i", F.col("_n") - F.col("from_top"))
     last = F.col("_n") - 1
     # a place is that of k if k lands on it; only three k come near
     step = last / F.lit(float(most - 1))
