@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_gru, hilbert_search, line_dedup, merge_rounds, metric_join, packing, secrets_ledger, sharding, simhash, token_files
+from . import byte_gru, hilbert_search, license_scan, line_dedup, merge_rounds, metric_join, packing, periodic_runs, secrets_ledger, sharding, simhash, token_files, vector_codes
 from .common import shared_path, table
 
 #: File names of the public vocabularies; the id that ends a document.
@@ -77,4 +77,50 @@ def op10_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_rounds.encode_documents(table(spark, sf_dir, "documents"), vocabulary(PIECES), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_metric_join, op2_hilbert_search, op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op8_byte_gru, op9_token_files, op10_merge_rounds)}
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    told = vector_codes.label_errors(codes, "vec_id", "label")
+    return told.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, spans = F.col("places"), F.col("spans")
+    return license_scan.find_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.get(places, 0)["start"].alias("first_word"),
+        F.get(places, F.size(places) - 1)["start"].alias("last_word"),
+        license_scan.labels(places).alias("base_labels"),
+        license_scan.labels(spans).alias("labels"),
+        license_scan.score(spans).alias("score"),
+    )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in documents whose key's crc32 is divisible by 10 the words from some word on repeat with a period.
+
+    A null key plants nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    said = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1), "")).alias("w"))
+    n = F.size("w").cast("long")
+    placed = said.select("doc_id", "text", "g", "w", F.when(n > 0, F.col("g") % n).alias("a"))
+    a, p = F.col("a"), (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).alias("p")
+    shown = placed.select("doc_id", "text", "w", "a", p)
+    turned = F.transform("w", lambda w, i: F.when(i < a, w).otherwise(F.get("w", (a + (i - a) % F.col("p")).cast("int"))))
+    return shown.select("doc_id", F.when(a.isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_periods(table(spark, sf_dir, "documents")), least=6, times=4)
+    runs = F.col("runs")
+    order = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    said = F.array_join(F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digests = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), order.alias("best"), F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return digests.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_metric_join, op2_hilbert_search, op3_rendezvous_sharding, op4_simhash_blocks, op5_secret_ledger, op6_differencing_packing, op7_line_dedup, op8_byte_gru, op9_token_files, op10_merge_rounds, op11_delta_lloyd, op12_diagonal_licenses, op13_periodic_runs)}
