@@ -4,69 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+from .encoding import category_codes
 from .splitting import class_weight
 
 
-def fit_trees(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rounds: int, depth: int, rate: float, share: float, seed: int) -> PipelineModel:
-    """Indexed categories, assembled inputs and boosted trees on the columns _y (label) and _w (weight)."""
-    index = [StringIndexer(inputCol=c, outputCol=f"{c}_code", stringOrderType="alphabetAsc", handleInvalid="keep") for c in categorical]
-    inputs = [*numeric, *[f"{c}_code" for c in categorical]]
-    boost = GBTClassifier(labelCol="_y", weightCol="_w", featuresCol="_x", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed)
-    return Pipeline(stages=[*index, VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep"), boost]).fit(rows)
-
-
-def contributions(model: GBTClassificationModel, rows: DataFrame, inputs: Sequence[str]) -> dict[str, float]:
-    """Mean absolute change of the trees' margin when a feature takes its mean instead of its value: one pass for all.
-
-    rows has the inputs as numbers. The means come from one aggregation.
-    """
-    means = rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in inputs]).first().asDict()
-    scored, base = rows, None
-    for i, c in enumerate([None, *inputs]):
-        held = [F.lit(means[x]).alias(x) if x == c else F.col(x) for x in inputs]
-        scored = scored.withColumn(f"_in{i}", F.struct(*held))
-        plain = scored.select("*", *[F.col(f"_in{i}.{x}").alias(f"_v{i}_{n}") for n, x in enumerate(inputs)])
-        packed = VectorAssembler(inputCols=[f"_v{i}_{n}" for n in range(len(inputs))], outputCol=f"_x{i}", handleInvalid="keep").transform(plain)
-        out = model.copy({model.featuresCol: f"_x{i}", model.rawPredictionCol: f"_r{i}", model.probabilityCol: "", model.predictionCol: ""}).transform(packed)
-        margin = vector_to_array(f"_r{i}")[1]
-        scored = out.withColumn(f"_m{i}", margin).drop(f"_in{i}", f"_x{i}", f"_r{i}", *[f"_v{i}_{n}" for n in range(len(inputs))])
-        base = base or f"_m{i}"
-    found = scored.agg(*[F.coalesce(F.avg(F.abs(F.col(base) - F.col(f"_m{i + 1}"))), F.lit(0.0)).alias(c) for i, c in enumerate(inputs)])
-    return found.first().asDict()
+def coded(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """df with categories as the numbers of their places in order, null for nulls; Spark picks the joins by the codes' size."""
+    for c in categorical:
+        codes = category_codes(df.select(F.col(c).cast("string").alias(c)), c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+        df = df.join(codes, F.col(c).cast("string") == F.col("_category"), "left").withColumn(c, F.col("_code")).drop("_category", "_code")
+    return df
 
 
 def ranked(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, top: int = 25, rounds: int = 100, depth: int = 4, rate: float = 0.1, share: float = 0.8, target_rate: float | None = None, seed: int = 42, measure: str = "contribution") -> tuple[DataFrame, DataFrame]:
     """(feature, rank, importance) of the top features, and (rows, right, accuracy) of the trees on their own rows.
 
-    Positives are weighted if asked for. measure: contribution (mean absolute change of the margin when the feature
-    takes its mean) or gain (of all splits).
+    Positives are weighted if asked for. measure: contribution (mean absolute Shapley value of the margin) or gain (of
+    all splits). Each tree draws a share of the rows and of the columns.
     """
-    weight = class_weight(df, label, target_rate).first()["weight"] if target_rate else 1.0
-    rows = df.select(F.col(label).cast("double").alias("_y"), F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0).alias("_w"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
-    model = fit_trees(rows, numeric, categorical, rounds, depth, rate, share, seed)
     names = [*numeric, *categorical]
-    if measure == "gain":
-        found = dict(zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
-    else:
-        coded = rows
-        for stage in model.stages[:-2]:
-            coded = stage.transform(coded)
-        inputs = [*numeric, *[f"{c}_code" for c in categorical]]
-        by_input = contributions(model.stages[-1], coded.select(*inputs), inputs)
-        found = {n: by_input[i] for n, i in zip(names, inputs, strict=True)}
+    weight = class_weight(df, label, target_rate).first()["weight"] if target_rate else None
+    rows = coded(df.select(*names, label), categorical).withColumn("_w", F.when(F.col(label) == 1, F.lit(float(weight if weight is not None else 1.0))).otherwise(1.0))
+    model = boosting.fit(rows, names, label, "_w", rounds, depth, rate, share, share, seed=seed)
+    found = boosting.importance_by_gain(model) if measure == "gain" else boosting.mean_contributions(rows, model)
     first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
-    right = F.count_if(F.col("prediction") == F.col("_y"))
-    accuracy = model.transform(rows).agg(F.count("*").alias("rows"), right.alias("right"), F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"))
-    return df.sparkSession.createDataFrame([(f, i + 1, float(g)) for i, (f, g) in enumerate(first)], "feature string, rank int, importance double"), accuracy
+    return df.sparkSession.createDataFrame([(f, i + 1, float(g)) for i, (f, g) in enumerate(first)], "feature string, rank int, importance double"), boosting.accuracy(rows, model, label)
 
 
 def importance(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, **how: object) -> DataFrame:
     """feature, rank, importance of the top features; see `ranked`."""
     return ranked(df, numeric, categorical, label, **how)[0]
+
+
+def root_split(df: DataFrame, inputs: Sequence[str], label: str, bins: int = 16) -> DataFrame:
+    """feature, cut, missing_left, gain, left_hessian of the first split of a first tree over all rows and inputs; no row without one."""
+    model = boosting.fit(df, inputs, label, rounds=1, depth=1, rows_share=2.0, columns_share=1.0, bins=bins)
+    tree = model.trees[0]
+    rows = [(inputs[tree.feature[0]], float(model.cuts[tree.feature[0]][tree.upto[0] - 1]), bool(tree.missing_left[0]), float(tree.gain[0]), float(tree.cover[tree.left[0]]))] if tree.feature[0] >= 0 else []
+    return df.sparkSession.createDataFrame(rows, "feature string, cut double, missing_left boolean, gain double, left_hessian double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.numeric import INFINITE, NUMBER
-from ..operators import cleaning, encoding, selection, splitting
+from ..operators import boosting, cleaning, encoding, selection, splitting
 from ..sources.tables import as_text
 from .registry import query
 from .virtual import DIRTY, load
@@ -276,3 +276,42 @@ def project_selected(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     return selection.importance(load(spark, d, "items"), ["price", "quantity", "discount", "level"], ["state"], "label", rounds=100, target_rate=0.02)
+
+
+_BOOST = ("price", "quantity", "discount", "level")
+_BINS = 16
+
+
+def _boost_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose price is missing where few were bought."""
+    return load(spark, d, "items").withColumn("price", F.when(F.col("quantity") >= 8, F.col("price")))
+
+
+@query(
+    ", b AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {k} AS k, CAST({'CASE WHEN quantity >= 8 THEN price END' if c == 'price' else c} AS DOUBLE) AS x, 0.5 - label AS g, 0.25 AS h FROM items" for k, c in enumerate(_BOOST))
+    + f"""), cuts AS (SELECT DISTINCT feature, k, unnest(quantile_cont(x, [{", ".join(f"{i} / {_BINS}" for i in range(1, _BINS))}])) AS cut FROM b GROUP BY feature, k),
+    s AS (SELECT feature, k, cut, CAST(coalesce(sum(g) FILTER (WHERE x <= cut), 0) AS DOUBLE) AS gl, CAST(coalesce(sum(h) FILTER (WHERE x <= cut), 0) AS DOUBLE) AS hl, CAST(coalesce(sum(g) FILTER (WHERE x IS NULL), 0) AS DOUBLE) AS gm,
+          CAST(coalesce(sum(h) FILTER (WHERE x IS NULL), 0) AS DOUBLE) AS hm, CAST(sum(g) AS DOUBLE) AS g, CAST(sum(h) AS DOUBLE) AS h FROM b JOIN cuts USING (feature, k) GROUP BY feature, k, cut),
+    o AS (SELECT feature, k, cut, missing_left, gl + CASE WHEN missing_left THEN gm ELSE 0 END AS gl, hl + CASE WHEN missing_left THEN hm ELSE 0 END AS hl, g, h FROM s, (VALUES (true), (false)) m(missing_left))
+    SELECT feature, round(cut, 6) AS cut, missing_left, round((gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2, 6) AS gain, round(hl, 6) AS left_hessian
+    FROM o WHERE hl >= 1 AND h - hl >= 1 ORDER BY (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1)) DESC, k, cut, missing_left DESC LIMIT 1""",
+    ("items",),
+)
+def boost_root_split(spark: SparkSession, d: str) -> DataFrame:
+    found = selection.root_split(_boost_rows(spark, d), _BOOST, "label", bins=_BINS)
+    return found.select("feature", F.round("cut", 6).alias("cut"), "missing_left", F.round("gain", 6).alias("gain"), F.round("left_hessian", 6).alias("left_hessian"))
+
+
+@query()
+def shapley_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's margin and what each input adds to it."""
+    rows = _boost_rows(spark, d)
+    model = boosting.fit(rows, _BOOST, "label", rounds=10)
+    told = boosting.shapley_values(rows, model, ["row_id"])
+    return told.select("row_id", "margin", *[F.get("contributions", i).alias(c) for i, c in enumerate(_BOOST)])
+
+
+@query()
+def training_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """rows, right, accuracy of boosted trees on the rows that they learned from."""
+    return selection.ranked(load(spark, d, "items"), list(_BOOST), ["state"], "label", rounds=10, target_rate=None)[1]

@@ -1,8 +1,13 @@
+import itertools
+import math
+import random
+import time
+
+import numpy as np
 import pytest
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from rulemill.operators import selection
+from rulemill.operators import boosting, selection
 
 
 @pytest.fixture(scope="module")
@@ -17,13 +22,106 @@ def test_importance_finds_the_feature_that_matters(data, measure):
     assert got[0]["feature"] == "sign" and len(got) == 2 and got[0]["importance"] > got[1]["importance"] >= 0
 
 
-def test_contributions_equal_plain_differences(data, spark):
-    """The mean over rows of |margin(x) - margin(x with one feature at its mean)|."""
-    rows = data.select(F.col("y").cast("double").alias("_y"), F.lit(1.0).alias("_w"), "noise", "sign")
-    trees = selection.fit_trees(rows, ["noise", "sign"], [], 3, 2, 0.1, 1.0, 1).stages[-1]
-    got = selection.contributions(trees, rows.select("noise", "sign"), ["noise", "sign"])
-    own = [(r["noise"], r["sign"]) for r in rows.collect()]
-    mean = [sum(x[k] for x in own) / len(own) for k in (0, 1)]
-    margin = {x: trees.predictRaw(Vectors.dense(x))[1] for x in {*own, *((mean[0], b) for _, b in own), *((a, mean[1]) for a, _ in own)}}
-    want = {"noise": sum(abs(margin[a, b] - margin[mean[0], b]) for a, b in own) / len(own), "sign": sum(abs(margin[a, b] - margin[a, mean[1]]) for a, b in own) / len(own)}
-    assert got == pytest.approx(want)
+def table(spark, n, features, seed=5, missing=0.1):
+    """Rows whose label depends on some inputs, on a product of two and on whether one is missing."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x = [None if rng.random() < missing else rng.choice([rng.gauss(0, 1), float(rng.randrange(4))]) for _ in range(features)]
+        at = lambda k: x[k] or 0.0  # noqa: B023, E731
+        score = at(0) + at(1) * at(2 % features) + (1.5 if x[min(3, features - 1)] is None else 0) + rng.gauss(0, 0.3)
+        rows.append((i, *x, int(score > 0.7)))
+    return spark.createDataFrame(rows, ", ".join(["id long", *[f"x{k} double" for k in range(features)], "y int"]))
+
+
+def given(tree, bins, known):
+    """The tree's value if only the known inputs are, and rows part at the others by their covers."""
+
+    def walk(node):
+        if tree.feature[node] < 0:
+            return tree.value[node]
+        if tree.feature[node] in known:
+            return walk(tree.left[node] if tree.goes_left(node, bins[None])[0] else tree.right[node])
+        return sum(tree.cover[c] / tree.cover[node] * walk(c) for c in (tree.left[node], tree.right[node]))
+
+    return walk(0)
+
+
+def test_shapley_values_equal_all_subsets(spark):
+    features = 8
+    rows = table(spark, 300, features)
+    names = [f"x{k}" for k in range(features)]
+    model = boosting.fit(rows, names, "y", rounds=6, depth=4, bins=16)
+    assert max(len(t.feature) for t in model.trees) > 15
+    got = boosting.shapley_values(rows, model, ["id"]).orderBy("id").collect()
+    own = rows.orderBy("id").select(*names).toPandas().to_numpy(np.float64)
+    bins = model.bins(own)
+    base = boosting.expected_margin(model)
+    for r in got:
+        assert sum(r["contributions"]) + base == pytest.approx(r["margin"])
+    for i in range(0, 300, 37):
+        subsets = [frozenset(s) for k in range(features + 1) for s in itertools.combinations(range(features), k)]
+        value = {s: sum(given(t, bins[i], s) for t in model.trees) for s in subsets}
+        for f in range(features):
+            want = sum(math.factorial(len(s)) * math.factorial(features - len(s) - 1) / math.factorial(features) * (value[s | {f}] - value[s]) for s in subsets if f not in s)
+            assert got[i]["contributions"][f] == pytest.approx(want, abs=1e-12)
+    mean = boosting.mean_contributions(rows, model)
+    assert mean == pytest.approx({n: float(np.mean([abs(r["contributions"][f]) for r in got])) for f, n in enumerate(names)})
+
+
+def test_forty_features_in_one_pass(spark):
+    rows = table(spark, 2000, 40).cache()
+    model = boosting.fit(rows, [f"x{k}" for k in range(40)], "y", rounds=20)
+    model.trees = model.trees * 5  # a hundred trees
+    boosting.mean_contributions(rows, model)
+    began = time.monotonic()
+    found = boosting.mean_contributions(rows, model)
+    assert time.monotonic() - began < 5
+    assert {"x0", "x1", "x2"} <= set(sorted(found, key=found.get)[-5:])
+    plan = boosting.shapley_values(rows, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def plain_root(rows, features, bins):
+    """The best first split by trying every cut and both sides for missing values."""
+    best = None
+    for f in range(features):
+        have = np.array([r[f] for r in rows if r[f] is not None])
+        for cut in np.unique(np.quantile(have, [k / bins for k in range(1, bins)])):
+            for side in (True, False):
+                left = [r for r in rows if (side if r[f] is None else r[f] <= cut)]
+                right = [r for r in rows if not (side if r[f] is None else r[f] <= cut)]
+                if min(len(left), len(right)) * 0.25 < 1:
+                    continue
+                score = lambda part: sum(0.5 - r[-1] for r in part) ** 2 / (len(part) * 0.25 + 1)
+                gain = (score(left) + score(right) - score(rows)) / 2
+                if best is None or gain > best[0] + 1e-9:
+                    best = gain, f"x{f}", cut, side
+    return best
+
+
+def test_root_split_equals_plain_search(spark):
+    rows = table(spark, 400, 4, seed=9, missing=0.3)
+    gain, feature, cut, side = plain_root([r[1:] for r in rows.collect()], 4, 8)
+    (got,) = selection.root_split(rows, ["x0", "x1", "x2", "x3"], "y", bins=8).collect()
+    assert (got["feature"], got["missing_left"]) == (feature, side) and got["cut"] == pytest.approx(cut) and got["gain"] == pytest.approx(gain)
+
+
+def test_missing_values_learn_their_side(spark):
+    rows = spark.range(400).select(F.when(F.col("id") % 4 == 0, None).otherwise((F.col("id") % 5).cast("double")).alias("a"), (F.col("id") % 4 == 0).cast("int").alias("y"))
+    model = boosting.fit(rows, ["a"], "y", rounds=10, rows_share=1.0)
+    assert boosting.accuracy(rows, model, "y").first()["accuracy"] > 0.99
+
+
+def test_partitions_do_not_matter(spark):
+    rows = table(spark, 300, 3)
+    models = [boosting.fit(rows.repartition(n), ["x0", "x1", "x2"], "y", rounds=12, rows_share=2.0) for n in (1, 7)]
+    a, b = ([(t.feature, t.upto, t.value, t.cover) for t in m.trees] for m in models)
+    assert len(a) == 12 and [x[:2] for x in a] == [x[:2] for x in b] and np.allclose(np.concatenate([x[2] for x in a]), np.concatenate([x[2] for x in b]))
+
+
+def test_nothing_to_learn(spark):
+    for rows in (spark.createDataFrame([], "a double, y int"), spark.createDataFrame([(None, 1), (None, 0), (1.0, None)], "a double, y int")):
+        model = boosting.fit(rows, ["a"], "y", rounds=2)
+        assert all(t.feature == [-1] for t in model.trees) and boosting.mean_contributions(rows, model) == {"a": 0.0}
+        assert selection.root_split(rows, ["a"], "y").collect() == []
