@@ -6,10 +6,11 @@ each, so the results are exact wherever the ranges are cut, and a range never ou
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from math import floor
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from math import floor, isnan
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import materialize
@@ -47,29 +48,102 @@ def sums_over(placed: DataFrame, group: str, value: str, sums: Sequence[str], de
     return joined.select(*columns, *[(F.col(f"_in_{s}") + F.col(f"_{s}")).alias(f"{s}_run") for s in sums])
 
 
+#: Accuracy of the sketches, how far around a wanted rank their bounds are taken, and how many values between two bounds are collected.
+_ACCURACY, _AROUND, _FEW = 10_000, 0.0005, 5_000
+
+
+@dataclass
+class _Search:
+    """A wanted rank (from 0) of a column, known to lie between two values; None is no bound. Both bounds are exclusive."""
+
+    column: str
+    rank: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0  # values up to low
+    inside: int = 0
+    found: float | None = None
+
+    def between(self) -> Column:
+        x = F.col(self.column)
+        out = x.isNotNull()
+        if self.low is not None:
+            out = out & (x > self.low)
+        return out & (x < self.high) if self.high is not None else out
+
+
+def ranked_values(df: DataFrame, ranks: Mapping[str, Sequence[int]], totals: Mapping[str, int]) -> dict[tuple[str, int], float]:
+    """The values at these ranks (from 0) of columns of doubles, without sorting a column.
+
+    Sketches give two values around each rank. One pass counts what lies below, at and between them; if the rank is at
+    one of them it is found, if it lies beyond them the search goes on there, and if few values are left between them
+    these are counted and collected. Otherwise the next sketches look at what lies between only.
+    """
+    todo = [_Search(c, r, inside=totals[c]) for c, rs in ranks.items() for r in rs]
+    searches = list(todo)
+    while todo := [s for s in todo if s.found is None]:
+        large = [s for s in todo if s.inside > _FEW]
+        if large:
+            sides = [(max(0.0, p - _AROUND), min(1.0, p + _AROUND)) for p in ((s.rank - s.below) / s.inside for s in large)]
+            # one sketch for all ranks that are sought in the same stretch of a column
+            stretches: dict[tuple, list[int]] = {}
+            for i, s in enumerate(large):
+                stretches.setdefault((s.column, s.low, s.high), []).append(i)
+            sketch = lambda own: F.percentile_approx(F.when(large[own[0]].between(), F.col(large[own[0]].column)), [p for i in own for p in sides[i]], _ACCURACY)  # noqa: E731, B023
+            near = df.agg(*[sketch(own).alias(f"p{j}") for j, own in enumerate(stretches.values())]).first()
+            bounds = {i: near[f"p{j}"][2 * k : 2 * k + 2] for j, own in enumerate(stretches.values()) for k, i in enumerate(own)}
+            counts = []
+            for i, s in enumerate(large):
+                a, b = bounds[i]
+                x, inside = F.col(s.column), s.between()
+                counts += [F.count_if(inside & c).alias(f"{n}{i}") for n, c in (("lt", x < a), ("le", x <= a), ("to", x < b), ("te", x <= b))]
+            n = df.agg(*counts).first()
+            for i, s in enumerate(large):
+                a, b = bounds[i]
+                lt, le, to, te, at = n[f"lt{i}"], n[f"le{i}"], n[f"to{i}"], n[f"te{i}"], s.rank - s.below
+                if lt <= at < le:
+                    s.found = a
+                elif to <= at < te:
+                    s.found = b
+                elif at < lt:
+                    s.high, s.inside = a, lt
+                elif at >= te:
+                    s.low, s.below, s.inside = b, s.below + te, s.inside - te
+                else:
+                    s.low, s.high, s.below, s.inside = a, b, s.below + le, to - le
+            continue
+        held = F.filter(F.array(*[F.when(s.between(), F.struct(F.lit(i).alias("i"), F.col(s.column).alias("value"))) for i, s in enumerate(todo)]), lambda x: x.isNotNull())
+        between: dict[int, list[tuple[float, int]]] = {}
+        for r in df.select(F.explode(held).alias("h")).groupBy("h.i", "h.value").agg(F.count("*").alias("n")).collect():  # few values a rank
+            between.setdefault(r["i"], []).append((r["value"], r["n"]))
+        for i, s in enumerate(todo):
+            left = s.rank - s.below
+            for value, n in sorted(between[i], key=lambda v: (isnan(v[0]), v[0])):
+                if left < n:
+                    s.found = value
+                    break
+                left -= n
+    return {(s.column, s.rank): s.found for s in searches}
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
     """Exact quantiles of numeric columns with linear interpolation, nulls left out; an empty list without values.
 
-    Values are counted, their ranks come from running sums, and only the rows that hold a wanted rank are collected.
+    Three passes as a rule, each one aggregation without a sort: see `ranked_values`. NaN counts as the largest value.
     """
     if not columns:
         return {}
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
-    counts = df.select(pairs.alias("p")).where("p.value is not null").groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
-    run = materialize(running_sums(counts, "column", "value", ["n"]), "ranks")
-    totals = {r["column"]: r["n"] for r in run.groupBy("column").agg(F.sum("n").alias("n")).collect()}  # a row a column
-    places = {c: [s * (totals[c] - 1) for s in shares] for c in columns if c in totals}
-    if not places:
-        return {c: [] for c in columns}
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    counted = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
+    totals = {c: counted[c] for c in rows.columns if counted[c]}
+    places = {c: [s * (n - 1) for s in shares] for c, n in totals.items()}
     wanted = {c: sorted({x for p in ps for x in (floor(p), min(floor(p) + 1, totals[c] - 1))}) for c, ps in places.items()}
-    ranks = F.create_map(*[x for c, ws in wanted.items() for x in (F.lit(c), F.array(*[F.lit(w).cast("long") for w in ws]))])
-    held = F.filter(F.try_element_at(ranks, F.col("column")), lambda w: (w >= F.col("n_run") - F.col("n")) & (w < F.col("n_run")))
-    rows = run.select("column", "value", F.explode(held).alias("rank")).collect()  # two rows a column and share at most
-    at = {(r["column"], r["rank"]): r["value"] for r in rows}
+    at = ranked_values(rows, wanted, totals)
     out: dict[str, list[float]] = {c: [] for c in columns}
-    for c, ps in places.items():
-        for p in ps:
+    for i, name in enumerate(columns):
+        c = f"c{i}"
+        for p in places.get(c, []):
             low, part = floor(p), p - floor(p)
             a, b = at[c, low], at[c, min(low + 1, totals[c] - 1)]
-            out[c].append(a if part == 0 or a == b else a + (b - a) * part)
+            out[name].append(a if part == 0 or a == b else a + (b - a) * part)
     return out

@@ -51,10 +51,14 @@ def kinds_by_name(names: Sequence[str], overrides: Mapping[str, str] | None = No
     return {n: (overrides or {}).get(n) or by_name(n) for n in names}
 
 
+def edges_of(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> dict[str, list[float]]:
+    """Distinct exact quantiles of each column, the last one replaced by infinity; all columns at once."""
+    return {c: [*sorted(set(found))[:-1], float("inf")] for c, found in quantiles(df, columns, shares).items()}
+
+
 def quantile_edges(df: DataFrame, column: str, shares: Sequence[float] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> list[float]:
     """Distinct exact quantiles of a column, the last one replaced by infinity."""
-    edges = sorted(set(quantiles(df, [column], shares)[column]))
-    return [*edges[:-1], float("inf")]
+    return edges_of(df, [column], shares)[column]
 
 
 def ordinal_label(code: Column, values: Sequence[int]) -> Column:
@@ -70,10 +74,21 @@ def ordinal_label(code: Column, values: Sequence[int]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), code.cast("int"))
 
 
+def codes_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, category, code of all columns in one pass: distinct values in order, from 0 in each column.
+
+    Values are numbered by ranges over all columns, so that no task holds a vocabulary; a column's first number is taken off.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in columns]))
+    values = df.select(pairs.alias("p")).select("p.*").where("category is not null").distinct()
+    numbered = number_rows(values, "column", "category", name="code")
+    firsts = numbered.groupBy("column").agg(F.min("code").alias("_first"))  # a row a column
+    return numbered.join(F.broadcast(firsts), "column").select("column", "category", (F.col("code") - F.col("_first")).cast("int").alias("code"))
+
+
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """category, code: distinct values in order, from 0; numbered by ranges, so that no task holds the vocabulary."""
-    values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("category")).distinct()
-    return number_rows(values, "category", name="code").select("category", F.col("code").cast("int").alias("code"))
+    return codes_of(df, [column]).select("category", "code")
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, unseen: int = 0) -> DataFrame:
@@ -119,19 +134,22 @@ class Encoding:
 
 
 def fit_encoding(df: DataFrame, kinds: Mapping[str, str], label: str, edges: Mapping[str, Sequence[float]] | None = None) -> Encoding:
-    """Learns bins (given edges or quintiles), the values of ordinal columns and the codes of categories.
+    """Learns bins (given edges or quintiles), the values of ordinal columns and the codes of categories, each for all columns at once.
 
     The values of an ordinal column, a byte in cleaned tables, come to the driver; categories don't.
     """
-    cuts = {c: list(edges[c]) if edges and c in edges else quantile_edges(df, c) for c, k in kinds.items() if k == "continuous"}
+    continuous = [c for c, k in kinds.items() if k == "continuous"]
+    learned = edges_of(df, [c for c in continuous if not (edges and c in edges)])
+    cuts = {c: learned[c] if c in learned else list(edges[c]) for c in continuous}
     ordinal = [c for c, k in kinds.items() if k == "ordinal"]
     levels: dict[str, list[int]] = {c: [] for c in ordinal}
     if ordinal:
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("int").alias("value")) for c in ordinal]))
         for r in df.select(pairs.alias("p")).select("p.*").where("value is not null").distinct().orderBy("column", "value").collect():
             levels[r["column"]].append(r["value"])
-    text = lambda c: df.select(F.col(c).cast("string").alias(c))
-    codes = {c: materialize(category_codes(text(c), c), "codes") for c, k in kinds.items() if k == "categorical"}
+    categorical = [c for c, k in kinds.items() if k == "categorical"]
+    every = materialize(codes_of(df, categorical), "codes") if categorical else None
+    codes = {c: every.where(F.col("column") == c).select("category", "code") for c in categorical}
     return Encoding(dict(kinds), cuts, levels, codes, label)
 
 

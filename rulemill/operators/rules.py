@@ -130,19 +130,21 @@ def calibrate(df: DataFrame, rules: Sequence[Rule], label: str, min_support: int
     out = []
     named = sorted({r.feature for r in rules if r.kind == "categorical"})
     counts = {}
-    for c in named:
-        table = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count_if(F.col(label) == 1).alias("tp"), F.count_if(F.col(label) == 0).alias("fp"))
-        row = table.where(F.col("tp") >= min_support).withColumn("p", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).orderBy(F.desc("p"), F.desc("tp"), "v").limit(1).collect()
-        counts[c] = row[0] if row else None
+    if named:  # one pass for all categories
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("v")) for c in named]))
+        table = df.select(pairs.alias("x"), F.col(label).alias("y")).where("x.v is not null").groupBy("x.feature", "x.v").agg(F.count_if(F.col("y") == 1).alias("tp"), F.count_if(F.col("y") == 0).alias("fp"))
+        rated = table.where(F.col("tp") >= min_support).withColumn("p", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+        best_of = F.min(F.struct((-F.col("p")).alias("p"), (-F.col("tp")).alias("tp"), "v"))
+        counts = {r["feature"]: r["b"] for r in rated.groupBy("feature").agg(best_of.alias("b")).collect()}
     flags = [r for r in rules if r.kind == "binary"]
     fired = {r["rule_id"]: r for r in evaluate_each(df, flags, label).collect()} if flags else {}
     for r in rules:
         if r.kind in ("continuous", "ordinal") and r.feature in best:
             b = best[r.feature]
             out.append(Rule(r.rule_id, r.feature, r.kind, r.weight, b["threshold"], b["precision"], b["tp"], r.outcome, r.mechanisms))
-        elif r.kind == "categorical" and counts[r.feature] is not None:
+        elif r.kind == "categorical" and r.feature in counts:
             b = counts[r.feature]
-            out.append(Rule(r.rule_id, r.feature, r.kind, r.weight, b["v"], b["p"], b["tp"], r.outcome, r.mechanisms))
+            out.append(Rule(r.rule_id, r.feature, r.kind, r.weight, b["v"], -b["p"], -b["tp"], r.outcome, r.mechanisms))
         elif r.kind == "binary" and fired[r.rule_id]["tp"] >= min_support:
             b = fired[r.rule_id]
             out.append(Rule(r.rule_id, r.feature, r.kind, r.weight, True, b["precision"], b["tp"], r.outcome, r.mechanisms))

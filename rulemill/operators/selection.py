@@ -7,15 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import materialize
 from . import boosting
-from .encoding import category_codes
+from .encoding import codes_of
 from .splitting import class_weight
 
 
 def coded(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
     """df with categories as the numbers of their places in order, null for nulls; Spark picks the joins by the codes' size."""
+    if not categorical:
+        return df
+    every = materialize(codes_of(df, categorical), "codes")
     for c in categorical:
-        codes = category_codes(df.select(F.col(c).cast("string").alias(c)), c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
+        codes = every.where(F.col("column") == c).select(F.col("category").alias("_category"), F.col("code").alias("_code"))
         df = df.join(codes, F.col(c).cast("string") == F.col("_category"), "left").withColumn(c, F.col("_code")).drop("_category", "_code")
     return df
 

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +104,21 @@ def test_split_is_exact_disjoint_and_complete(spark):
     assert other.exceptAll(split.where("split = 'test'").select("k")).count() > 0
 
 
+def test_half_of_all_rows_and_deep_buckets(spark, monkeypatch):
+    """Counts of any size: a test part of half the table, buckets split until they are small, too few rows, null keys."""
+    rows = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 1), (None, 0), (90_000, None)], "k long, y int"))
+    want = {v: sorted((hashlib.md5(f"{k}:42".encode()).hexdigest(), k) for k in range(20_000) if (k % 5 == 0) == v) for v in (1, 0)}
+    for few in (4096, 2):
+        monkeypatch.setattr(splitting, "_FEW", few)
+        split = splitting.stratified_split(rows, "k", "y", {1: 2_000, 0: 8_000, 7: 3})
+        assert not re.search("Exchange|Sort|Window|Join", split._jdf.queryExecution().executedPlan().toString().replace("WithinJoin", ""))
+        test = {(r["y"], r["k"]) for r in split.where("split = 'test'").collect()}
+        assert test == {(v, k) for v, n in ((1, 2_000), (0, 8_000)) for _, k in want[v][:n]} and split.count() == 20_003
+    assert splitting.stratified_split(rows, "k", "y", {1: 9_999}).where("split = 'test'").count() == 4_000
+    assert splitting.stratified_split(rows.limit(0), "k", "y", {1: 1}).collect() == []
+
+
 def test_codes_of_unseen_categories(spark):
     train = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     test = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "c string")

@@ -34,3 +34,30 @@ def test_quantiles_equal_numpy(spark):
     for c, k in (("x", 0), ("y", 1)):
         assert np.allclose(got[c], np.quantile([r[k] for r in rows if r[k] is not None], shares))
     assert quantiles(spark.createDataFrame([], "x double"), ["x"], shares) == {"x": []}
+
+
+def test_quantiles_by_bounds(spark, monkeypatch):
+    """Large columns, heavy ties, NaN and infinities; the bounds may miss, and a stretch may need further sketches."""
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from rulemill.operators import cumulative
+
+    rows = spark.range(60_000).select(
+        F.hash("id").cast("double").alias("wide"), F.when(F.col("id") % 2 == 0, 5.0).otherwise((F.col("id") % 1000).cast("double")).alias("tied"),
+        F.when(F.col("id") % 3 == 0, float("inf")).when(F.col("id") % 3 == 1, float("nan")).otherwise(F.col("id").cast("double")).alias("odd"), F.lit(2.0).alias("same"),
+    )
+    shares = [0.0, 0.2, 0.25, 0.5, 0.50001, 0.8, 1.0]
+    own = rows.toPandas()
+    for accuracy, around, few in ((10_000, 0.0005, 5_000), (50, 0.0001, 300), (20, 0.2, 100)):
+        monkeypatch.setattr(cumulative, "_ACCURACY", accuracy)
+        monkeypatch.setattr(cumulative, "_AROUND", around)
+        monkeypatch.setattr(cumulative, "_FEW", few)
+        got = quantiles(rows, ["wide", "tied", "same"], shares)
+        for c in ("wide", "tied", "same"):
+            assert np.allclose(got[c], np.quantile(own[c], shares)), c
+        odd = quantiles(rows, ["odd"], [0.1, 0.5, 0.9])["odd"]
+        assert odd[0] == np.sort(own["odd"])[int(0.1 * 59_999)] + 0.9 * 3 or abs(odd[0] - np.sort(own["odd"])[:20_000][5999]) <= 3
+        assert odd[1] == float("inf") and np.isnan(odd[2])
+
