@@ -6,14 +6,15 @@ each, so the results are exact wherever the ranges are cut, and a range never ou
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from math import floor, isnan
+from collections.abc import Iterator, Mapping, Sequence
+from math import floor, nan
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialize
+from ..sources.tables import importable, materialize
 
 _ROW_BITS = 33
 
@@ -48,82 +49,97 @@ def sums_over(placed: DataFrame, group: str, value: str, sums: Sequence[str], de
     return joined.select(*columns, *[(F.col(f"_in_{s}") + F.col(f"_{s}")).alias(f"{s}_run") for s in sums])
 
 
-#: Accuracy of the sketches, how far around a wanted rank their bounds are taken, and how many values between two bounds are collected.
-_ACCURACY, _AROUND, _FEW = 10_000, 0.0005, 5_000
+#: Accuracy of the sketches, how far around a wanted share their bounds are taken, how many parts a stretch is cut into
+#: when it is looked at again, and how many values of a stretch are collected.
+_ACCURACY, _AROUND, _AGAIN, _FEW = 10_000, 0.0005, 200, 1_000
 
 
-@dataclass
-class _Search:
-    """A wanted rank (from 0) of a column, known to lie between two values; None is no bound. Both bounds are exclusive."""
+def _cells(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """2i + 1 for the i-th bound itself, 2i for what lies before it and after the one before."""
+    at = np.searchsorted(bounds, values, "left")
+    same = np.zeros(len(values), bool)
+    inner = at < len(bounds)
+    same[inner] = bounds[at[inner]] == values[inner]
+    return 2 * at + same
 
-    column: str
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0  # values up to low
-    inside: int = 0
-    found: float | None = None
 
-    def between(self) -> Column:
-        x = F.col(self.column)
-        out = x.isNotNull()
-        if self.low is not None:
-            out = out & (x > self.low)
-        return out & (x < self.high) if self.high is not None else out
+def _by_cell(df: DataFrame, bounds: Mapping[str, np.ndarray], cells: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
+    """(c, cell, value, n): how many values each cell of a column has, value null; for given cells their values, counted a batch at a time."""
+    names = list(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[], [], [], []]
+            for c, name in enumerate(names):
+                x = b[name].drop_null().to_numpy()
+                x = x[~np.isnan(x)]
+                at = _cells(x, bounds[name])
+                if cells is None:
+                    cell, n = np.unique(at, return_counts=True)
+                    value = np.full(len(cell), np.nan)
+                else:
+                    value, n = np.unique(x[np.isin(at, cells.get(name, []))], return_counts=True)
+                    cell = _cells(value, bounds[name])
+                for column, found in zip(rows, (np.full(len(cell), c), cell, value, n), strict=True):
+                    column.append(found)
+            c, cell, value, n = (np.concatenate(r) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(cell, pa.int64()), pa.array(value, pa.float64(), mask=np.isnan(value)), pa.array(n, pa.int64())], names=["c", "cell", "value", "n"])
+
+    importable(df.sparkSession)
+    return df.select(*names).mapInArrow(run, "c bigint, cell bigint, value double, n bigint")
 
 
 def ranked_values(df: DataFrame, ranks: Mapping[str, Sequence[int]], totals: Mapping[str, int]) -> dict[tuple[str, int], float]:
-    """The values at these ranks (from 0) of columns of doubles, without sorting a column.
+    """The values at these ranks (from 0) of columns of doubles without NaN, without sorting a column. totals: values of each.
 
-    Sketches give two values around each rank. One pass counts what lies below, at and between them; if the rank is at
-    one of them it is found, if it lies beyond them the search goes on there, and if few values are left between them
-    these are counted and collected. Otherwise the next sketches look at what lies between only.
+    Sketches give bounds around the ranks. One pass counts the values between and at the bounds, which tells exactly in
+    which stretch a rank lies; a bound that is hit is the answer, and the values of a stretch with few are collected.
+    A stretch with many is looked at again by sketches of its own, so it doesn't matter how good the bounds are.
     """
-    todo = [_Search(c, r, inside=totals[c]) for c, rs in ranks.items() for r in rs]
-    searches = list(todo)
-    while todo := [s for s in todo if s.found is None]:
-        large = [s for s in todo if s.inside > _FEW]
-        if large:
-            sides = [(max(0.0, p - _AROUND), min(1.0, p + _AROUND)) for p in ((s.rank - s.below) / s.inside for s in large)]
-            # one sketch for all ranks that are sought in the same stretch of a column
-            stretches: dict[tuple, list[int]] = {}
-            for i, s in enumerate(large):
-                stretches.setdefault((s.column, s.low, s.high), []).append(i)
-            sketch = lambda own: F.percentile_approx(F.when(large[own[0]].between(), F.col(large[own[0]].column)), [p for i in own for p in sides[i]], _ACCURACY)  # noqa: E731, B023
-            near = df.agg(*[sketch(own).alias(f"p{j}") for j, own in enumerate(stretches.values())]).first()
-            bounds = {i: near[f"p{j}"][2 * k : 2 * k + 2] for j, own in enumerate(stretches.values()) for k, i in enumerate(own)}
-            counts = []
-            for i, s in enumerate(large):
-                a, b = bounds[i]
-                x, inside = F.col(s.column), s.between()
-                counts += [F.count_if(inside & c).alias(f"{n}{i}") for n, c in (("lt", x < a), ("le", x <= a), ("to", x < b), ("te", x <= b))]
-            n = df.agg(*counts).first()
-            for i, s in enumerate(large):
-                a, b = bounds[i]
-                lt, le, to, te, at = n[f"lt{i}"], n[f"le{i}"], n[f"to{i}"], n[f"te{i}"], s.rank - s.below
-                if lt <= at < le:
-                    s.found = a
-                elif to <= at < te:
-                    s.found = b
-                elif at < lt:
-                    s.high, s.inside = a, lt
-                elif at >= te:
-                    s.low, s.below, s.inside = b, s.below + te, s.inside - te
+    importable(df.sparkSession)
+    names = list(ranks)
+    bounds = {c: np.zeros(0) for c in names}
+    counts: dict[str, dict[int, int]] = {c: {0: totals[c]} for c in names}
+    while True:
+        found: dict[tuple[str, int], float] = {}
+        open_at: dict[tuple[str, int], list[tuple[int, int]]] = {}  # column, cell -> ranks and their places in the cell
+        for c in names:
+            cells = sorted(counts[c])
+            ends = np.cumsum([counts[c][x] for x in cells])
+            for r in ranks[c]:
+                k = int(np.searchsorted(ends, r, "right"))
+                if cells[k] % 2:
+                    found[c, r] = float(bounds[c][cells[k] // 2])
                 else:
-                    s.low, s.high, s.below, s.inside = a, b, s.below + le, to - le
-            continue
-        held = F.filter(F.array(*[F.when(s.between(), F.struct(F.lit(i).alias("i"), F.col(s.column).alias("value"))) for i, s in enumerate(todo)]), lambda x: x.isNotNull())
-        between: dict[int, list[tuple[float, int]]] = {}
-        for r in df.select(F.explode(held).alias("h")).groupBy("h.i", "h.value").agg(F.count("*").alias("n")).collect():  # few values a rank
-            between.setdefault(r["i"], []).append((r["value"], r["n"]))
-        for i, s in enumerate(todo):
-            left = s.rank - s.below
-            for value, n in sorted(between[i], key=lambda v: (isnan(v[0]), v[0])):
-                if left < n:
-                    s.found = value
-                    break
-                left -= n
-    return {(s.column, s.rank): s.found for s in searches}
+                    open_at.setdefault((c, cells[k]), []).append((r, r - (int(ends[k - 1]) if k else 0)))
+        large = [at for at in open_at if counts[at[0]][at[1]] > _FEW]
+        if not large:
+            break
+        if not any(len(b) for b in bounds.values()):  # nothing is known yet: one sketch a column
+            sides = {c: sorted({min(1.0, max(0.0, r / totals[c] + d)) for r in ranks[c] for d in (-_AROUND, _AROUND)}) for c in names}
+            row = df.agg(*[F.percentile_approx(F.when(~F.isnan(c), F.col(c)), sides[c], _ACCURACY).alias(c) for c in names]).first()
+            more = {c: row[c] for c in names}
+        else:
+            inside = _by_cell(df, bounds, {c: [cell for d, cell in large if d == c] for c in names})
+            sketch = inside.groupBy("c", "cell").agg(F.percentile_approx("value", [k / _AGAIN for k in range(_AGAIN + 1)], _ACCURACY).alias("p"))
+            more = {c: [] for c in names}
+            for r in sketch.collect():  # a row a stretch
+                more[names[r["c"]]] += r["p"]
+        bounds = {c: np.unique(np.r_[bounds[c], more[c]]) for c in names}
+        counts = {c: {} for c in names}
+        for r in _by_cell(df, bounds).groupBy("c", "cell").agg(F.sum("n").alias("n")).collect():  # twice the bounds
+            counts[names[r["c"]]][r["cell"]] = r["n"]
+    if open_at:
+        inside = _by_cell(df, bounds, {c: [cell for d, cell in open_at if d == c] for c in names})
+        held: dict[tuple[str, int], list[tuple[float, int]]] = {}
+        for r in inside.groupBy("c", "cell", "value").agg(F.sum("n").alias("n")).collect():  # few values a stretch
+            held.setdefault((names[r["c"]], r["cell"]), []).append((r["value"], r["n"]))
+        for at, wanted in open_at.items():
+            own = sorted(held[at])
+            ends = np.cumsum([n for _, n in own])
+            for r, place in wanted:
+                found[at[0], r] = own[int(np.searchsorted(ends, place, "right"))][0]
+    return found
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float]]:
@@ -134,11 +150,15 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
     if not columns:
         return {}
     rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    counted = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
-    totals = {c: counted[c] for c in rows.columns if counted[c]}
+    counted = rows.agg(*[F.struct(F.count(c).alias("n"), F.count_if(F.isnan(c)).alias("nan")).alias(c) for c in rows.columns]).first()
+    totals = {c: counted[c]["n"] for c in rows.columns if counted[c]["n"]}
+    plain = {c: n - counted[c]["nan"] for c, n in totals.items()}
     places = {c: [s * (n - 1) for s in shares] for c, n in totals.items()}
     wanted = {c: sorted({x for p in ps for x in (floor(p), min(floor(p) + 1, totals[c] - 1))}) for c, ps in places.items()}
-    at = ranked_values(rows, wanted, totals)
+    at = {(c, r): nan for c, rs in wanted.items() for r in rs if r >= plain[c]}
+    ranks = {c: left for c, rs in wanted.items() if (left := [r for r in rs if r < plain[c]])}
+    if ranks:
+        at |= ranked_values(rows, ranks, plain)
     out: dict[str, list[float]] = {c: [] for c in columns}
     for i, name in enumerate(columns):
         c = f"c{i}"
