@@ -11,7 +11,10 @@ held out; an empty table gives an empty result; other columns are not read by a
 are learned, however many: the bounded sample is spread over them.
 
 A model may also learn a class of noise (`train(noise=True)`), made from windows of the sample with their bytes
-shuffled and from random characters; `identify` then gives `und` to texts whose positions are mostly noise.
+shuffled and from random characters. Every position of a text is then evidence for noise or for the likeliest language:
+`identify` sums the log-odds over all positions, whatever the length, and gives `und` to texts whose sum exceeds a
+fixed prior. The fit sets the prior to twice the largest sum among the labelled windows, so a few odd bytes can't
+outweigh it, and what the labels call a language isn't noise.
 """
 
 from __future__ import annotations
@@ -32,9 +35,9 @@ SAMPLE_DOCS, SAMPLE_ALL, WINDOWS, WINDOW = 500, 128_000, 8, 64
 HIDDEN, STEPS, BATCH, RATE = 8, 200, 256, 0.02
 #: Bytes of a segment, and the most segments read side by side; numbers held for them.
 SEGMENT, ABREAST, HELD = 128, 4096, 1 << 24
-#: The name of what is no language, the share of a text's positions that makes it that, and the fewest bytes that tell:
-#: of 9,720 real texts of 128 bytes or more none had a share over 0.43, and samples of noise had 0.88 or more.
-NOISE, MOSTLY, TELLING = "und", 0.7, 128
+#: The name of what is no language; the least probability that a position gives a class when evidence is summed; how
+#: much more evidence than the labelled sample's worst window a text needs to be noise; windows that this is taken from.
+NOISE, FLOOR, BEYOND, JUDGED = "und", 1e-3, 2.0, 20_000
 _GATES = ("z", "r", "n")
 
 
@@ -44,6 +47,7 @@ class ByteGRU:
 
     languages: list[str]
     p: dict[str, np.ndarray] = field(default_factory=dict)
+    prior: float = 0.0
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int = HIDDEN, seed: int = 0) -> ByteGRU:
@@ -177,10 +181,21 @@ class ByteGRU:
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities over all bytes of each text (texts x languages); zeros for an empty one."""
+        return self._sums(texts, False)[0]
+
+    def odds(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The mean probabilities, and the log-odds of noise against the likeliest language, summed over all bytes."""
+        mean, logs = self._sums(texts, True)
+        no = self.languages.index(NOISE)
+        return mean, logs[:, no] - np.delete(logs, no, axis=1).max(axis=1, initial=-np.inf)
+
+    def _sums(self, texts: list[bytes], logs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Mean probabilities, and sums of their logarithms if asked for."""
         sizes = np.array([len(x) for x in texts], np.int64)
         sums = np.zeros((len(texts), len(self.languages)))
+        total = np.zeros_like(sums)
         if not sizes.sum():
-            return sums
+            return sums, total
         flat, p = np.frombuffer(b"".join(texts) + bytes(SEGMENT), np.uint8), self._fast()
         begin = np.cumsum(sizes) - sizes
         count = -(-sizes // SEGMENT)
@@ -196,10 +211,15 @@ class ByteGRU:
             data = flat[at[some][None, :] + np.arange(longest)[:, None]]
             mask = None if shortest == longest else (np.arange(longest)[:, None] < length[some][None, :]).astype(np.float32)
             prob = self.positions(data, mask, p)
+            if logs:
+                evidence = np.log(np.maximum(prob, FLOOR))
+                if mask is not None:
+                    evidence *= mask[:, :, None]
+                np.add.at(total, of[some], evidence.sum(axis=0, dtype=np.float64))
             if mask is not None:
                 prob *= mask[:, :, None]
             np.add.at(sums, of[some], prob.sum(axis=0, dtype=np.float64))
-        return sums / np.maximum(sizes, 1)[:, None]
+        return sums / np.maximum(sizes, 1)[:, None], total
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -245,9 +265,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     each = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // len(languages)))
     number = {x: i for i, x in enumerate(languages)}
     # twice as many by hash, so that most of the table stays where it is; then exactly the first ones by rank.
-    # counts has a row a language, which the driver holds already
     span = 1 << 30
-    drawn = known.join(F.broadcast(counts), "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
+    drawn = known.join(counts, "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,14 +288,19 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     for i, (_, w) in enumerate(rows):
         data[i, : len(w)] = np.frombuffer(w, np.uint8)
         mask[i, : len(w)] = 1
-    return ByteGRU.fresh(languages).fit(data, mask, np.array([r[0] for r in rows]))
+    model = ByteGRU.fresh(languages).fit(data, mask, np.array([r[0] for r in rows]))
+    if noise:
+        own = [w for x, w in rows if x != number[NOISE]]
+        judged = own[:: -(-len(own) // JUDGED)] if own else []
+        model.prior = max(1.0, BEYOND * float(model.odds(judged)[1].max(initial=0.0)))
+    return model
 
 
 def identify(docs: DataFrame, model: ByteGRU, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep with lang_pred and score (the mean probability of that language).
 
-    With a class of noise, a text is that if it is long enough to tell and its positions are noise for the most part;
-    else it is the likeliest language.
+    With a class of noise, a text is that if the evidence of its positions exceeds the model's prior; else it is the
+    likeliest language.
     """
     prepare(docs.sparkSession)
     no = model.languages.index(NOISE) if NOISE in model.languages else None
@@ -285,10 +309,14 @@ def identify(docs: DataFrame, model: ByteGRU, text: str = "text", keep: tuple[st
         for b in batches:
             texts = b[text].to_pylist()
             good = [bool(t) and any(map(str.isalpha, t)) and bool(model.languages) for t in texts]
-            prob = model.predict([t.encode() if g else b"" for t, g in zip(texts, good, strict=True)])
-            if no is not None:
-                few = np.array([not g or len(t.encode()) < TELLING for t, g in zip(texts, good, strict=True)], bool)
-                prob[few | (prob[:, no] < MOSTLY), no] = 0
+            data = [t.encode() if g else b"" for t, g in zip(texts, good, strict=True)]
+            if no is None:
+                prob = model.predict(data)
+            else:
+                prob, evidence = model.odds(data)
+                noise = evidence > model.prior
+                prob[~noise, no] = 0
+                prob[noise] *= np.arange(len(model.languages)) == no
             best = prob.argmax(axis=1) if model.languages and len(texts) else np.zeros(len(texts), int)
             name = [model.languages[i] if g else "und" for i, g in zip(best.tolist(), good, strict=True)]
             score = [float(min(1.0, prob[i, j])) if g else 0.0 for i, (j, g) in enumerate(zip(best.tolist(), good, strict=True))]

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_own_dir: str | None = None
-
+from rulemill.sources.tables import importable, remove, run_dir
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -21,37 +17,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     Batches are read when a plan runs, after this returns, so the setting stays; one that the caller has changed isn't
     touched.
     """
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    importable(spark)
     if spark.conf.get(_BATCH_ROWS) == "10000":  # Spark's own default
         spark.conf.set(_BATCH_ROWS, "2000")
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir or the context's checkpoint folder.
-
-    Only a local master, whose tasks share a disk, gets a temporary folder instead; a cluster without one is an error.
-    """
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = f"file://{tempfile.mkdtemp(prefix='rulemill-')}"
-    return _own_dir
-
-
-def run_dir(spark: SparkSession) -> str:
-    """The folder below the shared one that holds what this session writes on the way."""
-    return f"{shared_dir(spark)}/rulemill/{spark.sparkContext.applicationId}"
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's folder."""
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -59,8 +30,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that this session wrote on the way. Results not yet written elsewhere can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, run_dir(spark))
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

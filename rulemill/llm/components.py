@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, m): both directions of each edge, with the least of u and its neighbours.
+#: Nodes with more than this part of all rows of a join are hubs; there are fewer of them than this number.
+_HUBS = 1000
 
-    The least is a partial aggregation, and the join back can be split where u has very many neighbours.
+
+def _joined(rows: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """rows (u, v), n in all, with the m of their u from least (u, m, n).
+
+    A hub's neighbours would come to one task by a join on u. So hubs, whose number is bounded, join by broadcast.
     """
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u")
+    hubs = least.where(F.col("n") * _HUBS > n).select("u", "m")
+    others = least.where(F.col("n") * _HUBS <= n).select("u", "m")
+    return rows.join(F.broadcast(hubs), "u").unionByName(rows.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    return _with_least(edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Both directions of each edge meet the least of u and its neighbours; larger neighbours move to it."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _joined(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     # each edge points from its larger end (u) to its smaller (v)
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _joined(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -45,7 +52,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state == now:
             break
         state = now
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        large = materialize(_large_star(edges, now[0]), "large-stars")
+        edges = materialize(_small_star(large, large.count()), "stars")
     tops = edges.select("v").distinct()
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select(F.col("v").alias("node"), F.col("v").alias("component")))
     rest = alone.select(F.col("u").alias("node"), F.col("u").alias("component")).join(found.select("node"), "node", "left_anti")

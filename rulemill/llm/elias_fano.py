@@ -9,10 +9,12 @@ few, so the lists add less than two bits a number.
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 
-SAMPLE, SPARSE = 256, 16_384
+#: STEP numbers are packed at a time.
+SAMPLE, SPARSE, STEP = 256, 16_384, 65_536
 _HEAD = struct.Struct("<QQBQQIQ")
 _COUNTS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -23,6 +25,11 @@ def _bits(packed: np.ndarray, first: int, count: int) -> np.ndarray:
     return np.unpackbits(packed[first // 8 : (first + count + 7) // 8], bitorder="little")[skip : skip + count]
 
 
+def _packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of each number, one after the other."""
+    return np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+
+
 class EliasFano:
     """n non-decreasing numbers >= 0; x[i] selects one, part(a, b) gives some, decode() all."""
 
@@ -39,7 +46,8 @@ class EliasFano:
         v = np.asarray(values, np.uint64)
         n, upto = len(v), int(v[-1]) if len(v) else 0
         bits = max(0, (upto // n).bit_length() - 1) if n else 0
-        low = np.packbits(((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if bits else np.zeros(0, np.uint8)
+        # a step's numbers, a multiple of eight, fill whole bytes
+        low = np.concatenate([np.zeros(0, np.uint8)] + [_packed(v[a : a + STEP], bits) for a in range(0, n if bits else 0, STEP)])
         ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
@@ -124,21 +132,28 @@ class TokenFileWriter:
     """
 
     def __init__(self, out, width: int):
-        self.out, self.width, self.keys, self.lengths, self.ids = out, width, [], [], 0
+        self.out, self.width, self.nulls, self.ids = out, width, 0, 0
+        self.keys, self.lengths = array("q"), array("q")
 
     def add(self, key: int | None, ids: bytes) -> None:
         self.out.write(np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes())
-        self.keys.append(key)
+        if key is None:
+            self.nulls += 1
+        else:
+            self.keys.append(key)
         self.lengths.append(len(ids) // 4)
         self.ids += len(ids) // 4
 
+    @property
+    def docs(self) -> int:
+        return len(self.lengths)
+
     def finish(self) -> None:
-        nulls = sum(k is None for k in self.keys)
-        own = np.array(self.keys[nulls:], np.int64)
+        own = np.frombuffer(self.keys, np.int64)
         least = int(own[0]) if len(own) else 0
-        ends = EliasFano.encode(np.cumsum(np.array(self.lengths, np.int64)))
+        ends = EliasFano.encode(np.cumsum(np.frombuffer(self.lengths, np.int64)))
         keys = EliasFano.encode((own - least).astype(np.uint64))
-        self.out.write(ends.to_bytes() + keys.to_bytes() + _FILE.pack(_MAGIC, self.width, len(self.keys), nulls, least, self.ids * self.width))
+        self.out.write(ends.to_bytes() + keys.to_bytes() + _FILE.pack(_MAGIC, self.width, self.docs, self.nulls, least, self.ids * self.width))
 
 
 class TokenFile:

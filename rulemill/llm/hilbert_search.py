@@ -16,8 +16,8 @@ a window that grows with the table, whatever the index.
 Scores are sums of products from the first component to the last in double precision, so they don't depend on how rows
 meet; sums that overflow are infinite.
 
-Defined results: vectors that are null, zero or hold null or non-finite components, those of another length than the
-most frequent one and those with a null key take no part; equal vectors are indexed once, with their smallest keys,
+Defined results: vectors that are null, zero or hold null or non-finite components, and those of another length than
+the most frequent one take no part; rows with a null key ask nothing and are found, after others at ties; equal vectors are indexed once, with their smallest keys,
 so copies lose nothing; repeated keys are rows of their own; ties go to the smaller key; an empty table gives an empty
 result; other columns are not read.
 """
@@ -131,11 +131,11 @@ def _ranges(classes: DataFrame, fmt: str, largest: float, orderings: _Orderings)
 def _members(rows: DataFrame, key: str, k: int) -> DataFrame:
     """vec with its k + 1 smallest (key, uid), picked in salted parts first so that no task holds all copies."""
     part = rows.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(_SALTS)))
-    first = Window.partitionBy("vec", "_salt").orderBy(key, "uid")
+    first = Window.partitionBy("vec", "_salt").orderBy(F.col(key).asc_nulls_last(), "uid")
     few = part.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
-    again = Window.partitionBy("vec").orderBy(key, "uid")
+    again = Window.partitionBy("vec").orderBy(F.col(key).asc_nulls_last(), "uid")
     few = few.withColumn("_r", F.row_number().over(again)).where(F.col("_r") <= k + 1)
-    return few.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "uid"))).alias("members"))
+    return few.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "uid"))).alias("members"))
 
 
 def _ranked(classes: DataFrame, fmt: str, largest: float, width: int, orderings: _Orderings, count: int) -> DataFrame:
@@ -216,12 +216,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     spark, fmt = df.sparkSession, number_format(df, column)
     kind = df.schema[key].dataType.simpleString()
     empty = f"query_id {kind}, rank int, `{key}` {kind}, score double"
-    rows = materialize(encode(df.where(F.col(key).isNotNull()), key, column).where("vec is not null"), "vectors")
+    rows = materialize(encode(df, key, column).where("vec is not null"), "vectors")
     width = rows.groupBy(F.octet_length("vec").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
     if width is None:
         return spark.createDataFrame([], empty)
     rows = rows.where(F.octet_length("vec") == width["w"])
-    asked = rows.withColumn("query", is_query)
+    asked = rows.withColumn("query", F.col(key).isNotNull() & F.coalesce(is_query, F.lit(False)))
     flags = asked.groupBy("vec").agg(F.bool_or("query").alias("query"))
     classes = materialize(flags.join(_members(rows, key, k), "vec").withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
 
@@ -275,11 +275,11 @@ def search(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", co
     found = found.unionByName(classes.where("query").select("cid", "vec").mapInArrow(own, "query long, cid long, score double"))
     merged = found.groupBy("query", "cid").agg(F.max("score").alias("score"))
     members = classes.select("cid", "members", F.element_at("members", 1)["key"].alias("least"))
-    best = merged.join(members, "cid").withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least", "cid"))).where(F.col("_r") <= k + 1)
+    best = merged.join(members, "cid").withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("least").asc_nulls_last(), "cid"))).where(F.col("_r") <= k + 1)
     best = best.select("query", "score", F.explode("members").alias("m"))
-    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "m.key", "m.uid"))).where(F.col("_r") <= k + 1)
+    best = best.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("m.key").asc_nulls_last(), "m.uid"))).where(F.col("_r") <= k + 1)
     # every row that asks takes the list of its vector, without itself
     who = asked.where("query").select("uid", F.col(key).alias("query_id"), "vec").join(classes.select("vec", F.col("cid").alias("query")), "vec").drop("vec")
     lists = who.join(best.select("query", "score", F.col("m.key").alias(key), F.col("m.uid").alias("other")), "query").where("uid <> other")
-    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), key, "other")).cast("int"))
+    lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), F.col(key).asc_nulls_last(), "other")).cast("int"))
     return lists.where(F.col("rank") <= k).select("query_id", "rank", key, "score")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-#: Rows of a long run that all others of it meet first.
-PIVOTS = 16
+#: Rows of a long run that all others of it meet first, and the load of a row that has no other: a chunk of n rows
+#: has room for n of these.
+PIVOTS, UNIT = 16, 1024
 
 
 def _own(node: str, count: str) -> Column:
@@ -52,15 +53,16 @@ def _rest(long: DataFrame, found: DataFrame, key: Sequence[str], node: str, chun
     Chunk i of the rest meets its chunk j in the task (smaller, larger), and chunk j of the component in (i, -1 - j).
     """
     named = long.join(found.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
-    named = materialize(named.select(*key, node, "n", "component"), "long-runs")
-    sizes = named.groupBy(*key, "component").agg(F.count("*").alias("size"))
-    most = sizes.groupBy(*key).agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
-    left = most.select(*key, F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / chunk).cast("long").alias("g")).where("g > 0")
+    load = F.col("load") if "load" in long.columns else F.lit(UNIT)
+    named = materialize(named.select(*key, node, "n", "component", load.cast("long").alias("load")), "long-runs")
+    sizes = named.groupBy(*key, "component").agg(F.count("*").alias("size"), F.sum("load").alias("load"))
+    most = sizes.groupBy(*key).agg(F.max(F.struct("size", "component", "load")).alias("most"), F.sum("load").alias("all"))
+    left = most.select(*key, F.col("most.component").alias("main"), F.ceil((F.col("all") - F.col("most.load")) / (chunk * UNIT)).cast("long").alias("g")).where("g > 0")
     own = F.col("own")
     among = F.transform(_upto("g"), lambda w: _place(F.least(own, w), F.greatest(own, w), own > w))
     across = F.transform(_upto("n"), lambda w: _place(own, -1 - w, 0))
     met = F.transform(_upto("g"), lambda i: _place(i, -1 - own, 1))
-    rows = named.join(left, list(key)).withColumn("own", F.when(F.col("component") == F.col("main"), _own(node, "n")).otherwise(_own(node, "g")))
+    rows = named.drop("load").join(left, list(key)).withColumn("own", F.when(F.col("component") == F.col("main"), _own(node, "n")).otherwise(_own(node, "g")))
     return rows.select(*key, node, F.when(F.col("component") == F.col("main"), met).otherwise(F.concat(among, across)).alias("places"))
 
 
@@ -72,13 +74,14 @@ def _at(rows: DataFrame) -> DataFrame:
 def run_links(short: DataFrame, long: DataFrame, key: Sequence[str], node: str, link: Callable[[DataFrame], DataFrame], chunk: int, attach: Callable[[DataFrame], DataFrame] = lambda rows: rows, pivots: int = PIVOTS) -> DataFrame:
     """Links (a, b) that connect all rows of a run that are linked at all, by way of rows of any run.
 
-    short: (key, node) of runs of one chunk; long: (key, node, n) of runs of n chunks. attach joins what link needs to
+    short: (key, node) of runs of one chunk; long: (key, node, n) of runs of n chunks, with the load of each row if rows
+    differ (a chunk has room for chunk * UNIT). attach joins what link needs to
     rows (key, node, places), before they are copied to their places, so that no node is a hot key. link takes rows
     (key, node, c, d, side), compares those of equal (key, c, d), across the sides where there are two, and returns
     links (a, b).
     """
     if long.isEmpty():
         return link(_at(attach(_stars(short, None, key, node, pivots))))
-    long = materialize(long.select(*key, node, "n"), "long-runs")
+    long = materialize(long.select(*key, node, "n", *[c for c in ("load",) if c in long.columns]), "long-runs")
     first = materialize(link(_at(attach(_stars(short, long, key, node, pivots)))), "first-links")
     return first.unionByName(link(_at(attach(_rest(long, connected_components(first), key, node, chunk)))))

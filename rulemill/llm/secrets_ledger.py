@@ -116,7 +116,7 @@ def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
     spark = versions.sparkSession
     empty_ledger(spark).write.mode("ignore").parquet(path)
     stored = spark.read.schema(empty_ledger(spark).schema).parquet(path)
-    scan_versions(versions, None if stored.isEmpty() else stored, rules, text).write.mode("append").parquet(path)
+    scan_versions(versions, stored, rules, text).write.mode("append").parquet(path)
     return spark.read.schema(stored.schema).parquet(path)
 
 

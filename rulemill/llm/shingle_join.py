@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
-from .long_runs import run_links
+from .long_runs import UNIT, run_links
 from .shingles import fingerprint_of, shingle_hashes
 
 BANDS, ROWS = 16, 4
-#: Texts of one key in one task; shingles hashed before their minima are taken.
+#: Texts of one key in one task, or as many as have UNIT times so many shingles in all (a million), if that is fewer;
+#: shingles hashed before their minima are taken.
 CHUNK, _STEP = 1024, 4096
 
 
@@ -121,18 +122,20 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequ
         for batch in batches:
             keys: list[int] = []
             nodes: list[int] = []
+            loads: list[int] = []
             for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if len(found := shingle_hashes(text, words)):
                     keys += band_keys(found, bands, rows)
                     keys += block_keys(fingerprint_of(found), masks)
                     nodes += [node] * (bands + len(masks))
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], names=["k", "node"])
+                    loads += [max(UNIT, len(found))] * (bands + len(masks))
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(loads, pa.int64())], names=["k", "node", "load"])
 
-    keyed = materialize(texts.select("node", "text").mapInArrow(run, "k long, node long"), "text-keys")
+    keyed = materialize(texts.select("node", "text").mapInArrow(run, "k long, node long, load long"), "text-keys")
     # keys with the same texts: one of them is verified
     mixed = F.xxhash64("node")
-    runs = keyed.groupBy("k").agg(F.count("*").alias("count"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor(mixed).alias("x")).where("count > 1")
-    live = runs.groupBy("count", "u", "v", "x").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("count") / chunk).cast("long").alias("n"))
+    runs = keyed.groupBy("k").agg(F.count("*").alias("count"), F.sum("load").alias("load"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor(mixed).alias("x")).where("count > 1")
+    live = runs.groupBy("count", "load", "u", "v", "x").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("load") / (chunk * UNIT)).cast("long").alias("n"))
     dealt = materialize(keyed.join(live, "k"), "text-runs")
 
     def attach(rows: DataFrame) -> DataFrame:

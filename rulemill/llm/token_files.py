@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, prepare, shared_path
 
-#: Ids after which a file is closed (64 MB), and documents of a slice.
-FILE_IDS, SLICE = 32_000_000, 8192
+#: Ids (64 MB) or documents after which a file is closed, whichever comes first, and documents of a slice.
+FILE_IDS, FILE_DOCS, SLICE = 32_000_000, 1_000_000, 8192
 _MANIFEST = "part int, no int, file string, docs long, ids long"
 
 
-def _writer(folder: str, tokenizer: str, end_id: int, key: str, text: str, file_ids: int):
+def _writer(folder: str, tokenizer: str, end_id: int, key: str, text: str, file_ids: int, file_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
@@ -44,7 +44,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, key: str, text: str, file_
         def close() -> pa.RecordBatch:
             file.finish()
             file.out.close()
-            return pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (no, pa.int32()), (name, pa.string()), (len(file.keys), pa.int64()), (file.ids, pa.int64()))], names=["part", "no", "file", "docs", "ids"])
+            return pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (no, pa.int32()), (name, pa.string()), (file.docs, pa.int64()), (file.ids, pa.int64()))], names=["part", "no", "file", "docs", "ids"])
 
         for batch in batches:
             for k, ids in zip(batch[key].to_pylist(), words.encode(batch[text].to_pylist()), strict=True):
@@ -53,7 +53,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, key: str, text: str, file_
                     store.create_dir(root, recursive=True)
                     file = TokenFileWriter(store.open_output_stream(f"{root}/{name}"), width)
                 file.add(k, ids + end)
-                if file.ids >= file_ids:
+                if file.ids >= file_ids or file.docs >= file_docs:
                     yield close()
                     no, file = no + 1, None
         if file is not None:
@@ -62,14 +62,14 @@ def _writer(folder: str, tokenizer: str, end_id: int, key: str, text: str, file_
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS) -> tuple[str, DataFrame]:
     """Writes all documents in ascending key order; returns the folder and the manifest (part, no, file, docs, ids)."""
     spark = prepare(docs.sparkSession)
     folder = shared_path(spark, "token-files")
     keyed = docs.select(F.col(key).cast("long").alias(key), text).withColumn("_h", F.xxhash64(text)).withColumn("_row", F.monotonically_increasing_id())
     order = [key, "_h", "_row"]
     dealt = keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select(key, text)
-    return folder, materialize(dealt.mapInArrow(_writer(folder, tokenizer, end_id, key, text, file_ids), _MANIFEST), "token-manifest")
+    return folder, materialize(dealt.mapInArrow(_writer(folder, tokenizer, end_id, key, text, file_ids, file_docs), _MANIFEST), "token-manifest")
 
 
 def _starts(manifest: DataFrame) -> DataFrame:

@@ -47,6 +47,55 @@ def test_a_group_in_one_key_costs_no_square(spark):
     assert long_runs._rest(rows, whole, ["k"], "node", 20).isEmpty()
 
 
+def test_long_texts_are_dealt_by_their_shingles(spark):
+    """A chunk is bounded by the shingles of its texts, not only by their number; no link is lost."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        words = list(base)
+        for _ in range(15):
+            words[rng.randrange(3000)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts + [f"alone {i}" for i in range(5)])), "node long, text string")
+    seen = []
+    whole, shingle_join.run_links = shingle_join.run_links, lambda short, long, *a: seen.append((short.count(), long.groupBy("k").agg(F.count("*").alias("n"), F.max("n").alias("chunks"), F.sum("load").alias("load")).collect())) or whole(short, long, *a)
+    try:
+        got = [(r["a"], r["b"]) for r in shingle_join.near_links(df, chunk=8).collect()]  # room for 8192 shingles
+    finally:
+        shingle_join.run_links = whole
+    assert len(set(components(17, got)[:12])) == 1 and len(set(components(17, got))) == 6
+    long = [r for r in seen[0][1] if r["n"] == 12]
+    assert long and all(r["chunks"] == -(-r["load"] // 8192) >= 4 for r in long)
+
+
+def test_memory_of_long_texts():
+    """A thousand texts of twenty thousand words are dealt in chunks of a million shingles, which take less than 400 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) for _ in range(2 * shingle_join.CHUNK * long_runs.UNIT // 20_000)]
+    tracemalloc.start()
+    shingle_join.spanning(sets, np.arange(len(sets)) % 2, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e8
+
+
+def test_hubs_join_by_broadcast(spark):
+    """A node with very many neighbours is no join key; components are right."""
+    from rulemill.llm import components as C
+
+    star = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(5000, 5400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    got = {r["node"]: r["component"] for r in C.connected_components(star).collect()}
+    assert len(got) == 3000 + 401 and {got[i] for i in range(3000)} == {0} and {got[i] for i in range(5000, 5401)} == {5000}
+    edges = star.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    plan = C._large_star(edges, edges.count())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
 def test_odd_runs(spark):
     none = spark.range(0).select(F.lit(0).alias("k"), F.col("id").alias("node"), F.lit(2).cast("long").alias("n"))
     link = lambda placed: placed.select(F.col("node").alias("a"), F.col("node").alias("b"))

@@ -211,3 +211,31 @@ def test_packing(spark, words):
     assert filled / (256 * len(sequences)) > 0.97
     none = packing.pack_pieces(packing.cut_documents(frame(spark, []), vocabulary(TOKENIZER), END_ID))
     assert none.collect() == []
+
+
+def test_files_close_by_documents(spark):
+    """Very many very short texts: a file holds a bounded number of documents, and what it holds stays small."""
+    rows = [(i, "" if i % 3 else "a b", None, None, 0) for i in range(700)] + [(None, None, None, None, 0)] * 3
+    folder, manifest = token_files.write_token_files(frame(spark, rows), vocabulary(TOKENIZER), END_ID, file_docs=50)
+    assert manifest.agg({"docs": "max"}).first()[0] == 50 and manifest.agg({"docs": "sum"}).first()[0] == 703
+    got = token_files.read_token_files(spark, folder, manifest, docs=16).collect()
+    assert len(got) == 703 and sum(r["doc_id"] is None for r in got) == 3 and sorted(r["start"] for r in got)[1] >= 1
+
+
+def test_memory_of_short_documents():
+    """A file of the most documents, with keys and boundaries, takes less than 400 MB."""
+    import tracemalloc
+
+    class Sink:
+        def write(self, data):
+            pass
+
+    ids = np.arange(10, dtype="<u4").tobytes()
+    tracemalloc.start()
+    writer = TokenFileWriter(Sink(), 2)
+    for i in range(token_files.FILE_DOCS):
+        writer.add(7 * i, ids)
+    writer.finish()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5e8

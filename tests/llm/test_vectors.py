@@ -153,3 +153,14 @@ def test_search_huge_and_tiny_vectors(spark):
     rows = [(i, [f * c for c in (1.0, float(i), -2.0)], 0) for i, f in enumerate([1.0, 1e150, 1e-150, 1e200, 1e-200, 1e-320])]
     got = hilbert_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0, k=4).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [3, 1, 2, 4]
+
+
+def test_rows_without_a_key_are_candidates(spark):
+    """They ask nothing, are found, and come after keys at ties."""
+    rows = [(20, [1.0, 0.0], 1), (1, [0.9, 0.1], 1), (2, [0.1, 0.9], 1), (None, [5.0, 0.0], 1), (None, [0.9, 0.1], 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = hilbert_search.search(df, F.col("vec_id") % 20 == 0, k=3).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(20, 1, None), (20, 2, 1), (20, 3, None)]
+    assert [round(r["score"], 4) for r in got] == [5.0, 0.9, 0.9]
+    one = hilbert_search.search(df, F.lit(True), k=1)
+    assert {r["query_id"] for r in one.collect()} == {20, 1, 2}
