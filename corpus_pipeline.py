@@ -18,10 +18,12 @@ from rulemill.llm.queries import END_ID, TOKENIZER, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose predicted language is `und`: without text or a letter, or mostly noise to the network.
+    """Drops documents whose predicted language is `und`: without text or a letter, or noise to the network.
 
-    The network learns noise beside the languages. Where nothing is labelled it can learn neither, and documents with
-    a letter stay.
+    What it is to reject is text in no language: encoded data, random characters, scripts the labels don't know. The
+    evidence for noise is summed over all of a text's positions and held against one prior, whatever its length; texts
+    in a language with symbols between the words stay. Where nothing is labelled the network can't learn, and documents
+    with a letter stay.
     """
     plain = [f"c{i}" for i in range(len(docs.columns))]  # so that no column is named like a result
     model, text = byte_gru.train(docs, noise=True), plain[docs.columns.index("text")]
