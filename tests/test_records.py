@@ -115,7 +115,7 @@ def test_a_rate_limit_waits_longer(monkeypatch):
         return ["fine"]
 
     monkeypatch.setattr(explaining.time, "sleep", waits.append)
-    assert explaining._ask(explainer, [(1, "{}", 0)], 4, 2.0, 30.0, 1, None) == ["fine"] and waits == [30.0, 2.0, 30.0]
+    assert explaining._ask(explainer, [(1, "{}", 0)], 4, 2.0, 60.0, 1, None) == (["fine"], 4) and waits == [60.0, 2.0, 60.0]
 
 
 def test_explanations_resume_by_batch(spark, tmp_path):
@@ -133,15 +133,40 @@ def test_explanations_resume_by_batch(spark, tmp_path):
 
         return run
 
-    with pytest.raises(PySparkException):
+    with pytest.raises(RuntimeError, match="1 batches failed, the first is 3: OSError: gone"):
         explaining.explain_resuming(rows, path, explainer("k13"), at_once=1, tries=1)
-    assert spark.read.json(path).count() == 12
+    assert spark.read.json(path).where("explanation is not null").count() == 12
     # the fourth batch was cut short: one row of it is there
-    spark.createDataFrame([("k12", 0, "half", 12, 3, 1)], "row_id string, label int, explanation string, row_no long, batch long, written long").write.mode("append").json(path)
+    asked = explaining.asked_for(rows).first()["asked"]
+    spark.createDataFrame([("k12", 0, "half", 12, asked)], "row_id string, label int, explanation string, row_no long, asked long").write.mode("overwrite").json(f"{path}/batch=3")
     open(calls, "w").close()
     done = explaining.explain_resuming(rows, path, explainer(None), at_once=2)
     assert {r["row_id"]: r["explanation"] for r in done.collect()} == {f"k{i}": f"k{i} told" for i in range(20)}
     assert sorted(open(calls).read().split()) == ["k12", "k16"]
+    # other features under the same rows are asked anew, and only what changed
+    open(calls, "w").close()
+    other = rows.withColumn("features_json", F.when(F.col("row_no") == 5, '{"a": 1}').otherwise("{}"))
+    again = explaining.explain_resuming(other, path, lambda batch: [(explainer(None)(batch), f)[1] for _, f, _ in batch])
+    assert again.count() == 20 and set(open(calls).read().split()) == {"k4"}
+    assert explaining.counters(spark, path).first().asDict() == {"batches": 5, "failed": 0, "calls": 5, "retries": 0, "prompt_tokens": 21, "reply_tokens": 37}
+
+
+def test_many_batches_are_one_job_and_failures_keep_the_rest(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(200).select("id", F.col("id").alias("row_id"), F.lit("a b").alias("features_json"), F.lit(1).alias("label"), F.col("id").alias("row_no"), F.col("id").alias("batch")).drop("id")
+
+    def picky(batch):
+        if batch[0][0] % 50 == 3:
+            raise OSError("no")
+        return ["x y z"] * len(batch)
+
+    with pytest.raises(RuntimeError, match="4 batches failed, the first is 3"):
+        explaining.explain_resuming(rows, path, picky, tries=2, wait=0.0)
+    told = explaining.counters(spark, path).first()
+    assert (told["batches"], told["failed"], told["calls"], told["retries"]) == (200, 4, 204, 4)
+    done = explaining.explain_resuming(rows, path, explaining.template_explainer)
+    assert done.count() == 200 and done.where("explanation = 'x y z'").count() == 196
+    assert explaining.counters(spark, path).first()["failed"] == 0 and spark.read.json(path).count() == 200
 
 
 def test_bad_lines_up_to_a_number(spark, tmp_path):
