@@ -18,7 +18,7 @@ def null_tokens(text: Column, tokens: Sequence[str] = V.NULL_TOKENS) -> Column:
 
 
 def normalise(text: Column, stop: Sequence[str] = V.STOP_WORDS) -> Column:
-    """Lower case, single spaces, without stop words; the text itself if nothing else is left."""
+    """Lower case, single spaces, without stop words; an empty text if nothing else is left."""
     words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\r")), r"\s+")
     return F.array_join(F.filter(words, lambda w: ~w.isin(list(stop)) & (w != "")), " ")
 
@@ -34,9 +34,17 @@ def is_compound(text: Column) -> Column:
 
 
 def compound_parts(text: Column) -> Column:
-    """The parts of a compound text that are long enough, in order, without repeats; a plain text is its own part."""
-    parts = F.transform(F.split(text, "(?i)" + "|".join(V.COMPOUND_SPLITS)), lambda x: F.btrim(x, F.lit(" \t\n\r")))
-    return F.array_distinct(F.filter(parts, lambda x: F.length(x) >= V.SHORTEST_PART))
+    """The parts of a compound text that are long enough, in order, without repeats; a plain text is its own part.
+
+    The separators take their turns: each splits all parts that those before it left.
+    """
+    trim = lambda x: F.btrim(x, F.lit(" \t\n\r"))
+    split = lambda pattern: lambda p: F.split(p, f"(?i){pattern}")
+    parts = F.array(text)
+    for pattern in V.COMPOUND_SPLITS:
+        pieces = F.transform(parts, split(pattern))
+        parts = F.flatten(F.transform(pieces, lambda p: F.when(F.size(p) > 1, F.transform(p, trim)).otherwise(p)))
+    return F.array_distinct(F.filter(F.transform(parts, trim), lambda x: F.length(x) >= V.SHORTEST_PART))
 
 
 def mechanism(text: Column) -> Column:

@@ -6,7 +6,8 @@ one to apply, without a shuffle of rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numeric import number
 from ..spec import FeatureSpec
+from ..sources.tables import materialize
 from .cumulative import quantiles
 
 NUMERIC = ("continuous", "ordinal")
+#: How missing values of each kind are filled: median, mean, mode, zero or empty_string; and the types that casts give.
+IMPUTATION = {"continuous": "median", "ordinal": "median", "binary": "mode", "categorical": "empty_string"}
 
 
 def standardise_nulls(df: DataFrame) -> DataFrame:
@@ -62,6 +66,7 @@ class CleaningModel:
 
     specs: tuple[FeatureSpec, ...]
     values: dict[str, float | str]
+    casts: Mapping[str, str] = field(default_factory=dict)
 
     def impute(self, df: DataFrame) -> DataFrame:
         filled = {s.name: F.coalesce(F.col(s.name), F.lit(self.values[s.name])).alias(s.name) for s in self.specs if s.name in self.values}
@@ -69,7 +74,7 @@ class CleaningModel:
 
     def cast(self, df: DataFrame) -> DataFrame:
         kinds = {s.name: s.kind for s in self.specs}
-        return df.select(*[typed(F.col(c), kinds[c]).alias(c) if c in kinds else F.col(c) for c in df.columns])
+        return df.select(*[(typed(F.col(c), kinds[c]).cast(self.casts[kinds[c]]) if kinds[c] in self.casts else typed(F.col(c), kinds[c])).alias(c) if c in kinds else F.col(c) for c in df.columns])
 
 
 def typed(column: Column, kind: str) -> Column:
@@ -96,16 +101,31 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
     return {r["column"]: r["b"]["value"] for r in best.collect()}  # a row a column
 
 
-def fit(df: DataFrame, specs: list[FeatureSpec]) -> CleaningModel:
-    """Exact median of numeric columns, mode of binary ones (smallest on ties, else 0), empty text for the rest."""
-    numeric, binary = [s.name for s in specs if s.kind in NUMERIC and not s.identifier], [s.name for s in specs if s.kind == "binary" and not s.identifier]
-    values: dict[str, float | str] = {s.name: "" for s in specs if s.kind == "categorical" and not s.identifier}
-    values |= {c: (q[0] if q else 0.0) for c, q in quantiles(df, numeric, [0.5]).items()}
-    return CleaningModel(tuple(specs), values | dict.fromkeys(binary, "0") | modes(df, binary))
+def fit(df: DataFrame, specs: list[FeatureSpec], imputation: Mapping[str, str] | None = None, casts: Mapping[str, str] | None = None) -> CleaningModel:
+    """What fills missing values, as `IMPUTATION` says for each kind or as asked for; casts may name other types.
 
-
-def clean(df: DataFrame, specs: list[FeatureSpec]) -> tuple[DataFrame, CleaningModel]:
-    """All steps in order; returns the clean table and what was learned."""
-    tidy = missing_flags(coerce(standardise_nulls(df), specs), specs)
-    model = fit(tidy, specs)
+    Medians are exact, modes are the smallest on ties; a column without values gets 0, or an empty text if categorical.
+    """
+    chosen = IMPUTATION | dict(imputation or {})
+    named = {s.name: s.kind for s in specs if not s.identifier}
+    how = {c: chosen[k] for c, k in named.items()}
+    if wrong := sorted({f"{h} of {named[c]}" for c, h in how.items() if h not in ("median", "mean", "mode", "zero", "empty_string") or (h in ("median", "mean") and named[c] not in NUMERIC) or (h == "empty_string" and named[c] in NUMERIC)}):
+        raise ValueError("imputation can't be " + ", ".join(wrong))
+    of = lambda h: [c for c, x in how.items() if x == h]
+    values: dict[str, float | str] = {c: 0.0 if named[c] in NUMERIC else "" if h == "empty_string" or named[c] == "categorical" else "0" for c, h in how.items()}
+    values |= {c: q[0] for c, q in quantiles(df, of("median"), [0.5]).items() if q}
+    if of("mean"):
+        values |= {c: v for c, v in df.agg(*[F.avg(c).alias(c) for c in of("mean")]).first().asDict().items() if v is not None}
+    values |= {c: float(v) if named[c] in NUMERIC else v for c, v in modes(df, of("mode")).items()}
+    values |= {c: 0.0 if named[c] in NUMERIC else "0" for c in of("zero")}
+    return CleaningModel(tuple(specs), values, dict(casts or {}))
+
+
+def clean(df: DataFrame, specs: list[FeatureSpec], imputation: Mapping[str, str] | None = None, casts: Mapping[str, str] | None = None) -> tuple[DataFrame, CleaningModel]:
+    """All steps in order; returns the clean table and what was learned.
+
+    The coerced table is written once, so that what is learned and the result read that and not the raw text again.
+    """
+    tidy = materialize(missing_flags(coerce(standardise_nulls(df), specs), specs), "coerced")
+    model = fit(tidy, specs, imputation, casts)
     return model.cast(model.impute(tidy)), model

@@ -120,13 +120,33 @@ def sorted_rules(rules: Sequence[Rule], by: str = "weight_desc", weight_share: f
     return sorted(rules, key=keys[by], reverse=True)
 
 
-def calibrate(df: DataFrame, rules: Sequence[Rule], label: str, min_support: int = 1) -> list[Rule]:
+def percentile_scan(df: DataFrame, features: Sequence[str], label: str, shares: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90, 0.95)) -> DataFrame:
+    """feature, pos, threshold, tp, fp, precision of the percentiles of each feature, all counted in one pass."""
+    tried = [(c, i, t) for c, ts in quantiles(df, features, shares).items() for i, t in enumerate(sorted(set(ts)))]
+    meets = lambda c, t, y: F.count_if((F.col(c).cast("double") >= F.lit(t)) & ~F.isnan(F.col(c).cast("double")) & (F.col(label) == y))
+    counted = df.agg(*[F.struct(meets(c, t, 1).alias("tp"), meets(c, t, 0).alias("fp")).alias(f"t{n}") for n, (c, _, t) in enumerate(tried)]).first() if tried else ()
+    rows = [(c, i, t, counted[n]["tp"], counted[n]["fp"]) for n, (c, i, t) in enumerate(tried)]
+    scan = df.sparkSession.createDataFrame(rows, "feature string, pos int, threshold double, tp long, fp long")
+    return scan.withColumn("precision", precision(F.col("tp"), F.col("fp")))
+
+
+def calibrate(df: DataFrame, rules: Sequence[Rule], label: str, min_support: int = 1, ties: str = "highest_support", tried: str = "unique_values", levels: Sequence[int] = (1, 2, 3, 4, 5), most: int = 100) -> list[Rule]:
     """Rules with their best thresholds, precision and support: one scan for all numeric ones, one for the others.
 
+    ties: see `TIES`. tried: which thresholds continuous features try, unique_values (`most` of them) or percentiles.
+    levels: what ordinal features try.
+
     What comes to the driver is a row a rule, and for categories the best value of each.
     """
     numeric = {r.feature: r.kind for r in rules if r.kind in ("continuous", "ordinal")}
-    best = {r["feature"]: r for r in best_thresholds(candidates(df, numeric, label), min_support).collect()} if numeric else {}
+    if tried not in ("unique_values", "percentiles"):
+        raise ValueError(f"unknown candidates {tried!r}")
+    scans = []
+    if tried == "percentiles" and (continuous := [c for c, k in numeric.items() if k == "continuous"]):
+        scans.append(percentile_scan(df, continuous, label))
+    if left := {c: k for c, k in numeric.items() if k != "continuous" or tried == "unique_values"}:
+        scans.append(candidates(df, left, label, most, levels))
+    best = {r["feature"]: r for scan in scans for r in best_thresholds(scan, min_support, ties).collect()}
     out = []
     named = sorted({r.feature for r in rules if r.kind == "categorical"})
     counts = {}

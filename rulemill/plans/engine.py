@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import cleaning, combining, encoding, evaluation, explaining, graph, ordering, rules, selection, splitting, triples
 from ..sources import records
+from ..sources.tables import materialize
 from ..spec import KINDS, FeatureSpec, Rule
-from .pipeline import RulePipeline, Workspace
+from .pipeline import Figures, RulePipeline, Tables, Workspace
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,10 @@ class Plan:
     describer, if given, tells about each row before the explainer does, and the explainer reads what it told.
     strategy, order, scoring and voting choose how rules are combined (see `combining.combine`); reply_bounds are the
     least and most characters of an explanation; target_rate weights positives when features are ranked.
+
+    positive_rate, least_rows and train_rows bound what is accepted; imputation and casts are by kind (see
+    `cleaning.fit`); numeric columns with up to most_levels values are ordinal; ties, tried, levels and most_thresholds
+    choose thresholds (see `rules.calibrate`).
     """
 
     specs: Sequence[FeatureSpec]
@@ -48,6 +53,15 @@ class Plan:
     least_precision: float = V.LEAST_RULE_PRECISION
     least_rows: int = 1
     target_rate: float | None = None
+    positive_rate: tuple[float, float] = (0.0, 1.0)
+    train_rows: tuple[float, float] = (1, float("inf"))
+    imputation: Mapping[str, str] = field(default_factory=dict)
+    casts: Mapping[str, str] = field(default_factory=dict)
+    most_levels: int = 10
+    ties: str = "highest_support"
+    tried: str = "unique_values"
+    levels: Sequence[int] = (1, 2, 3, 4, 5)
+    most_thresholds: int = 100
 
 
 def _no_nulls(df: DataFrame, columns: Sequence[str]) -> dict:
@@ -55,52 +69,57 @@ def _no_nulls(df: DataFrame, columns: Sequence[str]) -> dict:
     return {f"nulls_in_{c}": (F.count_if(F.col(c).isNull()), 0.0, 0.0) for c in columns}
 
 
-def _must(checks: DataFrame) -> None:
-    """Raises unless all checks passed."""
-    failed = [f"{r['check']} = {r['observed']}" for r in checks.where("not passed").collect()]
-    if failed:
-        raise ValueError("checks failed: " + ", ".join(failed))
+#: The types that encoded columns of each kind have.
+_TYPES = {"continuous": "double", "ordinal": "int", "binary": "boolean", "categorical": "int", "text": "string"}
 
 
 def stages(raw: DataFrame, plan: Plan) -> dict:
     """Name -> stage. Each stage reads what it needs from the workspace, so a run can resume anywhere."""
 
-    def clean(w: Workspace) -> dict[str, DataFrame]:
+    def clean(w: Workspace) -> Tables:
         lacks = [s.name for s in plan.specs if s.name not in raw.columns]
         if lacks:
             raise ValueError("the raw table lacks " + ", ".join(lacks))
         specs = [s if s.name != plan.key else FeatureSpec(plan.key, identifier=True) for s in plan.specs]
-        rows, _ = cleaning.clean(raw.select(*[s.name for s in specs]), specs)
+        rows, _ = cleaning.clean(raw.select(*[s.name for s in specs]), specs, plan.imputation, plan.casts)
         rows = rows.withColumn(plan.label, F.col(plan.label).cast("int"))
-        _must(splitting.checks(rows, {"rows": (F.count("*"), float(plan.least_rows), float("inf"))} | _no_nulls(rows, [s.name for s in specs])))
-        return {"rows": rows}
-
-    def split(w: Workspace) -> dict[str, DataFrame]:
-        clean = w.load("clean", "rows")
-        rows = splitting.stratified_split(clean, plan.key, plan.label, dict(plan.test_counts), plan.seed)
-        held = clean.agg(F.count("*").alias("n"), F.sum(plan.label).alias("p")).first()
-        conserved = {"rows": (F.count("*"), float(held["n"]), float(held["n"])), "positives": (F.sum(plan.label), float(held["p"]), float(held["p"]))}
+        y = F.col(plan.label)
+        bounds = {"rows": (F.count("*"), float(plan.least_rows), float("inf")), "positive_rate": (F.avg(y), *plan.positive_rate), "labels_out_of_range": (F.count_if(~y.isin(0, 1)), 0.0, 0.0)}
+        return Tables({"rows": rows}, {"rows": bounds | _no_nulls(rows, [s.name for s in specs])})
+
+    def split(w: Workspace) -> Tables:
+        rows = splitting.stratified_split(w.load("clean", "rows"), plan.key, plan.label, dict(plan.test_counts), plan.seed)
+        held, y = w.figures("clean")["rows"], F.col(plan.label)
         rate = plan.test_counts.get(1, 0) / max(1, sum(plan.test_counts.values()))
-        conserved["test_rate"] = (F.avg(F.when(F.col("split") == "test", F.col(plan.label))), rate - 0.001, rate + 0.001)
-        test, y = F.col("split") == "test", F.col(plan.label)
-        wanted = {f"test_rows_of_{v}": (F.count_if(test & (y == v)), float(n), float(n)) for v, n in plan.test_counts.items()}
-        _must(splitting.checks(rows, wanted | conserved | {"labels_out_of_range": (F.count_if(~y.isin(0, 1)), 0.0, 0.0)}))
-        return {"train": rows.where("split = 'train'").drop("split"), "test": rows.where("split = 'test'").drop("split")}
+        test = {f"test_rows_of_{v}": (F.count_if(y == v), float(n), float(n)) for v, n in plan.test_counts.items()} | {"test_rate": (F.avg(y), rate - 0.001, rate + 0.001)}
+        of = lambda name: {f"{name}_rate_seen": (F.avg(y), 0.0, 1.0)}
+
+        def conserved(found: Figures) -> dict[str, tuple[float, float, float]]:
+            n = found["train"]["rows"] + found["test"]["rows"]
+            positives = sum(found[t]["rows"] * found[t]["checks"][f"{t}_rate_seen"] for t in ("train", "test"))
+            p = held["rows"] * held["checks"]["positive_rate"]
+            return {"rows": (n, held["rows"], held["rows"]), "positives": (round(positives), round(p), round(p))}
 
-    def encode(w: Workspace) -> dict[str, DataFrame]:
+        bounds = {"train_rows": (F.count("*"), float(plan.train_rows[0]), float(plan.train_rows[1]))}
+        tables = {t: rows.where(F.col("split") == t).drop("split") for t in ("train", "test")}
+        return Tables(tables, {"train": bounds | of("train"), "test": test | of("test")}, conserved)
+
+    def encode(w: Workspace) -> Tables:
         train, test = w.load("split", "train"), w.load("split", "test")
         inputs = [s.name for s in plan.specs if s.name not in (plan.key, plan.label) and not s.identifier]
         counts = {r["column"]: r["distinct"] for r in encoding.cardinality(train, inputs).collect()}  # a row a column
-        kinds = encoding.column_kinds(train.select(*inputs), counts, plan.kinds)
+        kinds = encoding.column_kinds(train.select(*inputs), counts, plan.kinds, plan.most_levels)
         fitted = encoding.fit_encoding(train, kinds, plan.label, plan.edges)
         named = train.sparkSession.createDataFrame(sorted(kinds.items()), "feature string, kind string")
         encoded = {"train": fitted.apply(train, [plan.key]), "test": fitted.apply(test, [plan.key])}
         if encoded["train"].schema != encoded["test"].schema:
             raise ValueError("train and test differ in their columns once encoded")
-        for df in encoded.values():
-            bins = {f"{c}_bin_out_of_range": (F.count_if(~F.col(f"{c}_bin").between(0, max(0, len(e) - 2))), 0.0, 0.0) for c, e in fitted.edges.items()}
-            _must(splitting.checks(df, _no_nulls(df, df.columns) | bins))
-        return encoded | {"kinds": named, "kind_counts": named.groupBy("kind").agg(F.count("*").alias("n"))}
+        types = dict(encoded["train"].dtypes)
+        if wrong := [f"{c} ({k}) is {types[c]}" for c, k in kinds.items() if types[c] != _TYPES[k]]:
+            raise ValueError("encoded columns have the wrong types: " + ", ".join(wrong))
+        bins = {f"{c}_bin_out_of_range": (F.count_if(~F.col(f"{c}_bin").between(0, max(0, len(e) - 2))), 0.0, 0.0) for c, e in fitted.edges.items()}
+        checks = {t: {f"{t}_{name}": check for name, check in (_no_nulls(df, df.columns) | bins).items()} for t, df in encoded.items()}
+        return Tables(encoded | {"kinds": named, "kind_counts": named.groupBy("kind").agg(F.count("*").alias("n"))}, checks)
 
     def kinds_of(w: Workspace) -> dict[str, str]:
         return {r["feature"]: r["kind"] for r in w.load("encode", "kinds").collect()}  # a row a column
@@ -122,28 +141,30 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
         rows = records.as_records(first, plan.key, features, plan.label, "row_no", "batch")
         return explaining.explain_resuming(rows, f"{w.folder}/{phase}_log", explainer, size=plan.batch_rows, least=plan.reply_bounds[0], most=plan.reply_bounds[1])
 
+    def with_calls(w: Workspace, phase: str, texts: DataFrame) -> dict[str, DataFrame]:
+        return {"texts": texts, "calls": explaining.counters(w.spark, f"{w.folder}/{phase}_log")}
+
     def describe(w: Workspace) -> dict[str, DataFrame]:
-        return {"texts": told(w, "describe", plan.describer, None)}
+        return with_calls(w, "describe", told(w, "describe", plan.describer, None))
 
     def explain(w: Workspace) -> dict[str, DataFrame]:
-        return {"texts": told(w, "explain", plan.explainer, w.load("describe", "texts") if plan.describer else None)}
+        return with_calls(w, "explain", told(w, "explain", plan.explainer, w.load("describe", "texts") if plan.describer else None))
 
-    def build_graph(w: Workspace) -> dict[str, DataFrame]:
+    def build_graph(w: Workspace) -> Tables:
         texts = w.load("explain", "texts").withColumn("text", F.substring("explanation", 1, records.MOST_CHAIN)).where(F.length("text") >= records.LEAST_CHAIN)
         parts = triples.parts(triples.raw_matches(triples.chain_table(texts, "row_id", "text", "label"), "row_id"))
         selected = [r["feature"] for r in w.load("select", "ranked").orderBy("rank").collect()]
         found = triples.first_matches(parts, triples.canonicalise(parts, plan.phrases, plan.keywords, selected), "row_id", "label")
         edges = graph.edges(found, ("row_id", "chain", "prio", "match", "part"))
-        _must(splitting.checks(edges, {"edges": (F.count("*"), 1.0, float("inf"))}))
-        return {"edges": edges, "nodes": graph.nodes(edges)}
+        edges = materialize(edges, "edges")
+        return Tables({"edges": edges, "nodes": graph.nodes(edges)}, {"edges": {"edges": (F.count("*"), 1.0, float("inf"))}})
 
-    def make_rules(w: Workspace) -> dict[str, DataFrame]:
+    def make_rules(w: Workspace) -> Tables:
         kept, skipped = graph.selected_rules(w.load("graph", "edges"), w.load("select", "ranked").select("feature"), plan.top_edges)
         made = graph.rule_templates(kept, kinds_of(w))
         fields = ["rule_id", "feature", "feature_type", "outcome", "weight", "condition_template", "mechanisms"]
         kinds = {"unsupported_kinds": (F.count_if(~F.col("feature_type").isin([*KINDS, "text"])), 0.0, 0.0)}
-        _must(splitting.checks(made, _no_nulls(made, fields) | kinds))
-        return {"templates": made, "skipped": skipped}
+        return Tables({"templates": made, "skipped": skipped}, {"templates": _no_nulls(made, fields) | kinds})
 
     def templates(w: Workspace) -> list[Rule]:
         kind = {"text": "categorical"}
@@ -151,7 +172,7 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
 
     def calibrate(w: Workspace) -> dict[str, DataFrame]:
         train = w.load("select", "train")
-        found = rules.calibrate(train, templates(w), plan.label)
+        found = rules.calibrate(train, templates(w), plan.label, ties=plan.ties, tried=plan.tried, levels=plan.levels, most=plan.most_thresholds)
         return {"rules": combining.combine(train, found, plan.label, plan.strategy, plan.order, plan.scoring, plan.voting, plan.least_precision)}
 
     def evaluate(w: Workspace) -> dict[str, DataFrame]:

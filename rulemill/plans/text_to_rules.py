@@ -26,7 +26,11 @@ def _normal(c: str) -> str:
 
 def _compound(c: str) -> str:
     marks = " OR ".join(f"contains(lower({c}), '{m}')" for m in V.COMPOUND_MARKS)
-    split = f"list_filter(list_transform(regexp_split_to_array({c}, '(?i){'|'.join(V.COMPOUND_SPLITS)}'), lambda x: trim(x, {_WS})), lambda x: length(x) >= {V.SHORTEST_PART})"
+    parts = f"[{c}]"
+    for p in V.COMPOUND_SPLITS:
+        pieces = f"regexp_split_to_array(p, '(?i){p}')"
+        parts = f"flatten(list_transform({parts}, lambda p: CASE WHEN len({pieces}) > 1 THEN list_transform({pieces}, lambda x: trim(x, {_WS})) ELSE [p] END))"
+    split = f"list_filter(list_transform({parts}, lambda x: trim(x, {_WS})), lambda x: length(x) >= {V.SHORTEST_PART})"
     return f"CASE WHEN {marks} THEN list_filter({split}, lambda x, i: list_position({split}, x) = i) ELSE [{c}] END"
 
 
@@ -42,7 +46,7 @@ def chain_split(spark: SparkSession, d: str) -> DataFrame:
     return _chains(spark, d).select("id", F.col("chain").alias("pos"), "piece")
 
 
-_JOINED = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' and ' WHEN 1 THEN ' ,' WHEN 2 THEN ' Plus ' ELSE ' ' END, p_brand)"
+_JOINED = "concat(p_name, CASE p_partkey % 7 WHEN 0 THEN ' and ' WHEN 1 THEN ' ,' WHEN 2 THEN ' Plus ' WHEN 3 THEN ', and ' WHEN 4 THEN ' with and ' WHEN 5 THEN ' and with ' ELSE ' ' END, p_brand)"
 
 
 @query(f"SELECT id, CAST(unnest(range(0, len(l))) AS INT) AS pos, unnest(l) AS piece FROM (SELECT id, {_compound('t')} AS l FROM (SELECT p_partkey AS id, {_JOINED} AS t FROM part))")

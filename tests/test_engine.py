@@ -80,3 +80,37 @@ def test_checks_stop_the_run(spark, tmp_path):
     assert "rows = 150" in errors(raw, plan(least_rows=1000), "b")
     assert "test_rows_of_1" in errors(raw.withColumn("y", F.lit("0")), plan(), "c")
     assert "too_short" in errors(raw, plan(explainer=lambda batch: ["x"] * len(batch), reply_bounds=(70, 2000)), "d")
+
+
+def test_settings_and_bounds(spark, tmp_path):
+    """Other imputation, casts, levels, candidates and ties; bounds on rates and rows stop the run."""
+    how = {"imputation": {"continuous": "mean", "ordinal": "mode"}, "casts": {"continuous": "double"}, "most_levels": 3, "ties": "lowest_threshold", "tried": "percentiles", "positive_rate": (0.1, 0.5)}
+    p = pipeline(raw_table(spark), plan(**how), str(tmp_path / "a"))
+    assert p.run()["errors"] == []
+    assert dict(p.workspace.load("clean", "rows").dtypes)["years"] == "double"
+    assert {r["feature"]: r["kind"] for r in p.workspace.load("encode", "kinds").collect()}["level"] == "continuous"  # five values are over three
+    assert p.workspace.load("calibrate", "rules").count() >= 1
+    calls = p.workspace.load("explain", "calls").first()
+    assert (calls["batches"], calls["calls"], calls["retries"]) == (5, 5, 0) and calls["reply_tokens"] > 0
+    assert p.workspace.figures("clean")["rows"]["rows"] == 600
+    # a reset of the explanations deletes their log too
+    p.workspace.reset("explain", delete=True)
+    assert not (tmp_path / "a" / "explain_log").exists() and "rules" not in p.workspace.done() and "select" in p.workspace.done()
+    error = lambda where, **how: pipeline(raw_table(spark), plan(**how), str(tmp_path / where)).run(["clean", "split"])["errors"][0]
+    assert "positive_rate = " in error("b", positive_rate=(0.9, 1.0))
+    assert "train_rows = 500" in error("c", train_rows=(7000, 9000))
+    assert "imputation can't be median of binary" in error("d", imputation={"binary": "median"})
+
+
+def test_the_raw_table_is_read_once(spark, tmp_path):
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            scans.add(len(f))
+            yield f
+
+    raw = raw_table(spark, 300)
+    counted = raw.mapInPandas(seen, raw.schema)
+    assert pipeline(counted, plan(), str(tmp_path / "work")).run(["clean"])["errors"] == []
+    assert scans.value == 300

@@ -229,3 +229,62 @@ def test_pipeline(spark, tmp_path):
     with pytest.raises(KeyError):
         work.load("a", "t")
     assert p.run(["zzz"])["errors"][-1] == "unknown stage zzz"
+
+
+def test_a_reset_takes_along_what_read_it(spark, tmp_path):
+    """A stage is done while what it read is what it was: reset, run again with other rows, or with the same ones."""
+    size, ran = [1], []
+
+    def a(w):
+        ran.append("a")
+        return {"t": spark.range(size[0])}
+
+    def b(w):
+        ran.append("b")
+        return {"t": w.load("a", "t").withColumn("twice", F.col("id") * 2)}
+
+    def c(w):
+        ran.append("c")
+        return {"t": w.load("b", "t").agg(F.sum("twice").alias("s"))}
+
+    work = Workspace(spark, str(tmp_path / "work"))
+    p = RulePipeline(work, {"a": a, "b": b, "c": c, "alone": lambda w: {"t": spark.range(3)}})
+    assert p.run()["pending"] == []
+    assert {(r["stage"], r["same"]) for r in work.audit(p.stages).collect()} == {(s, True) for s in ("a", "b", "c", "alone")}
+    size[0] = 5
+    assert {r["stage"] for r in work.audit(p.stages).where("not same").collect()} == {"a"}
+    ran.clear()
+    work.reset("a", delete=True)
+    assert work.done() == {"alone": ["t"]}
+    with pytest.raises(KeyError):
+        work.load("b", "t")
+    assert p.run()["pending"] == [] and ran == ["a", "b", "c"]
+    assert work.load("b", "t").count() == 5 and work.load("c", "t").first()["s"] == 20
+    # the same rows again: what read them still holds
+    ran.clear()
+    work.reset("a", delete=True)
+    assert p.run()["pending"] == [] and ran == ["a"]
+    # one stage alone runs again with other rows: what read it is undone
+    size[0] = 2
+    assert p.run(["a"], resume=False)["pending"] == ["b", "c"]
+
+
+def test_checks_are_observed_while_a_table_is_written(spark, tmp_path):
+    from rulemill.plans.pipeline import Tables
+
+    work, scans = Workspace(spark, str(tmp_path / "work")), spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            scans.add(len(f))
+            yield f
+
+    rows = spark.range(50).withColumn("v", F.when(F.col("id") > 4, F.col("id"))).mapInPandas(seen, "id long, v long")
+    checks = {"t": {"least": (F.min("v"), 5.0, 5.0), "rows": (F.count("*"), 1.0, 60.0)}}
+    work.save("a", Tables({"t": rows}, checks, lambda f: {"double": (2 * f["t"]["rows"], 100, 100)}))
+    assert scans.value == 50 and work.figures("a")["t"] == {"rows": 50, "nulls": {"id": 0, "v": 5}, "checks": {"least": 5.0, "rows": 50.0}}
+    with pytest.raises(ValueError, match="least = 5.0, double = 100"):
+        work.save("b", Tables({"t": rows}, {"t": {"least": (F.min("v"), 6.0, 9.0)}}, lambda f: {"double": (2 * f["t"]["rows"], 0, 10)}))
+    assert list(work.done()) == ["a"]
+    work.save("none", Tables({"t": rows.limit(0)}, {"t": {"rows": (F.count("*"), 0.0, 0.0)}}))
+    assert work.figures("none")["t"]["rows"] == 0

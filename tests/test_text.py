@@ -38,6 +38,8 @@ def test_small_functions(spark):
     assert values(spark, ["  The HIGH  level\tof skill ", "of the", None], T.normalise) == ["level skill", "", None]
     assert values(spark, ["I am 80% confident", "1 confidence", "(40% certainty)", "nothing", "250% confident"], T.confidence) == [0.8, 1.0, 0.4, None, 1.0]
     assert values(spark, ["a; b ;; ;c", "", None], T.chains) == [["a", "b", "c"], [], None]
+    # separators take their turns, so that one that a former one left without its blank stays
+    assert values(spark, ["a team, and press coverage", "education with and leadership", "first and with second"], T.compound_parts) == [["a team", "press coverage"], ["education with", "leadership"], ["first", "with second"]]
     assert values(spark, ["alpha and beta, gamma plus of AND delta"], T.compound_parts) == [["alpha", "beta", "gamma", "delta"]]
     assert values(spark, [" . x? !", "y" * 600], T.mechanism) == ["x", "y" * 500]
     y = lambda label: lambda c: T.semantic_outcome(c, F.lit(label))
