@@ -51,6 +51,17 @@ def kinds_by_name(names: Sequence[str], overrides: Mapping[str, str] | None = No
     return {n: (overrides or {}).get(n) or by_name(n) for n in names}
 
 
+def kind_by_name(name: Column) -> Column:
+    """The kind that the name of a feature says, as in `kinds_by_name`."""
+    says = lambda parts: F.greatest(*[F.lower(name).contains(p).cast("int") for p in parts]) == 1
+    return F.when(says(V.CONTINUOUS_NAMES), "continuous").when(says(V.BINARY_NAMES), "binary").otherwise("ordinal")
+
+
+def kind_counts(kinds: DataFrame) -> DataFrame:
+    """kind, n of the columns (feature, kind)."""
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def edges_of(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> dict[str, list[float]]:
     """Distinct exact quantiles of each column, the last one replaced by infinity; all columns at once."""
     return {c: [*sorted(set(found))[:-1], float("inf")] for c, found in quantiles(df, columns, shares).items()}

@@ -135,8 +135,12 @@ def explain_resuming(records: DataFrame, path: str, explainer: Explainer = templ
 
 def counters(spark: SparkSession, path: str, batch: str = "batch") -> DataFrame:
     """batches, failed, calls, retries, prompt_tokens, reply_tokens of the log of replies at path."""
-    schema = f"`{batch}` long, explanation string, calls long, prompt_tokens long, reply_tokens long, error string"
-    one = _stored(spark, path, schema).groupBy(batch).agg(F.max("calls").alias("calls"), F.bool_or(F.col("error").isNotNull()).alias("failed"), F.sum("prompt_tokens").alias("p"), F.sum("reply_tokens").alias("r"))
+    return counted(_stored(spark, path, f"`{batch}` long, explanation string, calls long, prompt_tokens long, reply_tokens long, error string"), batch)
+
+
+def counted(told: DataFrame, batch: str = "batch") -> DataFrame:
+    """batches, failed, calls, retries, prompt_tokens, reply_tokens of counted explanations."""
+    one = told.groupBy(batch).agg(F.max("calls").alias("calls"), F.bool_or(F.col("error").isNotNull()).alias("failed"), F.sum("prompt_tokens").alias("p"), F.sum("reply_tokens").alias("r"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     # a failed batch had no reply, so all of its calls but the first were retries too
     return one.agg(F.count("*").alias("batches"), F.count_if("failed").alias("failed"), total("calls").alias("calls"), total(F.col("calls") - 1).alias("retries"), total("p").alias("prompt_tokens"), total("r").alias("reply_tokens"))

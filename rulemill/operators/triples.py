@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -59,12 +59,37 @@ def map_exact(fragments: DataFrame, phrases: DataFrame) -> DataFrame:
     return fragments.join(F.broadcast(phrases), F.col("norm") == F.col("phrase"))
 
 
+#: Phrases and keywords with up to so many characters in all are broadcast, and so is the index of their substrings if
+#: it has up to so many rows; beyond that Spark chooses the join.
+_BROADCAST = 100_000
+
+
+def _substrings(text: Column, lengths: Column) -> Column:
+    """The distinct substrings of a text that have one of these lengths (an array of numbers)."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n >= 1) & (n <= F.length(text))), of)))
+
+
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= _BROADCAST else df
+
+
 def map_containment(fragments: DataFrame, phrases: DataFrame, least: float = V.CONTAINMENT) -> DataFrame:
-    """fragments with the feature of the phrase that covers most, containing or contained; ties to the first phrase."""
+    """fragments with the feature of the phrase that covers most, containing or contained; ties to the first phrase.
+
+    Joins by value: a fragment's substrings at the lengths that phrases have meet the phrases, and the phrases'
+    substrings meet the fragments. Only substrings that cover more than `least` are made.
+    """
     norm, phrase = F.col("norm"), F.col("phrase")
     a, b = F.length(norm), F.length(phrase)
-    cover = F.when(norm.contains(phrase), b / F.greatest(a, F.lit(1))).when(phrase.contains(norm), a / F.greatest(b, F.lit(1)))
-    found = fragments.join(F.broadcast(phrases), norm.contains(phrase) | phrase.contains(norm)).withColumn("score", cover.cast("double"))
+    facts = phrases.agg(F.coalesce(F.collect_set(b), F.array().cast("array<int>")).alias("lengths"), F.coalesce(F.sum(b), F.lit(0)).alias("n"), F.coalesce(F.sum(b * b), F.lit(0)).alias("squares")).first()
+    covers = F.filter(F.array(*[F.lit(n) for n in sorted(facts["lengths"])]).cast("array<int>"), lambda n: n > a * F.lit(least))
+    cut = fragments.select("*", F.explode(_substrings(norm, covers)).alias("_s"))
+    inside = cut.join(_small(phrases, facts["n"]), F.col("_s") == phrase).withColumn("score", (b / a).cast("double"))
+    enough = F.sequence(F.greatest(F.lit(1), F.floor(b * F.lit(least)).cast("int")), F.greatest(F.lit(1), b))
+    index = phrases.where(b > 0).select("*", F.explode(_substrings(phrase, enough)).alias("_s"))
+    around = fragments.join(_small(index, facts["squares"]), norm == F.col("_s")).withColumn("score", (a / b).cast("double"))
+    found = inside.drop("_s").unionByName(around.drop("_s"))
     best = Window.partitionBy("norm").orderBy(F.desc("score"), "pos")
     return found.where(F.col("score") > least).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
@@ -73,13 +98,16 @@ def keyword_scores(fragments: DataFrame, keywords: Mapping[str, Sequence[str]],
     """norm, pos, feature, score of every feature with a keyword in the fragment.
 
     The share of keywords found, times 1.5 (1 at most) if more than one is; blended 9 : 1 with the similarity to the
-    feature's name if asked for.
+    feature's name if asked for. Substrings at the lengths that keywords have meet them by value.
     """
-    importable(fragments.sparkSession)
-    kind = "array<struct<pos:int,feature:string,hits:int,size:int>>"
+    spark = importable(fragments.sparkSession)
     norm = F.col("norm")
-    each = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("feature"), sum((norm.contains(k).cast("int") for k in ks), F.lit(0)).alias("hits"), F.lit(len(ks)).alias("size")) for i, (f, ks) in enumerate(keywords.items())]).cast(kind)
-    found = fragments.select("norm", F.explode(F.filter(each, lambda x: x["hits"] > 0)).alias("k")).select("norm", "k.*")
+    rows = [(k, i, f, len(ks)) for i, (f, ks) in enumerate(keywords.items()) for k in ks]
+    table = spark.createDataFrame(rows, "keyword string, pos int, feature string, size int")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(k) for k, *_ in rows if k})]).cast("array<int>")
+    cut = fragments.select("norm", F.explode(F.concat(_substrings(norm, lengths), F.array(F.lit("")))).alias("_s"))
+    met = cut.join(_small(table, sum(len(k) + 1 for k, *_ in rows)), F.col("_s") == F.col("keyword"))
+    found = met.groupBy("norm", "pos", "feature", "size").agg(F.count("*").alias("hits"))
     share = F.col("hits") / F.col("size")
     score = F.when(F.col("hits") > 1, F.least(F.lit(1.0), share * 1.5)).otherwise(share)
     if blend:
@@ -92,17 +120,43 @@ def map_keywords(fragments: DataFrame, keywords: Mapping[str, Sequence[str]], le
     return keyword_scores(fragments, keywords, blend).withColumn("_r", F.row_number().over(best)).where((F.col("_r") == 1) & (F.col("score") >= least)).drop("_r")
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of a to z, 0 to 9 and blank stands in a text, and all else together."""
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789 "
+    each = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in signs]
+    return F.array(*each, F.length(F.translate(text, signs, "")))
+
+
+def similarity_bound(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+    """What the sequence similarity of two texts can't exceed: twice their common letters by both lengths."""
+    common = F.aggregate(F.zip_with(of_a, of_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * common / (F.length(a) + F.length(b)))
+
+
+def fuzzy_pairs(fragments: DataFrame, selected: DataFrame, least: float) -> DataFrame:
+    """Pairs of fragments and selected names of which neither contains the other and that may be similar enough.
+
+    Letters are counted once a fragment and once a name.
+    """
+    norm, name = F.col("norm"), F.col("feature")
+    some = fragments.select("*", letter_counts(norm).alias("_of_norm"))
+    names = selected.select("*", letter_counts(name).alias("_of_name"))
+    # every distinct fragment meets every selected name: a short list, given by hand
+    pairs = some.join(F.broadcast(names)).where(~(norm.contains(name) | name.contains(norm)))
+    return pairs.where(similarity_bound(norm, name, F.col("_of_norm"), F.col("_of_name")) >= least - 1e-9).drop("_of_norm", "_of_name")
+
+
 def map_fuzzy(fragments: DataFrame, selected: DataFrame, least: float = V.FUZZY) -> DataFrame:
-    """fragments with the selected name (pos, feature) that is nearest: the share contained, else sequence similarity."""
+    """fragments with the selected name (pos, feature) that is nearest: the share contained, else sequence similarity.
+
+    Only pairs whose letters allow the similarity reach the Python function.
+    """
     importable(fragments.sparkSession)
     norm, name = F.col("norm"), F.col("feature")
     a, b = F.length(norm), F.length(name)
-    # every distinct fragment meets every selected name: a short list, given by hand
-    pairs = fragments.join(F.broadcast(selected))
     held = F.when(norm.contains(name), b / F.greatest(a, F.lit(1))).when(name.contains(norm), a / F.greatest(b, F.lit(1)))
-    inside = norm.contains(name) | name.contains(norm)
-    # only pairs of which neither contains the other reach the Python function
-    found = pairs.where(inside).withColumn("score", held.cast("double")).unionByName(pairs.where(~inside).withColumn("score", T.similarity(norm, name)))
+    inside = fragments.join(F.broadcast(selected)).where(norm.contains(name) | name.contains(norm)).withColumn("score", held.cast("double"))
+    found = inside.unionByName(fuzzy_pairs(fragments, selected, least).withColumn("score", T.similarity(norm, name)))
     best = Window.partitionBy("norm").orderBy(F.desc("score"), "pos")
     return found.where(F.col("score") >= least).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 

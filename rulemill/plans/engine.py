@@ -119,7 +119,7 @@ def stages(raw: DataFrame, plan: Plan) -> dict:
             raise ValueError("encoded columns have the wrong types: " + ", ".join(wrong))
         bins = {f"{c}_bin_out_of_range": (F.count_if(~F.col(f"{c}_bin").between(0, max(0, len(e) - 2))), 0.0, 0.0) for c, e in fitted.edges.items()}
         checks = {t: {f"{t}_{name}": check for name, check in (_no_nulls(df, df.columns) | bins).items()} for t, df in encoded.items()}
-        return Tables(encoded | {"kinds": named, "kind_counts": named.groupBy("kind").agg(F.count("*").alias("n"))}, checks)
+        return Tables(encoded | {"kinds": named, "kind_counts": encoding.kind_counts(named)}, checks)
 
     def kinds_of(w: Workspace) -> dict[str, str]:
         return {r["feature"]: r["kind"] for r in w.load("encode", "kinds").collect()}  # a row a column

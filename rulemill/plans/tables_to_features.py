@@ -135,6 +135,9 @@ _CHECKS = {
     "test_rows": ("count(*) FILTER (WHERE split = 'test')", 1000, 1000),
     "test_positives": ("count(*) FILTER (WHERE split = 'test' AND label = 1)", 100, 100),
     "null_keys": ("count(*) FILTER (WHERE row_id IS NULL)", 0, 0),
+    "positive_rate": ("avg(label)", 0.08, 0.12),
+    "negatives": ("count(*) FILTER (WHERE label = 0)", 900, 1e18),
+    "train_rows": ("count(*) FILTER (WHERE split = 'train')", 7000, 9000),
 }
 
 
@@ -142,7 +145,7 @@ _CHECKS = {
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
     rows = stratified_split(spark, d)
     test, label = F.col("split") == "test", F.col("label")
-    seen = {"rows": F.count("*"), "labels_in_range": F.count_if(~label.isin(0, 1)), "positives": F.count_if(label == 1), "test_rows": F.count_if(test), "test_positives": F.count_if(test & (label == 1)), "null_keys": F.count_if(F.col("row_id").isNull())}
+    seen = {"rows": F.count("*"), "labels_in_range": F.count_if(~label.isin(0, 1)), "positives": F.count_if(label == 1), "test_rows": F.count_if(test), "test_positives": F.count_if(test & (label == 1)), "null_keys": F.count_if(F.col("row_id").isNull()), "positive_rate": F.avg("label"), "negatives": F.count_if(label == 0), "train_rows": F.count_if(~test)}
     return splitting.checks(rows, {k: (seen[k], float(lo), float(hi)) for k, (_, lo, hi) in _CHECKS.items()})
 
 
@@ -179,6 +182,29 @@ def feature_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(kinds.items()), "column string, kind string")
 
 
+@query(
+    "SELECT kind, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT CASE WHEN count(DISTINCT {c}) <= 10 THEN 'ordinal' ELSE 'continuous' END AS kind FROM items" for c in _ITEM_COLUMNS[:4])
+    + " UNION ALL SELECT 'binary' UNION ALL SELECT 'categorical') GROUP BY 1",
+    ("items",),
+)
+def kind_counts(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.kind_counts(feature_types(spark, d))
+
+
+#: Names of features, made of parts' names and of what names say about kinds.
+_NAMES = "concat(lower(replace(p_name, ' ', '_')), CASE p_partkey % 5 WHEN 0 THEN '_count' WHEN 1 THEN '_Roles' WHEN 2 THEN '_leadership' WHEN 3 THEN '_COMPANY_number' ELSE '' END)"
+
+
+def _named(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(name), '{w}')" for w in words)
+
+
+@query(f"SELECT name, CASE WHEN {_named(V.CONTINUOUS_NAMES)} THEN 'continuous' WHEN {_named(V.BINARY_NAMES)} THEN 'binary' ELSE 'ordinal' END AS kind, count(*) AS n FROM (SELECT {_NAMES} AS name FROM part) GROUP BY 1, 2")
+def name_kinds(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.expr(_NAMES).alias("name"))
+    return names.groupBy("name", encoding.kind_by_name(F.col("name")).alias("kind")).agg(F.count("*").alias("n"))
+
+
 _EDGES = [0.0, 20000.0, 40000.0, 60000.0, 80000.0, float("inf")]
 
 

@@ -343,6 +343,17 @@ def explain_batches(spark: SparkSession, d: str) -> DataFrame:
     return explaining.explain(feature_records(spark, d))
 
 
+@query(
+    """, r AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 30 AS batch, len(list_filter(regexp_split_to_array(CAST(to_json(struct_pack(lang := lang, source := source, n_chars := n_chars, is_long := is_long)) AS VARCHAR), '\\s+'), lambda w: w <> '')) AS words FROM docs)
+    SELECT CAST(count(DISTINCT batch) AS BIGINT) AS batches, CAST(0 AS BIGINT) AS failed, CAST(count(DISTINCT batch) AS BIGINT) AS calls, CAST(0 AS BIGINT) AS retries, CAST(sum(words) AS BIGINT) AS prompt_tokens, CAST(sum(words + 6) AS BIGINT) AS reply_tokens FROM r""",
+    ("docs",),
+)
+def explain_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Calls, retries and words of explanations of all documents in batches of 30, by the template."""
+    numbered = ordering.batches(ordering.number_rows(feature_records(spark, d), "row_id"), 30, None)
+    return explaining.counted(explaining.explain(numbered, batch="batch", keep=("batch",), counted=True))
+
+
 @query("SELECT doc_id AS row_id, label, text AS explanation, n_chars FROM docs", ("docs",))
 def explain_join(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "docs")

@@ -87,3 +87,61 @@ def test_edge_table(spark):
     row = graph.edge_table(edges).first()
     assert len(row["mechanisms"]) == 1003 and row["confidence_avg"] == "0.50" and row["confidence_sum"] == ""
     assert graph.dot(edges).first()["line"] == '"a" -> "success" [penwidth=4];'
+
+
+def _random_texts(n, seed, letters="abc d"):
+    import random
+
+    rng = random.Random(seed)
+    return sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(n)})
+
+
+def test_containment_by_value_equals_all_pairs(spark, monkeypatch):
+    norms, phrases = _random_texts(150, 1) + ["long text with a phrase inside of it"], _random_texts(80, 2)
+    fragments = spark.createDataFrame([(t,) for t in norms], "norm string")
+    table = spark.createDataFrame([(i, p, f"f{i}") for i, p in enumerate(phrases)], "pos int, phrase string, feature string")
+    want = {}
+    for t in norms:
+        scored = [(-(len(p) / max(len(t), 1) if p in t else len(t) / max(len(p), 1)), i) for i, p in enumerate(phrases) if p in t or t in p]
+        if scored and -min(scored)[0] > V.CONTAINMENT:
+            want[t] = f"f{min(scored)[1]}", -min(scored)[0]
+    for most in (100_000, 0):
+        monkeypatch.setattr(triples, "_BROADCAST", most)
+        got = triples.map_containment(fragments, table)
+        assert {r["norm"]: (r["feature"], r["score"]) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # many phrases
+    many = spark.range(10_000).select(F.col("id").cast("int").alias("pos"), F.format_string("phrase number %05d", "id").alias("phrase"), F.format_string("f%d", "id").alias("feature"))
+    texts = spark.createDataFrame([("the phrase number 00042 here",), ("number 0777",), ("nothing",)], "norm string")
+    assert {r["norm"]: r["feature"] for r in triples.map_containment(texts, many).collect()} == {"the phrase number 00042 here": "f42", "number 0777": "f7770"}
+
+
+def test_keywords_by_value_equal_contains(spark):
+    norms = _random_texts(150, 3)
+    keywords = {"x": ["a", "ab", "ab"], "y": ["d", "c b"], "z": [""]}
+    got = {(r["norm"], r["feature"]): r["score"] for r in triples.keyword_scores(spark.createDataFrame([(t,) for t in norms], "norm string"), keywords, blend=False).collect()}
+    want = {}
+    for t in norms:
+        for f, ks in keywords.items():
+            if hits := sum(k in t for k in ks):
+                want[t, f] = min(1.0, hits / len(ks) * 1.5) if hits > 1 else hits / len(ks)
+    assert got == pytest.approx(want)
+
+
+def test_letters_bound_the_similarity(spark):
+    from difflib import SequenceMatcher
+
+    norms, names = _random_texts(120, 4, "abcdefghij kß"), [t for t in _random_texts(25, 5, "abcdefghij kß") if t]
+    fragments = spark.createDataFrame([(t,) for t in norms], "norm string")
+    selected = spark.createDataFrame(list(enumerate(names)), "pos int, feature string")
+    pairs = {(r["norm"], r["feature"]) for r in triples.fuzzy_pairs(fragments, selected, 0.6).collect()}
+    apart = {(a, b) for a in norms for b in names if a not in b and b not in a}
+    assert pairs <= apart and all((a, b) in pairs for a, b in apart if SequenceMatcher(None, a, b).ratio() >= 0.6)
+    assert len(pairs) < 0.35 * len(apart)  # the share that Python sees
+    want = {}
+    for a in norms:
+        best = min(((-(len(b) / max(len(a), 1) if b in a else len(a) / len(b) if a in b else SequenceMatcher(None, a, b).ratio()), i) for i, b in enumerate(names)))
+        if -best[0] >= 0.6:
+            want[a] = names[best[1]]
+    assert {r["norm"]: r["feature"] for r in triples.map_fuzzy(fragments, selected, 0.6).collect()} == want
