@@ -38,6 +38,8 @@ SEGMENT, ABREAST, HELD = 128, 4096, 1 << 24
 #: The name of what is no language; the least probability that a position gives a class when evidence is summed; how
 #: much more evidence than the labelled sample's worst window a text needs to be noise; windows that this is taken from.
 NOISE, FLOOR, BEYOND, JUDGED = "und", 1e-3, 2.0, 20_000
+#: Up to so many languages, with a count each, are broadcast.
+BROADCAST = 10_000
 _GATES = ("z", "r", "n")
 
 
@@ -266,7 +268,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     number = {x: i for i, x in enumerate(languages)}
     # twice as many by hash, so that most of the table stays where it is; then exactly the first ones by rank.
     span = 1 << 30
-    drawn = known.join(counts, "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
+    # few languages join by broadcast, since as keys they would bring all texts to few tasks
+    few = F.broadcast(counts) if len(languages) <= BROADCAST else counts
+    drawn = known.join(few, "l").where(F.pmod("h", F.lit(span)) < F.lit(2.0 * each * span) / F.col("n")).select("l", "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
