@@ -263,18 +263,18 @@ class _Path:
     table: np.ndarray  # patterns x inputs
 
 
-def subset_weights(zero: Sequence[float], one: Sequence[float], without: int) -> float:
-    """The sum over subsets of the other inputs, weighted as Shapley's value asks.
+def subset_weights(zero: Sequence[float], one: np.ndarray, without: int) -> np.ndarray:
+    """For each pattern (a row of one) the sum over subsets of the other inputs, weighted as Shapley's value asks.
 
     The polynomial with the factors zero + one * t is extended factor by factor; its coefficient of t^k sums the
     products over subsets of k inputs that are known.
     """
     n = len(zero)
-    p = np.ones(1)
+    p = np.ones((len(one), 1))
     for i in range(n):
         if i != without:
-            p = np.r_[p * zero[i], 0.0] + np.r_[0.0, p * one[i]]
-    return float(sum(c * factorial(k) * factorial(n - 1 - k) for k, c in enumerate(p)) / factorial(n))
+            p = np.pad(p * zero[i], ((0, 0), (0, 1))) + np.pad(p * one[:, i : i + 1], ((0, 0), (1, 0)))
+    return p @ np.array([factorial(k) * factorial(n - 1 - k) / factorial(n) for k in range(n)])
 
 
 def _paths(tree: Tree) -> list[_Path]:
@@ -288,11 +288,9 @@ def _paths(tree: Tree) -> list[_Path]:
             return
         inputs = tuple(dict.fromkeys(f for f, *_ in steps))
         zero = [float(np.prod([s for f, _, _, s in steps if f == i])) for i in inputs]
-        table = np.zeros((2 ** len(inputs), len(inputs)))
-        for pattern in range(len(table)):
-            one = [float(pattern >> i & 1) for i in range(len(inputs))]
-            for i in range(len(inputs)):
-                table[pattern, i] = tree.value[node] * (one[i] - zero[i]) * subset_weights(zero, one, i)
+        one = (np.arange(2 ** len(inputs))[:, None] >> np.arange(len(inputs)) & 1).astype(np.float64)
+        each = [tree.value[node] * (one[:, i] - zero[i]) * subset_weights(zero, one, i) for i in range(len(inputs))]
+        table = np.stack(each, axis=1) if each else np.zeros((1, 0))
         out.append(_Path(inputs, tuple((inputs.index(f), n, left) for f, n, left, _ in steps), table))
 
     walk(0, [])
