@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 
 #: The fit's bounds: sampled documents a language and in all, windows a document, bytes a window.
 SAMPLE_DOCS, SAMPLE_ALL, WINDOWS, WINDOW = 500, 128_000, 8, 64
@@ -328,4 +328,4 @@ def identify(docs: DataFrame, model: ByteGRU, text: str = "text", keep: tuple[st
 
     columns = list(dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(released(run), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, giving Arrow's unused memory back at its end.
+
+    Python workers wait for the next stage, and what they hold adds to the executor's memory meanwhile.
+    """
+
+    def outer(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return outer
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's folder."""
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, prepare
+from .common import free_names, materialize, prepare, released
 
 _SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -138,7 +138,7 @@ def find_repeats(docs: DataFrame, least: int = 10, keep_first: bool = False, key
     # range partitioning reads its input twice, once for the ranges: let that be the hashes, not the texts
     lines = materialize(_rows(docs, key, text), "line-hashes")
     dealt = lines.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    decided = materialize(dealt.mapInArrow(_streamer(least, keep_first), _OUT), "line-runs")
+    decided = materialize(dealt.mapInArrow(released(_streamer(least, keep_first)), _OUT), "line-runs")
     # two rows a partition at most: small enough to broadcast whatever the corpus
     edges = decided.where("what = 'edge'")
     before = Window.partitionBy("h1", "h2").orderBy("part")
@@ -196,7 +196,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
                 got = [_kept(t, k) for t, k in zip(b[text].to_pylist(), b[keep].to_pylist(), strict=True)]
                 yield pa.record_batch([b[key], pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0].encode()).hexdigest() for g in got], pa.string())], names=[key, "n_lines", "n_dropped", "kept_sha256"])
 
-        return joined.mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
+        return joined.mapInArrow(released(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
 
     (joined, keep), names = _with_bitmaps(docs, bitmaps, key, text), docs.columns
 
@@ -205,4 +205,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text
             texts = [t if k is None else _kept(t, k)[0] for t, k in zip(b[text].to_pylist(), b[keep].to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(texts, pa.string()) if n == text else b[n] for n in names], names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(released(cut), docs.schema)

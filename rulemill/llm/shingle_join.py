@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import materialize, prepare, released
 from .long_runs import UNIT, run_links
 from .shingles import fingerprint_of, shingle_hashes
 
@@ -131,7 +131,7 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequ
                     loads += [max(UNIT, len(found))] * (bands + len(masks))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64()), pa.array(loads, pa.int64())], names=["k", "node", "load"])
 
-    keyed = materialize(texts.select("node", "text").mapInArrow(run, "k long, node long, load long"), "text-keys")
+    keyed = materialize(texts.select("node", "text").mapInArrow(released(run), "k long, node long, load long"), "text-keys")
     # keys with the same texts: one of them is verified
     mixed = F.xxhash64("node")
     runs = keyed.groupBy("k").agg(F.count("*").alias("count"), F.sum("load").alias("load"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor(mixed).alias("x")).where("count > 1")
@@ -143,6 +143,6 @@ def near_links(texts: DataFrame, words: int = 5, least: float = 0.8, masks: Sequ
 
     def link(placed: DataFrame) -> DataFrame:
         key = ["k", "c", "d"]
-        return placed.select(*key, "side", "node", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(_linker(words, least), "a long, b long")
+        return placed.select(*key, "side", "node", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(released(_linker(words, least)), "a long, b long")
 
     return run_links(dealt.where("n = 1"), dealt.where("n > 1"), ["k"], "node", link, chunk, attach)
