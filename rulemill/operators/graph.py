@@ -97,3 +97,41 @@ def rule_templates(rules: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
 def dot(edges_: DataFrame) -> DataFrame:
     """line: the graph as Graphviz text, one line an edge, width by weight."""
     return edges_.select(F.format_string('"%s" -> "%s" [penwidth=%d];', "feature", "outcome", F.col("weight") * 2).alias("line"))
+
+
+def layout(edges_: DataFrame, nodes_: DataFrame, rounds: int = 15, seed: int = 42) -> DataFrame:
+    """id, x, y: a force-directed drawing of the graph, around the middle of a square whose side is the root of the number of nodes.
+
+    Edges pull their ends together by the square of the distance; what pushes a node away are the centres of the cells
+    around it, with the weight of their nodes and without itself, so a round costs the nodes and edges, not their pairs.
+    A weak pull to the middle keeps parts together that no edge links, and a small push by name parts what coincides.
+    Moves get smaller from round to round. Positions start from hashes of the names; each round is written. Outcomes,
+    which are few, are the hubs of the graph and join by broadcast.
+    """
+    n = nodes_.count()
+    side, cell = max(1.0, n**0.5), 2.0
+    start = lambda salt: F.pmod(F.xxhash64(F.lit(seed + salt), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0) * side
+    at = materialize(nodes_.select("id", (F.col("node_type") == "outcome").alias("hub"), start(0).alias("x"), start(1).alias("y")), "layout")
+    x, y = F.col("x"), F.col("y")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    for k in range(rounds):
+        placed = at.withColumn("cx", F.floor(x / cell)).withColumn("cy", F.floor(y / cell))
+        cells = placed.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+        near = placed.select("id", "x", "y", F.explode(around).alias("o"), "cx", "cy").select("id", "x", "y", F.col("cx").alias("ox"), F.col("cy").alias("oy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        own = (F.col("ox") == F.col("cx")) & (F.col("oy") == F.col("cy"))
+        less = lambda total, value: total - F.when(own, value).otherwise(0)  # noqa: B023, E731
+        count = less(F.col("n"), F.lit(1))
+        met = near.join(cells, ["cx", "cy"]).where(count > 0).select("id", count.alias("n"), (x - less(F.col("sx"), x) / count).alias("dx"), (y - less(F.col("sy"), y) / count).alias("dy"))
+        apart = F.greatest(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.lit(1e-4))
+        pushed = met.select("id", (F.col("n") * F.col("dx") / apart).alias("fx"), (F.col("n") * F.col("dy") / apart).alias("fy"))
+        ends = edges_.select("feature", "outcome").join(at.where("not hub").select(F.col("id").alias("feature"), x.alias("ax"), y.alias("ay")), "feature")
+        pair = ends.join(F.broadcast(at.where("hub").select(F.col("id").alias("outcome"), x.alias("bx"), y.alias("by"))), "outcome")
+        dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+        far = F.sqrt(dx * dx + dy * dy)
+        pulled = pair.select(F.explode(F.array(F.struct(F.col("feature").alias("id"), (dx * far).alias("fx"), (dy * far).alias("fy")), F.struct(F.col("outcome").alias("id"), (-dx * far).alias("fx"), (-dy * far).alias("fy")))).alias("f")).select("f.*")
+        force = pushed.unionByName(pulled).groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+        size = F.sqrt(F.col("fx") * F.col("fx") + F.col("fy") * F.col("fy"))
+        step = F.when(size > 0, F.least(size, F.lit(side / 4 * (1 - k / rounds))) / size).otherwise(0.0)
+        move = lambda c, f: F.round(F.col(c) + F.coalesce(F.col(f) * step, F.lit(0.0)) + (side / 2 - F.col(c)) * 0.02 + (F.pmod(F.xxhash64(F.lit(f), F.lit(k), "id"), F.lit(1001)) - 500) / 500.0 * (0.1 * (1 - k / rounds)), 6).alias(c)  # noqa: B023, E731
+        at = materialize(at.join(force, "id", "left").select("id", "hub", move("x", "fx"), move("y", "fy")), "layout")
+    return at.select("id", "x", "y")

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import explaining, graph, ordering, triples
 from ..sources import records
+from ..sources.tables import materialize
 from ..streaming import resume
 from .registry import query
 from .virtual import PHRASES, SELECTED, WORDS, load
@@ -252,6 +253,13 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).select(F.col("feature").alias("src"), F.col("outcome").alias("dst"), "weight")
 
 
+@query()
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Where the nodes of the causal graph are drawn."""
+    edges = materialize(_edges(spark, d).select("feature", "outcome"), "layout-edges")
+    return graph.layout(edges, materialize(graph.nodes(edges), "layout-nodes"))
+
+
 @query(
     f"""{_EDGES} SELECT 'edges' AS metric, CAST(count(*) AS DOUBLE) AS value FROM edge UNION ALL SELECT 'total_weight', CAST(sum(weight) AS DOUBLE) FROM edge UNION ALL SELECT 'min_weight', CAST(min(weight) AS DOUBLE) FROM edge
     UNION ALL SELECT 'max_weight', CAST(max(weight) AS DOUBLE) FROM edge UNION ALL SELECT 'avg_weight', round(avg(weight), 6) FROM edge UNION ALL SELECT 'feature_nodes', CAST(count(DISTINCT feature) AS DOUBLE) FROM edge UNION ALL SELECT 'outcome_nodes', 2.0::DOUBLE""",
