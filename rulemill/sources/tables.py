@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,16 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of the paths that aren't there, wherever Spark can reach them; a run can ask before it begins."""
+
+    def there(path: str) -> bool:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+    return [p for p in paths if not there(p)]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back; the copy stays until `remove(spark, run_dir(spark))`."""
     path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -288,3 +288,8 @@ def test_checks_are_observed_while_a_table_is_written(spark, tmp_path):
     assert list(work.done()) == ["a"]
     work.save("none", Tables({"t": rows.limit(0)}, {"t": {"rows": (F.count("*"), 0.0, 0.0)}}))
     assert work.figures("none")["t"]["rows"] == 0
+
+
+def test_missing_paths(spark, tmp_path):
+    (tmp_path / "here").write_text("x")
+    assert tables.missing_paths(spark, [str(tmp_path / "here"), str(tmp_path), str(tmp_path / "gone")]) == [str(tmp_path / "gone")]
