@@ -54,7 +54,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = now
         large = materialize(_large_star(edges, now[0]), "large-stars")
         edges = materialize(_small_star(large, large.count()), "stars")
-    tops = edges.select("v").distinct()
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select(F.col("v").alias("node"), F.col("v").alias("component")))
-    rest = alone.select(F.col("u").alias("node"), F.col("u").alias("component")).join(found.select("node"), "node", "left_anti")
-    return found.unionByName(rest)
+    # in a star each end has one component and the centre is its own; a link to itself counts where a node has no other
+    own = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))
+    ends = edges.select(F.explode(own).alias("end")).select("end.*")
+    return ends.unionByName(alone.select(F.col("u").alias("node"), F.col("u").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -111,3 +111,21 @@ def test_odd_runs(spark):
     long_runs.run_links(none.drop("n"), alone, ["k"], "node", record, 5, pivots=1).collect()
     met = {(x[3], y[3]) for x in seen[1] for y in seen[1] if x[:2] == y[:2]}
     assert met == {(i, j) for i in range(9) for j in range(9)}
+
+
+def test_components_equal_union_of_links(spark):
+    """Chains, stars, links to itself, repeated links and null ends, held against plain merging of sets."""
+    import numpy as np
+
+    from rulemill.llm import components as C
+
+    rng = np.random.default_rng(11)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    pairs += [(2000, 2000 + i) for i in range(60)] + [(5, 5), (3000, 3000), (3000, 3000), (3001, None), (None, None)]
+    least: dict[int, int] = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            x, y = least.setdefault(a, a), least.setdefault(b, b)
+            least = {n: min(x, y) if c in (x, y) else c for n, c in least.items()}
+    got = C.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(least) and {r["node"]: r["component"] for r in got} == least
