@@ -1,9 +1,11 @@
 """Second-order gradient boosting on histograms, and exact Shapley values of its trees.
 
-Inputs become bins once, and the binned rows are written. A level of a tree takes one aggregation: every task adds up
-gradients and hessians by (node, input, bin) for its rows, Spark adds up the tasks' sums, and the driver, which sees
-nodes x inputs x bins numbers whatever the rows, picks the splits. Sums are of whole numbers (gradients in 2^-20), so
-they don't depend on the partitions. Margins are written again every few trees; in between tasks add the new trees'.
+Inputs become bins once. Rows with the same bins, label and weight are alike to all trees, so they are counted, and the
+counts are written: for every tree the rows that it draws, row by row. A level of a tree takes one aggregation of these
+groups: every task adds up gradients and hessians by (node, input, bin), Spark adds up the tasks' sums, and the driver,
+which sees nodes x inputs x bins numbers whatever the rows, picks the splits. Sums are of whole numbers (gradients in
+2^-20), so they don't depend on the partitions. Groups are made again every few trees, with the margins so far; in
+between tasks add the new trees'.
 
 Shapley values follow the paths of a tree: of a leaf, only the inputs on its path count, and the expectation over a
 subset of them is a product of what the row decides (0 or 1) and of the shares in which rows part at the nodes. The
@@ -27,7 +29,10 @@ from ..sources.tables import importable, materialize
 from .cumulative import quantiles
 
 _UNIT = float(2**20)
-_REWRITE = 10
+#: Trees between two countings of groups, and how many of a row's draws one number holds (a multiple of it).
+_REWRITE, _BITS = 10, 60
+#: Values that a task keeps of patterns of bins that it has explained.
+_KNOWN = 1_000_000
 
 
 @dataclass
@@ -78,10 +83,10 @@ class Boosted:
             out[:, i] = np.where(np.isnan(column), 0, 1 + np.searchsorted(cuts, column, "left"))
         return out
 
-    def margins(self, bins: np.ndarray, first: int = 0) -> np.ndarray:
-        """The sum of the trees' values, from tree `first` on."""
+    def margins(self, bins: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The sum of the trees' values, from tree `first` on, up to `last`."""
         out = np.zeros(len(bins))
-        for tree in self.trees[first:]:
+        for tree in self.trees[first:last]:
             out += np.array(tree.value)[tree.nodes_of(bins)]
         return out
 
@@ -101,23 +106,51 @@ def _values(inputs: Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in inputs]).alias("values")
 
 
-def _binned(df: DataFrame, model: Boosted, label: str, weight: str | None) -> DataFrame:
-    """(uid, y, w, margin, bins), written."""
-    width = len(model.inputs)
+def _packed(bins: np.ndarray) -> pa.Array:
+    """Rows of bins as bytes."""
+    rows, width = bins.shape
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(0, (rows + 1) * width * 2, width * 2, np.int32)), pa.py_buffer(np.ascontiguousarray(bins))])
+
+
+def _rows_of(b: pa.RecordBatch, width: int) -> np.ndarray:
+    column = b["bins"].cast(pa.binary())
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint16).reshape(-1, width)
+
+
+def _binned(df: DataFrame, model: Boosted, label: str, weight: str | None, salts: Sequence[int], share: float) -> DataFrame:
+    """(y, w, bins, m0, ...): of the k-th tree, bit k % _BITS of m<k // _BITS> says whether it draws the row."""
+    width, words = len(model.inputs), [salts[i : i + _BITS] for i in range(0, len(salts), _BITS)]
+    names = ["y", "w", "bins", *[f"m{i}" for i in range(len(words))]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                rows = model.bins(_matrix(b["values"], width))
-                yield pa.RecordBatch.from_arrays([b["uid"], b["y"], b["w"], pa.array(np.zeros(b.num_rows)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["uid", "y", "w", "margin", "bins"])
+                uid = b["uid"].to_numpy()
+                drawn = [sum((_drawn(uid, salt, share).astype(np.int64) << k for k, salt in enumerate(word)), np.zeros(len(uid), np.int64)) for word in words]
+                yield pa.RecordBatch.from_arrays([b["y"], b["w"], _packed(model.bins(_matrix(b["values"], width))), *[pa.array(d) for d in drawn]], names=names)
 
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     chosen = df.where(F.col(label).isNotNull()).select(F.monotonically_increasing_id().alias("uid"), F.col(label).cast("double").alias("y"), w.alias("w"), _values(model.inputs))
-    return materialize(chosen.mapInArrow(run, "uid bigint, y double, w double, margin double, bins binary"), "binned")
+    return chosen.mapInArrow(run, ", ".join(["y double, w double, bins binary", *[f"{m} bigint" for m in names[3:]]]))
 
 
-def _rows_of(b: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(b["bins"].to_pylist()), np.uint16).reshape(-1, width)
+def _groups(rows: DataFrame, model: Boosted, first: int, last: int) -> DataFrame:
+    """(y, w, bins, margin, d<k> for trees from first to last): rows that are alike, and how many each tree draws; written."""
+    width = len(model.inputs)
+    drawn = [F.sum(F.getbit(f"m{k // _BITS}", F.lit(k % _BITS)).cast("long")).alias(f"d{k}") for k in range(first, last)]
+    counted = rows.groupBy("y", "w", "bins").agg(F.lit(0.0).alias("margin"), *drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                bins, margin = _rows_of(b, width), np.zeros(b.num_rows)
+                for k in range(0, first, _REWRITE):
+                    margin += model.margins(bins, k, k + _REWRITE)
+                yield b.set_column(3, "margin", pa.array(margin))
+
+    return materialize(counted.mapInArrow(run, counted.schema) if first else counted, "groups")
 
 
 def _drawn(uid: np.ndarray, salt: int, share: float) -> np.ndarray:
@@ -129,8 +162,8 @@ def _drawn(uid: np.ndarray, salt: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < share
 
 
-def _histograms(rows: DataFrame, model: Boosted, first: int, tree: Tree, active: list[int], columns: list[int], salt: int, share: float) -> np.ndarray:
-    """Sums of gradients and hessians: active nodes x inputs x bins x 2, in units. first: the trees that margins lack."""
+def _histograms(groups: DataFrame, model: Boosted, first: int, tree: Tree, active: list[int], columns: list[int]) -> np.ndarray:
+    """Sums of gradients and hessians of the next tree: active nodes x inputs x bins x 2, in units. first: the trees that margins lack."""
     width, depth = len(model.inputs), max(len(c) for c in model.cuts) + 2
     spot = np.full(max(active) + 1, -1)
     spot[active] = np.arange(len(active))
@@ -140,13 +173,13 @@ def _histograms(rows: DataFrame, model: Boosted, first: int, tree: Tree, active:
         for b in batches:
             if not b.num_rows:
                 continue
-            bins, y, w = _rows_of(b, width), b["y"].to_numpy(), b["w"].to_numpy()
+            bins, y, w, n = _rows_of(b, width), b["y"].to_numpy(), b["w"].to_numpy(), b["n"].to_numpy()
             at = tree.nodes_of(bins)
             node = np.where(at < len(spot), spot[np.minimum(at, len(spot) - 1)], -1)
-            use = np.flatnonzero((node >= 0) & _drawn(b["uid"].to_numpy(), salt, share))
+            use = np.flatnonzero((node >= 0) & (n > 0))
             margin = b["margin"].to_numpy()[use] + model.margins(bins[use], first)
             p = 1 / (1 + np.exp(-margin))
-            sums = np.rint(w[use] * (p - y[use]) * _UNIT), np.rint(w[use] * p * (1 - p) * _UNIT)
+            sums = n[use] * np.rint(w[use] * (p - y[use]) * _UNIT), n[use] * np.rint(w[use] * p * (1 - p) * _UNIT)
             for k, c in enumerate(columns):
                 cell = (node[use] * len(columns) + k) * depth + bins[use, c]
                 for s, x in enumerate(sums):
@@ -154,7 +187,8 @@ def _histograms(rows: DataFrame, model: Boosted, first: int, tree: Tree, active:
         cells = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[0, cells]), pa.array(total[1, cells])], names=["cell", "g", "h"])
 
-    sums = rows.mapInArrow(run, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    own = groups.select("y", "w", "bins", "margin", F.col(f"d{len(model.trees)}").alias("n"))
+    sums = own.mapInArrow(run, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     out = np.zeros((len(active) * len(columns) * depth, 2))
     for r in sums.collect():  # nodes x inputs x bins at most
         out[r["cell"]] = r["g"], r["h"]
@@ -203,15 +237,19 @@ def fit(df: DataFrame, inputs: Sequence[str], label: str, weight: str | None = N
     """
     importable(df.sparkSession)
     model = Boosted(tuple(inputs), cut_points(df, inputs, bins))
-    rows = _binned(df, model, label, weight)
-    sizes, written = [len(c) + 1 for c in model.cuts], 0
+    salts = [seed * 1_000_003 + number for number in range(rounds)]
+    rows = _binned(df, model, label, weight, salts, rows_share)
+    if rounds > _REWRITE:
+        rows = materialize(rows, "binned")
+    sizes = [len(c) + 1 for c in model.cuts]
     for number in range(rounds):
-        salt = seed * 1_000_003 + number
-        chosen = sorted(random.Random(salt).sample(range(len(inputs)), max(1, int(columns_share * len(inputs)))))
+        if number % _REWRITE == 0:
+            groups = _groups(rows, model, number, min(rounds, number + _REWRITE))
+        chosen = sorted(random.Random(salts[number]).sample(range(len(inputs)), max(1, int(columns_share * len(inputs)))))
         tree, active = Tree(), [0]
         tree.add(0.0, 0.0)
         for _ in range(depth):
-            sums = _histograms(rows, model, written, tree, active, chosen, salt, rows_share)
+            sums = _histograms(groups, model, number - number % _REWRITE, tree, active, chosen)
             if active == [0]:
                 g, h = sums[0, 0].sum(axis=0)
                 tree.value[0], tree.cover[0] = -g / (h + ridge) * rate, h
@@ -227,23 +265,9 @@ def fit(df: DataFrame, inputs: Sequence[str], label: str, weight: str | None = N
             if not active:
                 break
         model.trees.append(tree)
-        if len(model.trees) - written == _REWRITE and number + 1 < rounds:
-            rows, written = _with_margins(rows, model, written), len(model.trees)
     return model
 
 
-def _with_margins(rows: DataFrame, model: Boosted, first: int) -> DataFrame:
-    width = len(model.inputs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                margin = b["margin"].to_numpy() + model.margins(_rows_of(b, width), first)
-                yield pa.RecordBatch.from_arrays([b["uid"], b["y"], b["w"], pa.array(margin), b["bins"]], names=["uid", "y", "w", "margin", "bins"])
-
-    return materialize(rows.mapInArrow(run, rows.schema), "margins")
-
-
 def importance_by_gain(model: Boosted) -> dict[str, float]:
     """The gain of all splits on each input."""
     out = dict.fromkeys(model.inputs, 0.0)
@@ -331,6 +355,26 @@ class Explainer:
         return out.T
 
 
+class _Known:
+    """Values of patterns of bins that a task has met, as many as fit; rows repeat them where inputs have few bins."""
+
+    def __init__(self, find, inputs: int, values: int):
+        self.find, self.inputs, self.most = find, inputs, _KNOWN // max(1, values)
+        self.at: dict[bytes, int] = {}
+        self.values = np.zeros((0, values))
+
+    def of(self, bins: np.ndarray) -> np.ndarray:
+        size, raw = 2 * self.inputs, np.ascontiguousarray(bins).tobytes()
+        keys = [raw[i : i + size] for i in range(0, len(raw), size)]
+        new = list(dict.fromkeys(k for k in keys if k not in self.at))
+        if new:
+            if len(self.at) + len(new) > self.most:
+                self.at, self.values, new = {}, self.values[:0], list(dict.fromkeys(keys))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.values = np.concatenate([self.values, self.find(np.frombuffer(b"".join(new), np.uint16).reshape(-1, self.inputs))])
+        return self.values[np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))]
+
+
 def shapley_values(df: DataFrame, model: Boosted, keep: Sequence[str] = ()) -> DataFrame:
     """The kept columns, margin, and contributions (an array in the order of the model's inputs) of each row."""
     importable(df.sparkSession)
@@ -339,39 +383,64 @@ def shapley_values(df: DataFrame, model: Boosted, keep: Sequence[str] = ()) -> D
     names = [*[f"k{i}" for i in range(len(keep))], "margin", "contributions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(lambda bins: np.c_[model.margins(bins), explainer.values(bins)], width, width + 1)
         for b in batches:
             if b.num_rows:
-                bins = model.bins(_matrix(b["values"], width))
-                found = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * width + 1, width), pa.int32()), pa.array(explainer.values(bins).ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.margins(bins)), found], names=names)
+                told = known.of(model.bins(_matrix(b["values"], width)))
+                found = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * width + 1, width), pa.int32()), pa.array(told[:, 1:].ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(told[:, 0]), found], names=names)
 
     kinds = [f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names[:-2]]
     return chosen.mapInArrow(run, ", ".join([*kinds, "margin double", "contributions array<double>"])).toDF(*keep, "margin", "contributions")
 
 
-def mean_contributions(df: DataFrame, model: Boosted) -> dict[str, float]:
-    """The mean absolute Shapley value of each input: one pass, sums within each task before they are shuffled."""
+def _patterns(df: DataFrame, model: Boosted, *keep: str) -> DataFrame:
+    """(bins, the columns to keep, n): how many rows are alike."""
     importable(df.sparkSession)
+    width = len(model.inputs)
+    chosen = df.select(_values(model.inputs), *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([_packed(model.bins(_matrix(b["values"], width))), *b.columns[1:]], names=["bins", *keep])
+
+    kinds = [f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep]
+    return chosen.mapInArrow(run, ", ".join(["bins binary", *kinds])).groupBy("bins", *keep).agg(F.count("*").alias("n"))
+
+
+def mean_contributions(df: DataFrame, model: Boosted) -> dict[str, float]:
+    """The mean absolute Shapley value of each input: one pass that counts rows with the same bins, which are explained once."""
     explainer, width = Explainer(model), len(model.inputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = 0, np.zeros(width)
         for b in batches:
             if b.num_rows:
-                total += np.abs(explainer.values(model.bins(_matrix(b["values"], width)))).sum(axis=0)
-                n += b.num_rows
+                alike = b["n"].to_numpy()
+                total += alike @ np.abs(explainer.values(_rows_of(b, width)))
+                n += int(alike.sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total), pa.array([n] * width, pa.int64())], names=["at", "total", "n"])
 
-    sums = df.select(_values(model.inputs)).mapInArrow(run, "at bigint, total double, n bigint").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = _patterns(df, model).mapInArrow(run, "at bigint, total double, n bigint").groupBy("at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     found = {r["at"]: r["total"] / r["n"] for r in sums.collect() if r["n"]}  # a row an input
     return {c: found.get(i, 0.0) for i, c in enumerate(model.inputs)}
 
 
 def accuracy(df: DataFrame, model: Boosted, label: str) -> DataFrame:
     """rows, right, accuracy of the trees on rows with a label."""
-    told = margins(df.where(F.col(label).isNotNull()), model, [label])
-    right = F.count_if((F.col("margin") > 0) == (F.col(label) == 1))
-    return told.agg(F.count("*").alias("rows"), right.alias("right"), F.coalesce(F.try_divide(right, F.count("*")), F.lit(0.0)).alias("accuracy"))
+    width = len(model.inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b["y"], b["n"], pa.array(model.margins(_rows_of(b, width)))], names=["y", "n", "margin"])
+
+    labelled = df.where(F.col(label).isNotNull()).withColumn("_y", F.col(label) == 1)
+    told = _patterns(labelled, model, "_y").select("bins", F.col("_y").alias("y"), "n").mapInArrow(run, "y boolean, n bigint, margin double")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rows, right = total(F.col("n")), total(F.when((F.col("margin") > 0) == F.col("y"), F.col("n")))
+    return told.agg(rows.alias("rows"), right.alias("right"), F.coalesce(F.try_divide(right, rows), F.lit(0.0)).alias("accuracy"))
 
 
 def margins(df: DataFrame, model: Boosted, keep: Sequence[str]) -> DataFrame:

@@ -127,3 +127,23 @@ def test_nothing_to_learn(spark):
         model = boosting.fit(rows, ["a"], "y", rounds=2)
         assert all(t.feature == [-1] for t in model.trees) and boosting.mean_contributions(rows, model) == {"a": 0.0}
         assert selection.root_split(rows, ["a"], "y").collect() == []
+
+
+def test_levels_pass_over_rows_that_are_alike_once(spark, monkeypatch):
+    """Trees see rows with the same bins, label and weight as one group, with the rows drawn of it."""
+    written = []
+    keep = boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    rows = spark.range(20_000).select((F.col("id") % 6).cast("double").alias("a"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    model = boosting.fit(rows, ["a"], "y", rounds=3)
+    assert max(w.count() for w in written) == 6
+    assert 0.78 * 20_000 < model.trees[0].cover[0] / 0.25 < 0.82 * 20_000
+    assert boosting.accuracy(rows, model, "y").first()["accuracy"] == 1.0
+
+
+def test_known_patterns_fit_their_bound(monkeypatch):
+    monkeypatch.setattr(boosting, "_KNOWN", 8)
+    known = boosting._Known(lambda bins: bins.astype(np.float64), 2, 2)
+    for seed in range(5):
+        bins = np.random.default_rng(seed).integers(0, 9, (40, 2)).astype(np.uint16)
+        assert (known.of(bins) == bins).all()
