@@ -147,8 +147,11 @@ class Encoding:
 def fit_encoding(df: DataFrame, kinds: Mapping[str, str], label: str, edges: Mapping[str, Sequence[float]] | None = None) -> Encoding:
     """Learns bins (given edges or quintiles), the values of ordinal columns and the codes of categories, each for all columns at once.
 
-    The values of an ordinal column, a byte in cleaned tables, come to the driver; categories don't.
+    The values of an ordinal column, a byte in cleaned tables, come to the driver; categories don't. What is learned from
+    is written first: it takes several passes, and none is to repeat the joins that df is made of.
     """
+    learn = [c for c, k in kinds.items() if k in ("ordinal", "categorical") or (k == "continuous" and not (edges and c in edges))]
+    df = materialize(df.select(*learn), "encode-input") if learn else df
     continuous = [c for c, k in kinds.items() if k == "continuous"]
     learned = edges_of(df, [c for c in continuous if not (edges and c in edges)])
     cuts = {c: learned[c] if c in learned else list(edges[c]) for c in continuous}

@@ -150,3 +150,18 @@ def test_kinds_by_name_and_bytes(spark):
 def test_modes(spark):
     df = spark.createDataFrame([("b", None), ("a", None), (None, None), ("b", None), ("a", None)], "x string, y string")
     assert cleaning.modes(df, ["x", "y"]) == {"x": "a"} and cleaning.modes(df, []) == {}
+
+
+def test_fit_reads_its_input_once(spark, tmp_path):
+    """An encoding is learned in several passes over a written copy, so that joins before it run once."""
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            passes.add(b.num_rows)
+            yield b
+
+    rows = spark.range(90).select((F.col("id") % 30).cast("double").alias("x"), (F.col("id") % 3).cast("int").alias("o"), F.concat(F.lit("c"), F.col("id") % 4).alias("c"), F.lit(1).alias("y"))
+    fitted = encoding.fit_encoding(rows.mapInArrow(seen, rows.schema), {"x": "continuous", "o": "ordinal", "c": "categorical"}, "y")
+    assert passes.value == 90 and fitted.levels == {"o": [0, 1, 2]} and len(fitted.edges["x"]) == 6
+    assert fitted.apply(rows).select("c").distinct().count() == 4
