@@ -145,3 +145,21 @@ def test_letters_bound_the_similarity(spark):
         if -best[0] >= 0.6:
             want[a] = names[best[1]]
     assert {r["norm"]: r["feature"] for r in triples.map_fuzzy(fragments, selected, 0.6).collect()} == want
+
+
+def test_patterns_tried_once_between_marks_match_as_if_tried_everywhere(spark):
+    rng, words = __import__("random").Random(8), ["→", "→", " → ", "ring", "High ", "Lack of ", "success", "Failure", "better", " leads to ", " resulting in ", " for ", ".", "\n", " ", "a,b", "positive"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    chains = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id int, chain int, piece string")
+    every = [(n, p.replace("(?im)", "(?mi)", 1)) for n, p in V.CHAIN_PATTERNS]  # not known to begin with anything
+    got, want = ([sorted(map(tuple, triples.raw_matches(chains, "id", p, n).collect()))] for p, n in ((V.CHAIN_PATTERNS, V.CHAIN_NEEDS), (every, {})))
+    assert got == want and len(got[0]) > 1000 and {r[3] for r in got[0]} == {n for n, _ in V.CHAIN_PATTERNS}
+
+
+def test_long_chains_without_a_match_cost_their_length(spark):
+    import time
+
+    chains = spark.range(40).select("id", F.lit(0).alias("chain"), F.concat(F.repeat(F.lit("word "), 4000), F.lit("leads to "), F.repeat(F.lit("word "), 4000), F.lit("→ x→ y→ other")).alias("piece"))
+    began = time.monotonic()
+    assert triples.raw_matches(chains, "id", [p for p in V.CHAIN_PATTERNS if p[0] in ("primary", "alternative_1")]).count() == 0
+    assert time.monotonic() - began < 20
