@@ -24,21 +24,31 @@ def coded(df: DataFrame, categorical: Sequence[str]) -> DataFrame:
     return df
 
 
+def learned(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, rounds: int = 100, depth: int = 4, rate: float = 0.1, share: float = 0.8, target_rate: float | None = None, seed: int = 42) -> tuple[DataFrame, boosting.Boosted]:
+    """(rows as the trees see them, the trees). Positives are weighted if asked for; each tree draws a share of the rows and of the columns."""
+    names = [*numeric, *categorical]
+    weight = class_weight(df, label, target_rate).first()["weight"] if target_rate else None
+    rows = coded(df.select(*names, label), categorical).withColumn("_w", F.when(F.col(label) == 1, F.lit(float(weight if weight is not None else 1.0))).otherwise(1.0))
+    return rows, boosting.fit(rows, names, label, "_w", rounds, depth, rate, share, share, seed=seed)
+
+
 def ranked(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, top: int = 25, rounds: int = 100, depth: int = 4, rate: float = 0.1, share: float = 0.8, target_rate: float | None = None, seed: int = 42, measure: str = "contribution") -> tuple[DataFrame, DataFrame]:
     """(feature, rank, importance) of the top features, and (rows, right, accuracy) of the trees on their own rows.
 
     Positives are weighted if asked for. measure: contribution (mean absolute Shapley value of the margin) or gain (of
     all splits). Each tree draws a share of the rows and of the columns.
     """
-    names = [*numeric, *categorical]
-    weight = class_weight(df, label, target_rate).first()["weight"] if target_rate else None
-    rows = coded(df.select(*names, label), categorical).withColumn("_w", F.when(F.col(label) == 1, F.lit(float(weight if weight is not None else 1.0))).otherwise(1.0))
-    model = boosting.fit(rows, names, label, "_w", rounds, depth, rate, share, share, seed=seed)
+    rows, model = learned(df, numeric, categorical, label, rounds, depth, rate, share, target_rate, seed)
     found = boosting.importance_by_gain(model) if measure == "gain" else boosting.mean_contributions(rows, model)
     first = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
     return df.sparkSession.createDataFrame([(f, i + 1, float(g)) for i, (f, g) in enumerate(first)], "feature string, rank int, importance double"), boosting.accuracy(rows, model, label)
 
 
+def training_accuracy(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, **how: object) -> DataFrame:
+    """rows, right, accuracy of the trees on their own rows, without ranking what they learned from; see `learned`."""
+    return boosting.accuracy(*learned(df, numeric, categorical, label, **how), label)
+
+
 def importance(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, **how: object) -> DataFrame:
     """feature, rank, importance of the top features; see `ranked`."""
     return ranked(df, numeric, categorical, label, **how)[0]

@@ -340,4 +340,4 @@ def shapley_values(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def training_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """rows, right, accuracy of boosted trees on the rows that they learned from."""
-    return selection.ranked(load(spark, d, "items"), list(_BOOST), ["state"], "label", rounds=10, target_rate=None)[1]
+    return selection.training_accuracy(load(spark, d, "items"), list(_BOOST), ["state"], "label", rounds=10, target_rate=None)

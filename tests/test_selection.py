@@ -147,3 +147,10 @@ def test_known_patterns_fit_their_bound(monkeypatch):
     for seed in range(5):
         bins = np.random.default_rng(seed).integers(0, 9, (40, 2)).astype(np.uint16)
         assert (known.of(bins) == bins).all()
+
+
+def test_training_accuracy_ranks_nothing(data, monkeypatch):
+    """It is that of `ranked`, without a pass for contributions."""
+    want = selection.ranked(data, ["noise", "sign"], ["c"], "y", rounds=2)[1].first()
+    monkeypatch.setattr(boosting, "mean_contributions", None)
+    assert selection.training_accuracy(data, ["noise", "sign"], ["c"], "y", rounds=2).first() == want
