@@ -1,11 +1,12 @@
 """Second-order gradient boosting on histograms, and exact Shapley values of its trees.
 
 Inputs become bins once. Rows with the same bins, label and weight are alike to all trees, so they are counted, and the
-counts are written: for every tree the rows that it draws, row by row. A level of a tree takes one aggregation of these
-groups: every task adds up gradients and hessians by (node, input, bin), Spark adds up the tasks' sums, and the driver,
-which sees nodes x inputs x bins numbers whatever the rows, picks the splits. Sums are of whole numbers (gradients in
-2^-20), so they don't depend on the partitions. Groups are made again every few trees, with the margins so far; in
-between tasks add the new trees'.
+counts are written: for every tree the rows that it draws, row by row. The groups are kept in blocks, and a level of a
+tree is one stage of tasks over them, without a shuffle or a plan of its own, since levels are many and small: a task
+adds up gradients and hessians by (node, input, bin), and the driver, which sees nodes x inputs x bins numbers of each
+task, or of the square root of many, adds these up and picks the splits. Sums are of whole numbers (gradients in 2^-20),
+so they don't depend on the partitions. Groups are made again every few trees, with the margins so far; in between tasks
+add the new trees'.
 
 Shapley values follow the paths of a tree: of a leaf, only the inputs on its path count, and the expectation over a
 subset of them is a product of what the row decides (0 or 1) and of the shares in which rows part at the nodes. The
@@ -22,7 +23,8 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..sources.tables import importable, materialize
@@ -31,6 +33,8 @@ from .cumulative import quantiles
 _UNIT = float(2**20)
 #: Trees between two countings of groups, and how many of a row's draws one number holds (a multiple of it).
 _REWRITE, _BITS = 10, 60
+#: Tasks that send a level's sums straight to the driver; of more, the square root of their number does.
+_SENDERS = 64
 #: Values that a task keeps of patterns of bins that it has explained.
 _KNOWN = 1_000_000
 
@@ -162,37 +166,54 @@ def _drawn(uid: np.ndarray, salt: int, share: float) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / 2.0**53 < share
 
 
-def _histograms(groups: DataFrame, model: Boosted, first: int, tree: Tree, active: list[int], columns: list[int]) -> np.ndarray:
-    """Sums of gradients and hessians of the next tree: active nodes x inputs x bins x 2, in units. first: the trees that margins lack."""
-    width, depth = len(model.inputs), max(len(c) for c in model.cuts) + 2
-    spot = np.full(max(active) + 1, -1)
-    spot[active] = np.arange(len(active))
+def _blocks(groups: DataFrame, model: Boosted, first: int, last: int) -> RDD:
+    """(groups, bins, y, w, margin, d<first> to d<last - 1>) as bytes, a row a batch of groups; kept, for memory and disk, until the groups change."""
+    drawn = [f"d{k}" for k in range(first, last)]
+    width, names = len(model.inputs), ["groups", "bins", "y", "w", "margin", *drawn]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(active) * len(columns) * depth), np.int64)
         for b in batches:
-            if not b.num_rows:
-                continue
-            bins, y, w, n = _rows_of(b, width), b["y"].to_numpy(), b["w"].to_numpy(), b["n"].to_numpy()
-            at = tree.nodes_of(bins)
-            node = np.where(at < len(spot), spot[np.minimum(at, len(spot) - 1)], -1)
-            use = np.flatnonzero((node >= 0) & (n > 0))
-            margin = b["margin"].to_numpy()[use] + model.margins(bins[use], first)
-            p = 1 / (1 + np.exp(-margin))
-            sums = n[use] * np.rint(w[use] * (p - y[use]) * _UNIT), n[use] * np.rint(w[use] * p * (1 - p) * _UNIT)
-            for k, c in enumerate(columns):
-                cell = (node[use] * len(columns) + k) * depth + bins[use, c]
-                for s, x in enumerate(sums):
-                    total[s] += np.bincount(cell, x, total.shape[1]).astype(np.int64)
-        cells = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[0, cells]), pa.array(total[1, cells])], names=["cell", "g", "h"])
-
-    own = groups.select("y", "w", "bins", "margin", F.col(f"d{len(model.trees)}").alias("n"))
-    sums = own.mapInArrow(run, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    out = np.zeros((len(active) * len(columns) * depth, 2))
-    for r in sums.collect():  # nodes x inputs x bins at most
-        out[r["cell"]] = r["g"], r["h"]
-    return out.reshape(len(active), len(columns), depth, 2) / _UNIT
+            if b.num_rows:
+                parts = [_rows_of(b, width), *[b[c].to_numpy() for c in names[2:]]]
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), *[pa.array([p.tobytes()], pa.binary()) for p in parts]], names=names)
+
+    return groups.mapInArrow(run, ", ".join(["groups bigint", *[f"{c} binary" for c in names[1:]]])).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _histograms(blocks: RDD, model: Boosted, first: int, tree: Tree, active: list[int], columns: list[int]) -> np.ndarray:
+    """Sums of gradients and hessians of the next tree: active nodes x inputs x bins x 2, in units. first: the trees that margins lack.
+
+    One stage of tasks over the kept blocks; their sums, as large as the result, are added up by the driver, or by tasks
+    first where there are many.
+    """
+    width, own = len(model.inputs), f"d{len(model.trees)}"
+    starts = np.cumsum([0, *[len(model.cuts[c]) + 2 for c in columns]])  # the columns' cells side by side
+    cells, since = int(starts[-1]), Boosted(model.inputs, [], model.trees[first:])
+    spot = np.full(max(active) + 1, -1)
+    spot[active] = np.arange(len(active))
+
+    def add(total: np.ndarray, block: Row) -> np.ndarray:
+        bins = np.frombuffer(block["bins"], np.uint16).reshape(block["groups"], width)
+        n = np.frombuffer(block[own], np.int64)
+        at = tree.nodes_of(bins)
+        node = np.where(at < len(spot), spot[np.minimum(at, len(spot) - 1)], -1)
+        use = np.flatnonzero((node >= 0) & (n > 0))
+        bins, n, node = bins[use], n[use], node[use]
+        y, w, margin = (np.frombuffer(block[c], np.float64)[use] for c in ("y", "w", "margin"))
+        p = 1 / (1 + np.exp(-(margin + since.margins(bins))))
+        sums = n * np.rint(w * (p - y) * _UNIT), n * np.rint(w * p * (1 - p) * _UNIT)
+        for k, c in enumerate(columns):
+            cell = node * cells + starts[k] + bins[:, c]
+            for s, x in enumerate(sums):
+                total[s] += np.bincount(cell, x, total.shape[1]).astype(np.int64)
+        return total
+
+    sums = blocks.treeAggregate(np.zeros((2, len(active) * cells), np.int64), add, np.add, 1 if blocks.getNumPartitions() <= _SENDERS else 2)
+    sums = sums.reshape(2, len(active), cells)
+    out = np.zeros((len(active), len(columns), max(len(c) for c in model.cuts) + 2, 2))
+    for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        out[:, k, : b - a] = np.moveaxis(sums[:, :, a:b], 0, 2)
+    return out / _UNIT
 
 
 @dataclass(frozen=True)
@@ -243,13 +264,15 @@ def fit(df: DataFrame, inputs: Sequence[str], label: str, weight: str | None = N
         rows = materialize(rows, "binned")
     sizes = [len(c) + 1 for c in model.cuts]
     for number in range(rounds):
-        if number % _REWRITE == 0:
-            groups = _groups(rows, model, number, min(rounds, number + _REWRITE))
+        first = number - number % _REWRITE
+        if number == first:
+            last = min(rounds, first + _REWRITE)
+            blocks = _blocks(_groups(rows, model, first, last), model, first, last)
         chosen = sorted(random.Random(salts[number]).sample(range(len(inputs)), max(1, int(columns_share * len(inputs)))))
         tree, active = Tree(), [0]
         tree.add(0.0, 0.0)
         for _ in range(depth):
-            sums = _histograms(groups, model, number - number % _REWRITE, tree, active, chosen)
+            sums = _histograms(blocks, model, first, tree, active, chosen)
             if active == [0]:
                 g, h = sums[0, 0].sum(axis=0)
                 tree.value[0], tree.cover[0] = -g / (h + ridge) * rate, h
@@ -265,6 +288,8 @@ def fit(df: DataFrame, inputs: Sequence[str], label: str, weight: str | None = N
             if not active:
                 break
         model.trees.append(tree)
+        if number == last - 1:
+            blocks.unpersist()
     return model
 
 

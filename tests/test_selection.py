@@ -154,3 +154,34 @@ def test_training_accuracy_ranks_nothing(data, monkeypatch):
     want = selection.ranked(data, ["noise", "sign"], ["c"], "y", rounds=2)[1].first()
     monkeypatch.setattr(boosting, "mean_contributions", None)
     assert selection.training_accuracy(data, ["noise", "sign"], ["c"], "y", rounds=2).first() == want
+
+
+def test_a_level_is_one_stage(spark):
+    """Trees more cost a stage a level, without a shuffle: levels are many and small whatever the rows."""
+    rows, stages = table(spark, 400, 4), []
+    for rounds in (2, 5):
+        spark.sparkContext.setJobGroup(f"levels-{rounds}", "")
+        model = boosting.fit(rows, [f"x{k}" for k in range(4)], "y", rounds=rounds, depth=3, bins=8)
+        tracker = spark.sparkContext.statusTracker()
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"levels-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(len(t.feature) > 7 for t in model.trees)
+    assert stages[1] - stages[0] == 3 * 3
+
+
+@pytest.mark.parametrize("senders", [64, 1])
+def test_sums_of_a_level_are_those_of_all_blocks(spark, monkeypatch, senders):
+    monkeypatch.setattr(boosting, "_SENDERS", senders)
+    rng = np.random.default_rng(3)
+    y, w, d = rng.integers(0, 2, 500).astype(float), rng.integers(1, 50, 500).astype(float), rng.integers(0, 4, 500)
+    bins = np.c_[rng.integers(0, 4, 500), rng.integers(0, 6, 500)].astype(np.uint16)
+    groups = spark.createDataFrame([(float(y[i]), float(w[i]), bins[i].tobytes(), 0.0, int(d[i])) for i in range(500)], "y double, w double, bins binary, margin double, d0 long")
+    model = boosting.Boosted(("a", "b"), [np.arange(2.0), np.arange(4.0)])
+    tree = boosting.Tree()
+    tree.add(0.0, 0.0)
+    got = boosting._histograms(boosting._blocks(groups.repartition(9), model, 0, 1), model, 0, tree, [0], [0, 1])
+    assert got.shape == (1, 2, 6, 2)
+    for c in range(2):
+        for b in range(6):
+            at = bins[:, c] == b
+            assert got[0, c, b].tolist() == [(d * w * (0.5 - y))[at].sum(), (d * w * 0.25)[at].sum()]
