@@ -64,8 +64,11 @@ def _cells(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _by_cell(df: DataFrame, bounds: Mapping[str, np.ndarray], cells: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
-    """(c, cell, value, n): how many values each cell of a column has, value null; for given cells their values, counted a batch at a time."""
-    names = list(bounds)
+    """(c, cell, value, n): how many values each cell of a column has, value null; for given cells their values, counted a batch at a time.
+
+    c is a column's place among the given cells' columns, or else among those with bounds; others aren't read.
+    """
+    names = list(bounds if cells is None else cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -78,7 +81,7 @@ def _by_cell(df: DataFrame, bounds: Mapping[str, np.ndarray], cells: Mapping[str
                     cell, n = np.unique(at, return_counts=True)
                     value = np.full(len(cell), np.nan)
                 else:
-                    value, n = np.unique(x[np.isin(at, cells.get(name, []))], return_counts=True)
+                    value, n = np.unique(x[np.isin(at, cells[name])], return_counts=True)
                     cell = _cells(value, bounds[name])
                 for column, found in zip(rows, (np.full(len(cell), c), cell, value, n), strict=True):
                     column.append(found)
@@ -94,7 +97,8 @@ def ranked_values(df: DataFrame, ranks: Mapping[str, Sequence[int]], totals: Map
 
     Sketches give bounds around the ranks. One pass counts the values between and at the bounds, which tells exactly in
     which stretch a rank lies; a bound that is hit is the answer, and the values of a stretch with few are collected.
-    A stretch with many is looked at again by sketches of its own, so it doesn't matter how good the bounds are.
+    A stretch with many is looked at again by sketches of its own, so it doesn't matter how good the bounds are. Later
+    passes read only the columns that still have open ranks.
     """
     importable(df.sparkSession)
     names = list(ranks)
@@ -115,25 +119,28 @@ def ranked_values(df: DataFrame, ranks: Mapping[str, Sequence[int]], totals: Map
         large = [at for at in open_at if counts[at[0]][at[1]] > _FEW]
         if not large:
             break
+        again = names
         if not any(len(b) for b in bounds.values()):  # nothing is known yet: one sketch a column
             sides = {c: sorted({min(1.0, max(0.0, r / totals[c] + d)) for r in ranks[c] for d in (-_AROUND, _AROUND)}) for c in names}
             row = df.agg(*[F.percentile_approx(F.when(~F.isnan(c), F.col(c)), sides[c], _ACCURACY).alias(c) for c in names]).first()
             more = {c: row[c] for c in names}
         else:
-            inside = _by_cell(df, bounds, {c: [cell for d, cell in large if d == c] for c in names})
+            again = list(dict.fromkeys(c for c, _ in large))
+            inside = _by_cell(df, bounds, {c: [cell for d, cell in large if d == c] for c in again})
             sketch = inside.groupBy("c", "cell").agg(F.percentile_approx("value", [k / _AGAIN for k in range(_AGAIN + 1)], _ACCURACY).alias("p"))
-            more = {c: [] for c in names}
+            more = {c: [] for c in again}
             for r in sketch.collect():  # a row a stretch
-                more[names[r["c"]]] += r["p"]
-        bounds = {c: np.unique(np.r_[bounds[c], more[c]]) for c in names}
-        counts = {c: {} for c in names}
-        for r in _by_cell(df, bounds).groupBy("c", "cell").agg(F.sum("n").alias("n")).collect():  # twice the bounds
-            counts[names[r["c"]]][r["cell"]] = r["n"]
+                more[again[r["c"]]] += r["p"]
+        bounds |= {c: np.unique(np.r_[bounds[c], more[c]]) for c in again}
+        counts |= {c: {} for c in again}
+        for r in _by_cell(df, {c: bounds[c] for c in again}).groupBy("c", "cell").agg(F.sum("n").alias("n")).collect():  # twice the bounds
+            counts[again[r["c"]]][r["cell"]] = r["n"]
     if open_at:
-        inside = _by_cell(df, bounds, {c: [cell for d, cell in open_at if d == c] for c in names})
+        left = list(dict.fromkeys(c for c, _ in open_at))
+        inside = _by_cell(df, bounds, {c: [cell for d, cell in open_at if d == c] for c in left})
         held: dict[tuple[str, int], list[tuple[float, int]]] = {}
         for r in inside.groupBy("c", "cell", "value").agg(F.sum("n").alias("n")).collect():  # few values a stretch
-            held.setdefault((names[r["c"]], r["cell"]), []).append((r["value"], r["n"]))
+            held.setdefault((left[r["c"]], r["cell"]), []).append((r["value"], r["n"]))
         for at, wanted in open_at.items():
             own = sorted(held[at])
             ends = np.cumsum([n for _, n in own])

@@ -62,3 +62,22 @@ def test_quantiles_by_bounds(spark, monkeypatch):
         assert odd[0] == pytest.approx(low[0] + (low[1] - low[0]) * 0.9, abs=0.01)
         assert odd[1] == float("inf") and np.isnan(odd[2])
 
+
+
+def test_later_passes_read_open_columns_only(spark, monkeypatch):
+    """A column with few values is done after the first counts; the one with many is looked at alone."""
+    import numpy as np
+
+    from pyspark.sql import functions as F
+
+    from rulemill.operators import cumulative
+
+    passes, keep = [], cumulative._by_cell
+    monkeypatch.setattr(cumulative, "_by_cell", lambda *a: passes.append(keep(*a)) or passes[-1])
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(cumulative, "_FEW", 100)
+    monkeypatch.setattr(cumulative, "_ACCURACY", 50)
+    rows = spark.range(20_000).select((F.col("id") % 7).cast("double").alias("few"), F.hash("id").cast("double").alias("many"))
+    got, own = quantiles(rows, ["few", "many"], [0.2, 0.5]), rows.toPandas()
+    assert all(np.allclose(got[c], np.quantile(own[c], [0.2, 0.5])) for c in ("few", "many"))
+    assert len(passes) > 2 and "hash(" in read(passes[0]) and all("% 7" not in read(p) for p in passes[1:]) and "% 7" in read(passes[0])
